@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclake import constants as C
 from doclake.operators.skew import lookup_join, running_total
 
-ACTIVE = F.col("status").isin("queued", "running")
+ACTIVE = "status IN ('queued', 'running')"
 
 
 def fold_jobs(events: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ RAW_LINE = """CASE (doc_id * 7 + n * (1 + 2 * (doc_id % 3))) % 32
   WHEN 7 THEN concat('- ※ ', t) WHEN 8 THEN concat('    - ', t) WHEN 9 THEN '| a · b | Ÿ c  d |'
   WHEN 10 THEN '| --- | --- |' WHEN 11 THEN concat('| ', n, ' | "x, y" |') WHEN 12 THEN concat('- ', t, ',')
   WHEN 13 THEN '¡' WHEN 14 THEN '- ㅇ' WHEN 15 THEN concat('글 로 벌  기 술  ', t)
-  WHEN 16 THEN concat('산 · 학 ( 연 )  ', t) WHEN 17 THEN '' WHEN 18 THEN '<!-- image -->'
+  WHEN 16 THEN concat('산 · 학 ( 연 )  ', t) WHEN 17 THEN '' WHEN 18 THEN '<!-- image -->' WHEN 19 THEN concat('국가전략기술육성법시행령개정안 ', t)
   WHEN 20 THEN concat('- l ', t) WHEN 21 THEN concat('- ① ', t) WHEN 22 THEN concat('  - ', t, ' 및')
   WHEN 23 THEN concat('- 하여 ', t) WHEN 24 THEN concat('## ■ ', t)
   WHEN 25 THEN concat(CASE WHEN doc_id % 11 = 0 THEN '###' ELSE '##' END, ' 1-', n, '. ', t)
   WHEN 26 THEN concat('        - ', t) WHEN 27 THEN concat('** ', t) WHEN 28 THEN concat('- **', t, '** x')
-  WHEN 29 THEN replace(t, ' ', '  ') WHEN 30 THEN concat(' ', t)
+  WHEN 29 THEN replace(t, ' ', '  ') WHEN 30 THEN concat('\uf0b7 ', t)
   WHEN 31 THEN concat('![Image](/tmp/out/images/i', n, '.png)') ELSE t END"""
 
 _JOBS = """SELECT concat('j', doc_id) AS id, concat('s', doc_id % 50) AS session_id,
@@ -101,29 +101,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    rendered = _render(sql, "sha2({}, 256)", "string")
-    return spark.sql(rendered, **views)
+def _sql(source: DataFrame, sql: str, name: str) -> DataFrame:
+    rendered = _render(sql, "sha2({}, 256)", "string").replace(name, "{source}")
+    return source.sparkSession.sql(rendered, source=source)
+
+
+def jobs_of(documents: DataFrame) -> DataFrame:
+    return _sql(documents, _JOBS, "documents")
+
+
+def uploads_of(documents: DataFrame) -> DataFrame:
+    return _sql(documents, _UPLOADS, "documents")
+
+
+def job_events_of(job_rows: DataFrame) -> DataFrame:
+    return _sql(job_rows, _JOB_EVENTS, "{JOBS}")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, _JOBS.replace("documents", "{documents}"), documents=table(spark, sf_dir, "documents"))
+    return jobs_of(table(spark, sf_dir, "documents"))
 
 
-def curr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job table one tick later: some running jobs are done."""
-    df = jobs(spark, sf_dir)
-    turned = (F.col("status") == "running") & (F.expr("CAST(substring(id, 2) AS bigint) % 20 = 9"))
-    return df.withColumns({"status": F.when(turned, "done").otherwise(F.col("status")),
-                           "finished_at": F.when(turned, NOW_LIVE).otherwise(F.col("finished_at"))})
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uploads_of(table(spark, sf_dir, "documents"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, _JOB_EVENTS.replace("{JOBS}", "{jobs}"), jobs=jobs(spark, sf_dir))
+    return job_events_of(jobs(spark, sf_dir))
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, _UPLOADS.replace("documents", "{documents}"), documents=table(spark, sf_dir, "documents"))
+def curr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table one tick later: some running jobs are done."""
+    df = jobs(spark, sf_dir)
+    turned = (F.col("status") == "running") & F.expr("CAST(substring(id, 2) AS bigint) % 20 = 9")
+    return df.withColumns({"status": F.when(turned, "done").otherwise(F.col("status")),
+                           "finished_at": F.when(turned, NOW_LIVE).otherwise(F.col("finished_at"))})
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
