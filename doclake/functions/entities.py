@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -17,7 +18,8 @@ _COMMON = {f"&{name}": html5[name] for name in ("amp;", "lt;", "gt;", "quot;", "
 
 
 def _literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    # parsed once by the optimizer; thousands of separate literals would only slow down planning
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _from_number(digits: Column, base: int, longest: int) -> Column:
@@ -30,7 +32,7 @@ def _from_number(digits: Column, base: int, longest: int) -> Column:
         invalid = ((n.between(1, 31) & ~n.isin(9, 10, 12)) | (n == 127) | n.between(0xFDD0, 0xFDEF)
                    | low.isin(0xFFFE, 0xFFFF))
         return (F.when(F.coalesce(n > 0x10FFFF, F.lit(True)) | n.between(0xD800, 0xDFFF), "�")
-                .when(n.isin(list(REMAPPED)), F.element_at(_literal_map(REMAPPED), n))
+                .when(n.isin(list(REMAPPED)), F.element_at(_literal_map(REMAPPED), n.cast("string")))
                 .when(invalid, "")
                 .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
     return let(number, decode)
@@ -49,10 +51,8 @@ def _named(token: Column) -> Column:
 
 
 def _resolve(token: Column) -> Column:
-    resolved = F
-    for plain, char in _COMMON.items():
-        resolved = resolved.when(token == plain, char)
-    return (resolved
+    common = F.coalesce(*[F.when(token == name, char) for name, char in _COMMON.items()])
+    return (F.when(common.isNotNull(), common)
             .when(token.rlike("^&#[0-9]"), _from_number(F.regexp_extract(token, "([0-9]+)", 1), 10, 7))
             .when(token.startswith("&#"), _from_number(F.regexp_extract(token, "[xX]([0-9a-fA-F]+)", 1), 16, 6))
             .otherwise(_named(token)))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.sources.uploads import spread
+
 NOW_LIVE = 1704074400.0
 NOW_SWEEP = 1704163600.0
 
@@ -149,6 +151,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the phenomena in their lines, built row by row without a shuffle."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs).select(
         "doc_id",
         F.expr(f"array_join(transform(split(text, '\\n', -1), (t, n) -> {RAW_LINE}), '\\n')").alias("text"))

@@ -104,11 +104,11 @@ _add("document_roundtrip", "SELECT doc_id, text FROM documents")
 _add("result_sink", """SELECT DISTINCT sha256(text) AS sha256,
     substring(sha256(concat('rev=7;img=', doc_id % 2, ';csv=1')), 1, 16) AS opts_hash, text,
     CAST(n_chars % 7 AS int) AS n_tables, CAST(n_chars % 5 AS int) AS n_images FROM documents""")
-_add("table_csv_sink", """SELECT doc_id, printf('table-%02d', table_no) AS table,
-    concat(CASE WHEN row_no = 0 THEN chr(65279) END, array_to_string(list_transform(cells, lambda c:
-      CASE WHEN regexp_matches(c, '[",\\r\\n]') THEN concat('"', replace(c, '"', '""'), '"') ELSE c END), ',')) AS value
-    FROM table_rows UNION ALL
-    SELECT doc_id, printf('table-%02d', table_no), chr(65279) FROM pipe_lines ANTI JOIN table_rows USING (doc_id, table_no)
+_add("table_csv_sink", r"""SELECT doc_id, printf('table-%02d', table_no) AS table,
+    concat(chr(65279), coalesce(string_agg(array_to_string(list_transform(cells, lambda c:
+      CASE WHEN regexp_matches(c, '[",\r\n]') THEN concat('"', replace(c, '"', '""'), '"') ELSE c END), ','),
+      chr(10) ORDER BY row_no), ''), chr(10)) AS csv
+    FROM (SELECT DISTINCT doc_id, table_no FROM pipe_lines) LEFT JOIN table_rows USING (doc_id, table_no)
     GROUP BY doc_id, table_no""")
 _BASE = r"""CASE WHEN regexp_matches(stem, '^\.*$') THEN 'file' ELSE stem END"""
 _STEM = r"""trim(regexp_replace(regexp_replace(regexp_extract(filename, '[^/]*$'), '^(.+)\.[^.]+$', '\1'),

@@ -78,7 +78,8 @@ def result_sink(spark, sf):
 def table_csv_sink(spark, sf):
     path = scratch_path(spark, "tables")
     results.write_table_csv(D.raw_docs(spark, sf), path)
-    return spark.read.schema("value string, doc_id bigint, table string").text(path)
+    files = uploads.scan_uploads(spark, path, columns=["doc_id", "table"])
+    return files.select(F.col("doc_id").cast("bigint"), "table", F.decode("content", "utf-8").alias("csv"))
 
 
 def _result_files(job_rows):
@@ -315,7 +316,8 @@ def changed_fields(spark, sf):
 
 @query
 def unescape(spark, sf):
-    return D.table(spark, sf, "pages").transform(markdown.unescape, "html").select("page_id", "html")
+    pages = uploads.spread(D.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    return pages.transform(markdown.unescape, "html")
 
 
 def _rule(name: str) -> None:

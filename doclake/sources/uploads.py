@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from doclake import constants as C
 LINES_PER_PART = 1024
 
 
-def scan_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files with length and bytes; the bytes are read only where a query uses them."""
+def scan_uploads(spark: SparkSession, path: str, pattern: str = "*", columns: Sequence[str] = ()) -> DataFrame:
+    """Files with length and bytes; the bytes are read only where a query uses them.
+
+    ``columns`` names further columns that folder names like ``table=table-01`` provide.
+    """
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-            .select("path", "modificationTime", "length", "content"))
+            .select("path", "modificationTime", "length", "content", *columns))
 
 
 def within_size(uploads: DataFrame, max_bytes: int = C.MAX_BYTES) -> DataFrame:
@@ -38,6 +43,16 @@ def unique_blobs(df: DataFrame) -> DataFrame:
     return df.groupBy("sha256").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n_copies"))
 
 
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Use all cores for a scan that has fewer splits than the cluster has cores.
+
+    Text rules are bound by the processor, and a file of one row group is one task. A scan with enough
+    splits is left alone, so a large table is never shuffled for this.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, key) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def to_lines(docs: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """One row per line, numbered from 0; empty lines stay."""
     return docs.select(key, F.posexplode(F.split(F.col(col), "\n", -1)).alias("n", "x"))
