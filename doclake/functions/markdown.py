@@ -129,13 +129,13 @@ def _normalize_depths(t: Column) -> Column:
     token = rf"(?Umd)^(?:{ITEM}|(?! *- {INK})(?=.*{INK}).)"
 
     def renumber(tokens: Column) -> Column:
-        def step(stack, tok):
-            indent = F.length(tok) - 2
-            open_levels = F.when(indent < 0, F.array().cast("array<int>")).otherwise(
+        def step(stack, indent):
+            levels = F.when(indent < 0, F.array().cast("array<int>")).otherwise(
                 F.concat(F.filter(stack, lambda level: level < indent), F.array(indent)))
-            return open_levels, F.when(indent < 0, tok).otherwise(
-                F.concat(F.repeat(F.lit("  "), F.size(open_levels) - 1), F.lit("- ")))
-        return scan(tokens, F.array().cast("array<int>"), "string", step)
+            return levels, F.size(levels)
+        depths = scan(F.transform(tokens, lambda tok: F.length(tok) - 2), F.array().cast("array<int>"), step)
+        return F.zip_with(tokens, depths, lambda tok, depth: F.when(depth == "0", tok).otherwise(
+            F.concat(F.repeat(F.lit("  "), depth.cast("int") - 1), F.lit("- "))))
 
     return F.when(t.rlike(rf"(?Umd)^{ITEM}"), replace_tokens(t, token, renumber)).otherwise(t)
 
@@ -195,22 +195,24 @@ def _relevel_headings(t: Column) -> Column:
             .otherwise(piece).alias("rest"))
 
     def step(state, p):
-        is_heading = p["marker"] != ""
-        level = F.coalesce(p["signal"]["level"], state["open"], state["signalled"] + 1)
-        signalled = F.coalesce(p["signal"]["level"], state["signalled"])
-        stays_open = (F.when(p["signal"]["level"].isNull(), F.when(state["seen"], level))
+        level = F.coalesce(p["level"], state["open"], state["signalled"] + 1)
+        stays_open = (F.when(p["level"].isNull(), F.when(state["seen"], level))
                       .when(level > F.coalesce(state["open"], F.lit(7)), state["open"]))
-        moved = F.struct(signalled.alias("signalled"), stays_open.alias("open"), F.lit(True).alias("seen"))
-        line = F.concat(F.repeat(F.lit("#"), F.least(level, F.lit(6))), F.lit(" "), p["signal"]["text"], p["rest"])
-        return F.when(is_heading, moved).otherwise(state), F.when(is_heading, line).otherwise(p["rest"])
+        moved = F.struct(F.coalesce(p["level"], state["signalled"]).alias("signalled"), stays_open.alias("open"),
+                         F.lit(True).alias("seen"))
+        return F.when(p["heading"], moved).otherwise(state), F.when(p["heading"], level).otherwise(0)
 
     zero = F.struct(F.lit(0).alias("signalled"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("seen"))
 
     def relevel(pieces: Column) -> Column:
         markers = F.array_distinct(F.filter(F.transform(pieces, lambda p: p["marker"]), lambda m: m != ""))
         signalled = F.exists(pieces, lambda p: p["signal"]["level"].isNotNull())
-        return F.when((F.size(markers) == 1) & signalled,
-                      F.array_join(scan(pieces, zero, "string", step), ""))
+        levels = scan(F.transform(pieces, lambda p: F.struct((p["marker"] != "").alias("heading"),
+                                                             p["signal"]["level"].alias("level"))), zero, step)
+        lines = F.zip_with(pieces, levels, lambda p, level: F.when(level == "0", p["rest"]).otherwise(
+            F.concat(F.repeat(F.lit("#"), F.least(level.cast("int"), F.lit(6))), F.lit(" "),
+                     p["signal"]["text"], p["rest"])))
+        return F.when((F.size(markers) == 1) & signalled, F.array_join(lines, ""))
 
     pieces = F.transform(F.split(t, rf"(?Umd)^(?={HEADING})", -1), read)
     return F.when(t.rlike(rf"(?Umd)^{HEADING}"), F.coalesce(let(pieces, relevel), t)).otherwise(t)
