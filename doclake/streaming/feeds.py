@@ -74,15 +74,15 @@ def stream_feed(events: DataFrame, out: str, state: str, checkpoint: str) -> Str
     """
     spark = events.sparkSession
 
-    def handle(delta: DataFrame, n: int) -> None:
-        if n == 0:
-            before = with_ahead(delta.limit(0))
-            current = with_ahead(delta)
-        else:
-            before = spark.read.parquet(f"{state}/v={n - 1}")
-            current = with_ahead(apply_delta(before.drop("ahead"), delta))
-        current.write.mode("overwrite").parquet(f"{state}/v={n}")
-        diff_snapshots(before, spark.read.parquet(f"{state}/v={n}")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+    def handle(changed: DataFrame, n: int) -> None:
+        # stored first: everything below reads it several times, the stateful fold must run only once
+        changed.write.mode("overwrite").parquet(f"{state}/delta={n}")
+        delta = spark.read.parquet(f"{state}/delta={n}")
+        before = spark.read.parquet(f"{state}/jobs={n - 1}") if n else with_ahead(delta.limit(0))
+        merged = apply_delta(before.drop("ahead"), delta) if n else delta
+        with_ahead(merged).write.mode("overwrite").parquet(f"{state}/jobs={n}")
+        current = spark.read.parquet(f"{state}/jobs={n}")
+        diff_snapshots(before, current).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return _start(stream_fold(events), checkpoint, "update", handle)
 
