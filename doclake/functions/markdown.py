@@ -85,28 +85,31 @@ def _fix_bullets(t: Column) -> Column:
 
 
 def _fix_piece(piece: Column) -> Column:
-    other = rf"(?Umd)^(?=.*{INK})(?!{NOTE})(?! *- (?![{C.ORDINAL_STARTS}]){INK})"
-    symbol = F.regexp_extract(piece, rf"(?Ud)^(?: *- ({SYMBOL})|- (l)(?: |$|\n))", 1)
-    is_bullet = piece.rlike(rf"(?Ud)^(?: *- {SYMBOL}|- l[ \n])")
-    is_empty = piece.rlike(rf"(?Umd)\A{_empty_bullet('a')}")
-    depth0, depth1, depth2 = (list(chars) for chars in C.BULLETS_BY_DEPTH)
-    depth = (F.when(symbol.isin(depth1), 1).when(symbol.isin(depth2), 2).otherwise(0)
-             - F.when(is_empty, 1).otherwise(0))
+    """One symbol bullet with the lines below it, or the lines before the first one."""
+    ends_list = rf"(?Umd)^(?=.*{INK})(?!{NOTE})(?! *- (?![{C.ORDINAL_STARTS}]){INK})(?s:.*)"
+    depth1, depth2 = (list(chars) for chars in C.BULLETS_BY_DEPTH[1:])
 
     def rewrite(p: Column) -> Column:
-        listed = _escape_notes(p["parts"][0])
-        listed = F.regexp_replace(listed, F.lit(rf"(?Ud)(?<=\n){ITEM}"),
-                                  F.concat(F.repeat(F.lit("  "), p["depth"] + 1), F.lit("- ")))
-        listed = F.when(p["empty"], F.regexp_replace(listed, r"(?d)\A.*\n", "")).otherwise(
-            F.regexp_replace(
-                listed,
-                F.lit(rf"(?Ud)\A(?:{_symbol_prefix('a')}|- l ){BLANK}*+(.*{INK}){BLANK}*\n"),
-                F.concat(F.repeat(F.lit("  "), p["depth"]), F.lit("- $2\n"))))
-        return F.concat(listed, F.coalesce(_escape_notes(F.get(p["parts"], F.lit(1))), F.lit("")))
-
-    parts = F.split(piece, other, 2)
-    return F.when(is_bullet, let(F.struct(parts.alias("parts"), depth.alias("depth"), is_empty.alias("empty")),
-                                 rewrite)).otherwise(_escape_notes(piece))
+        head = p["head"]
+        symbol = F.regexp_extract(head, rf"\A *- ({SYMBOL})", 1)
+        is_empty = head.rlike(rf"(?Umd)\A{_empty_bullet('a')}")
+        depth = F.when(symbol.isin(depth1), 1).when(symbol.isin(depth2), 2).otherwise(0)
+        bullet = F.regexp_replace(
+            head, F.lit(rf"(?Ud)\A(?:{_symbol_prefix('a')}|- l ){BLANK}*+(.*{INK}){BLANK}*\z"),
+            F.concat(F.repeat(F.lit("  "), depth), F.lit("- $2\n")))
+        # below a bullet without text the next item takes its place
+        indent = F.repeat(F.lit("  "), depth + F.when(is_empty, 0).otherwise(1))
+        below = F.substring(p["listed"], F.length(head) + 2, F.length(p["listed"]))
+        children = F.regexp_replace(_escape_notes(below), F.lit(rf"(?Umd)^{ITEM}"), F.concat(indent, F.lit("- ")))
+        return F.concat(F.when(is_empty, "").otherwise(bullet), children)
+
+    def rewrite_all(p: Column) -> Column:
+        rest = F.substring(p["piece"], F.length(p["listed"]) + 1, F.length(p["piece"]))
+        return F.concat(rewrite(p), _escape_notes(rest))
+
+    parts = F.struct(piece.alias("piece"), F.substring_index(piece, "\n", 1).alias("head"),
+                     F.regexp_replace(piece, ends_list, "").alias("listed"))
+    return F.when(piece.rlike(rf"\A(?: *- {SYMBOL}|- l[ \n])"), let(parts, rewrite_all)).otherwise(_escape_notes(piece))
 
 
 def _merge_headings(t: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-MAX_BUCKETS = 512          # bounds the cut points held by the driver
+MAX_BUCKETS = 4096         # bounds the cut points held by the driver
 SAMPLES_PER_BUCKET = 20
 MAX_HOT_KEYS = 64          # bounds the broadcast side of a hot-key join
 MIN_HOT_ROWS = 100_000     # below this a key is never worth a separate join
@@ -26,8 +27,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
     position = F.struct(*keys, *order_names)
 
     wanted = buckets * SAMPLES_PER_BUCKET
-    sample = (rows.select(position.alias("p")).orderBy(F.xxhash64("p")).limit(wanted)
-              .orderBy("p").collect())
+    sample = [r[0] for r in rows.select(position.alias("p")).orderBy(F.xxhash64("p")).limit(wanted)
+              .orderBy("p").select(F.to_json("p")).collect()]
     earlier = Window.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
     if len(sample) < wanted:
         # the sample is the whole input, so its size is known to be small
@@ -35,8 +36,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
         return (rows.withColumn(out, F.coalesce(F.sum("_value").over(window), F.lit(0)))
                 .drop(*order_names, "_value"))
 
-    rows = rows.withColumn("_bucket", _bucket_of(position, [sample[i * wanted // buckets].p
-                                                            for i in range(1, buckets)], rows))
+    cuts = [sample[i * wanted // buckets] for i in range(1, buckets)]
+    rows = rows.withColumn("_bucket", _bucket_of(position, cuts, rows.select(position.alias("p")).schema["p"].dataType))
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # A bucket continues at most one key of the bucket before it: fewer than MAX_BUCKETS rows remain.
@@ -53,11 +54,12 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
             .select(*df.columns, out))
 
 
-def _bucket_of(position: Column, cuts: list, rows: DataFrame) -> Column:
-    """Number of cut points not greater than ``position``, by bisection over a literal array."""
-    types = {f.name: f.dataType for f in rows.schema.fields}
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(types[name]).alias(name)
-                                  for name, v in cut.asDict().items()]) for cut in cuts])
+def _bucket_of(position: Column, cuts: list[str], row_type: StructType) -> Column:
+    """Number of cut points not greater than ``position``, by bisection over a literal array.
+
+    Sorting after parsing keeps the buckets in order even where JSON rounds a value.
+    """
+    bounds = F.array_sort(F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(row_type)))
     halves = [1 << i for i in reversed(range(len(cuts).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(h) for h in halves]), F.lit(0),
