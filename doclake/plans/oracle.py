@@ -223,9 +223,9 @@ _add("stream_feed", """SELECT id, status, finished_at, ahead FROM ahead_prev""")
 
 # --- Markdown
 _ENTITIES = "html"
-for _name, _char in (("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-                     ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-    _ENTITIES = f"replace({_ENTITIES}, '{_name}', '{_char}')"
+# the references that occur in the pages; the ampersand comes last, so that nothing is read twice
+for _name, _char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _ENTITIES = f"regexp_replace({_ENTITIES}, '&{_name};?', '{_char}', 'g')"
 _add("unescape", f"SELECT page_id, {_ENTITIES} AS html FROM pages")
 
 for _rule in M.RULES:
