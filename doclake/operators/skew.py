@@ -59,7 +59,7 @@ def _bucket_of(position: Column, cuts: list[str], row_type: StructType) -> Colum
 
     Sorting after parsing keeps the buckets in order even where JSON rounds a value.
     """
-    bounds = F.array_sort(F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(row_type)))
+    bounds = F.sort_array(F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(row_type)))
     halves = [1 << i for i in reversed(range(len(cuts).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(h) for h in halves]), F.lit(0),

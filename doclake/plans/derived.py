@@ -142,7 +142,7 @@ def curr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.floor((F.col("n_chars") - 1) / 200).cast("int")
-    return (table(spark, sf_dir, "documents")
+    return (spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
             .select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("page_no"))
             .select("doc_id", "page_no",
                     F.when(F.col("doc_id") % 13 == 0, " ")
