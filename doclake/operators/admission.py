@@ -57,16 +57,16 @@ def session_quota(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
     ``eligible`` marks uploads that would be queued if there were no quota. Counting all of them is exact:
     beyond the cap the count stays beyond the cap.
     """
-    counted = running_total(uploads, ["session_id"], [F.col("arrival"), F.col("upload_id")],
-                            F.col("eligible").cast("int"), "_earlier")
-    return (lookup_join(counted, queued_counts(jobs), ["session_id"])
+    known = lookup_join(uploads, queued_counts(jobs), ["session_id"])
+    return (running_total(known, ["session_id"], [F.col("arrival"), F.col("upload_id")],
+                          F.col("eligible").cast("int"), "_earlier")
             .withColumn("over_quota", F.coalesce("n_queued", F.lit(0)) + F.col("_earlier") >= C.MAX_QUEUED_PER_SESSION)
             .drop("_earlier", "n_queued"))
 
 
 def admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, now: float) -> DataFrame:
     """Job rows for a batch of uploads: queued, finished from the cache, or failed with a reason."""
-    probed = lookup_join(with_probe(uploads, pages), cached_results(jobs), KEY)
+    probed = with_probe(lookup_join(uploads, cached_results(jobs), KEY), pages)
     eligible = reject_reason(F.lit(False)).isNull() & F.col("cached_id").isNull()
     # The quota reads its input several times; storing it once spares the probe and the cache join.
     judged = session_quota(freeze(probed.withColumn("eligible", eligible), "admission"), jobs)

@@ -10,6 +10,9 @@ from doclake.functions.markdown import RULES, SYMBOL, clean_markdown
 from doclake.operators.jobs import earlier_active
 
 
+RUN_ON = "[가-힣]{13,}"
+
+
 def calibrate(jobs: DataFrame) -> DataFrame:
     """Seconds per page of real conversions; cache hits have no start time and drop out."""
     ran = jobs.filter((F.col("status") == "done") & F.col("started_at").isNotNull()
@@ -27,8 +30,8 @@ def wait_estimate(jobs: DataFrame, sec_per_page: float = C.SEC_PER_PAGE) -> Data
 
 
 def _run_on_words(text: Column) -> Column:
-    words = F.split(text, r"(?U)\s+")
-    return F.size(F.filter(words, lambda w: w.rlike("[가-힣]{13,}")))
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(RUN_ON))
+    return F.when(text.rlike(RUN_ON), F.size(words)).otherwise(0)
 
 
 def runon_report(docs: DataFrame, col: str = "text") -> DataFrame:
