@@ -60,5 +60,5 @@ def _resolve(token: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """``&amp;lt;`` becomes ``&lt;``: a replacement is not read again."""
-    return F.when(F.contains(text, F.lit("&")),
-                  replace_tokens(text, REFERENCE, lambda found: F.transform(found, _resolve))).otherwise(text)
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit("&")), replace_tokens(t, REFERENCE, lambda found: F.transform(found, _resolve))).otherwise(t))

@@ -50,7 +50,7 @@ def _empty_bullet(name: str) -> str:
 
 
 def _by_lines(text: Column, rule: Callable[[Column], Column]) -> Column:
-    return let(rule(F.concat(text, F.lit("\n"))),
+    return let(let(F.concat(text, F.lit("\n")), rule),
                lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
 
 
@@ -250,7 +250,7 @@ def normalize_depths(text: Column) -> Column:
 
 def despace(text: Column) -> Column:
     """Close up letter-spaced Hangul."""
-    return _despace(text)
+    return let(text, _despace)
 
 
 def tighten(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake import constants as C
+from doclake.functions.arrays import let
 from doclake.functions.markdown import RULES, SYMBOL, clean_markdown
 from doclake.operators.jobs import earlier_active
 
@@ -30,8 +31,10 @@ def wait_estimate(jobs: DataFrame, sec_per_page: float = C.SEC_PER_PAGE) -> Data
 
 
 def _run_on_words(text: Column) -> Column:
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(RUN_ON))
-    return F.when(text.rlike(RUN_ON), F.size(words)).otherwise(0)
+    def count(t: Column) -> Column:
+        words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w.rlike(RUN_ON))
+        return F.when(t.rlike(RUN_ON), F.size(words)).otherwise(0)
+    return let(text, count)
 
 
 def runon_report(docs: DataFrame, col: str = "text") -> DataFrame:
