@@ -9,10 +9,13 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
+    shared = tmp_path_factory.mktemp("shared")
     session = (SparkSession.builder.master("local[8]").appName("doclake-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "4g")
+               .config("spark.checkpoint.dir", f"file://{shared}/checkpoints")
+               .config("spark.sql.warehouse.dir", f"file://{shared}/warehouse")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
