@@ -112,7 +112,7 @@ def thresholds(stats: DataFrame, fences=FENCES, min_rows: int = 200) -> DataFram
             out[f"{f.measure}_high"] = high + reach
         return df.withColumn("_limits", F.struct(*[v.alias(k) for k, v in out.items()])).drop(*names)
 
-    total = limits(by_lang.groupBy(F.lit(0)).agg(F.sum("n").alias("n"), *merged)).first()      # one row at most
+    total = limits(by_lang.agg(F.sum("n").alias("n"), *merged).filter("n > 0")).first()      # one row at most
     if total is None:
         whole = F.lit(None)
     else:
