@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import quality_rules
+from doclake.llm import jaccard_join, quality_rules
 from doclake.sources.scratch import scratch_path
 
 
@@ -13,8 +13,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that with the smallest id."""
+    return jaccard_join.keep_one(docs)
+
+
 STAGES = [
     ("quality_rules", keep_good),
+    ("jaccard_join", keep_one),
 ]
 
 ORACLE_SQL = None    # sketches, forests and latent spaces have no SQL

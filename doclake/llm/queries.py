@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import quality_rules
+from doclake.llm import jaccard_join, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,8 @@ def op1_quality_rules(spark, sf_dir):
     # Only the id is carried along: the result holds no text.
     rows = quality_rules.judged(docs, carry=["doc_id"])
     return rows.select("_row.doc_id", F.expr("* EXCEPT (_row)"))
+
+
+@query
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,15 @@ def crc_fold(doc_id: int | None, folds: int) -> int:
 def packed(df: DataFrame, columns: list[str], carry: list[str] | None = None) -> DataFrame:
     """The row (or its columns ``carry``) as one struct ``_row`` beside ``columns``: no added column can clash."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in carry or df.columns]).alias("_row"), *[df[f"`{c}`"] for c in columns])
+
+
+class WordHashes(dict):
+    """64-bit hash of each word, kept up to a bounded number."""
+
+    limit = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value

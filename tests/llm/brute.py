@@ -26,3 +26,30 @@ def quality_counts(text):
     return dict(n_words=n, word_chars=sum(map(len, w)), n_symbols=len(re.findall(r"[#*$%&|<>]", text)),
                 n_dup_lines=len(lines) - len(set(lines)), n_repeat_words=len(inside),
                 base_failed=n < 10 or 100 * len(inside) > 20 * n)
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def similarity_classes(docs):
+    """{doc_id: (set size, smallest reachable doc_id)} of (doc_id, text) by comparing all pairs that share a shingle."""
+    sets = {d: shingle_set(t) for d, t in docs}
+    places = collections.defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            places[g].append(d)
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+    for d, s in sets.items():
+        common = collections.Counter(e for g in s for e in places[g] if e < d)
+        for e, o in common.items():
+            if 100 * o >= 80 * (len(s) + len(sets[e]) - o):
+                a, b = find(d), find(e)
+                top[max(a, b)] = min(a, b)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
