@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import jaccard_join, quality_rules
+from doclake.llm import decontamination, jaccard_join, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,8 @@ def op1_quality_rules(spark, sf_dir):
 @query
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -53,3 +53,20 @@ def similarity_classes(docs):
                 a, b = find(d), find(e)
                 top[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def alnum_words(text):
+    return ALNUM.findall(ascii_lower(text))
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
