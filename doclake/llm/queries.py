@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, quality_rules
+from doclake.llm import decontamination, jaccard_join, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,13 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_secret_scans(spark, sf_dir):
+    # the documents have no path; their source stands for it
+    rows = secrets.scanned(_table(spark, sf_dir, "documents"), path="source")
+    return rows.select("doc_id", "word_no", "value", F.round("score", 6).alias("score"), "secret")
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
