@@ -22,31 +22,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.llm.components import components
-from doclake.llm.texts import WordHashes, space_tokens
+from doclake.llm.texts import hashed_words, mixed
 from doclake.sources.scratch import freeze
 
 WIDTH = 5
 COUNT_BITS = 18      # size of the table of shingle frequencies: 2^18 counters, 1 MB for every task
 SEEN_BITS = 23       # size of the bitmap of documents that have candidates: 1 MB for every task
-RANGES = 32          # value ranges of the suffix filter
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-_HASHES = WordHashes()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, a text without words none."""
-    tokens = space_tokens(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(WIDTH, len(h))
-    g = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        g = (g ^ (g >> np.uint64(29))) * _MIX + h[k:k + len(g)]
-    g = (g ^ (g >> np.uint64(32))) * _MIX
-    return np.unique(g ^ (g >> np.uint64(29)))
+RANGE_BITS = 6       # the suffix filter splits a set into 2^6 ranges of hash values
+RANGES = 1 << RANGE_BITS
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct hashes of its word shingles: one for a short text, none without words."""
+    h, bounds = hashed_words(texts)
+    g = np.full(max(0, len(h) - WIDTH + 1), WIDTH, np.uint64)
+    for k in range(WIDTH):
+        g = mixed(g) + h[k:k + len(g)]
+    g = mixed(g)
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        n = end - start
+        if n >= WIDTH:
+            own = np.sort(g[start:end - WIDTH + 1])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+        elif n:
+            one = np.full(1, n, np.uint64)
+            for k in range(start, end):
+                one = mixed(one) + h[k]
+            yield mixed(one)
+        else:
+            yield h[:0]
 
 
 def _in_arrow(frame: DataFrame, make, schema: str) -> DataFrame:
@@ -66,8 +70,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(1):
-                np.add.at(total, (shingles(text.as_py()) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+            for g in shingle_sets(batch.column(1)):
+                np.add.at(total, (g >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
@@ -93,15 +97,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, tenths: int) -> DataFrame:
 
     def make(ids, texts):
         n, sig, flat, ends, profile = [], [], [], [0], []
-        for text in texts:
-            g = shingles(text.as_py())
-            keys = ranks[(g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] | (g * _MIX >> np.uint64(30))
+        for g in shingle_sets(texts):
+            keys = ranks[(g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] | (mixed(g) >> np.uint64(30))
             p = probe_length(len(g), tenths) if len(g) else 0
             flat.append(g[np.argsort(keys, kind="stable")[:p]])     # equal keys stay in the order of the hash
             ends.append(ends[-1] + p)
             n.append(len(g))
             sig.append(xxhash.xxh3_128_digest(g.tobytes()))
-            profile.append(np.bincount((g >> np.uint64(59)).astype(np.int64), minlength=RANGES))
+            profile.append(np.bincount((g >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES))
         values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         ranges = np.concatenate(profile).astype(np.int32) if profile else np.empty(0, np.int32)
@@ -116,8 +119,7 @@ def whole_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """``sig, grams`` of the sets whose bit is in ``wanted``; a few others may come along."""
     def make(ids, texts):
         sig, flat, ends = {}, [], [0]
-        for text in texts:
-            g = shingles(text.as_py())
+        for g in shingle_sets(texts):
             s = xxhash.xxh3_128_digest(g.tobytes())
             bit = xxhash.xxh3_64_intdigest(s) >> (64 - SEEN_BITS)
             if s not in sig and wanted[bit >> 3] >> (bit & 7) & 1:
@@ -148,21 +150,34 @@ def _bits(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: length filter, suffix filter, then one exact comparison."""
+def _plausible(pairs: DataFrame, shape: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) that pass the length filter and the suffix filter, with their set sizes.
+
+    Similar sets share at least t / (1 + t) (n_a + n_b) elements, and no range of hash values adds more to
+    the overlap than the smaller of its two counts.
+    """
     def side(name):
-        return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"),
+        return shape.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"),
                             F.col("profile").alias(f"profile_{name}"))
-    # overlap of the sets >= t / (1 + t) (n_a + n_b); no range can add more than its smaller count
     most = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    need = lambda overlap: (10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))
-    left = (pairs.join(side("b"), "b").join(side("a"), "a")
+    return (pairs.join(side("b"), "b").join(side("a"), "a")
             .filter(10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
-            .filter(need(most)).select("a", "b", "n_a", "n_b"))
-    # the set of the pair's larger node id travels to the smaller one, which is the hub of a star
-    with_b = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
+            .filter((10 + tenths) * most >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
+    """The pairs whose whole sets are similar. The sets are read from the texts of the documents that have a pair."""
+    if pairs.limit(1).count() == 0:
+        return pairs.select("a", "b")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = freeze(nodes.select("node", "sig").join(ends, "node"), "wanted")
+    grams = whole_sets(docs, _bits(wanted.select("sig"))).groupBy("sig").agg(F.first("grams").alias("grams"))
+    sets = freeze(grams.join(wanted, "sig").select("node", "grams"), "sets")
+    # the set of the larger node id travels to the smaller one, which is the hub of a star
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
     with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return with_a.filter(need(F.size(F.array_intersect("grams_a", "grams_b")))).select("a", "b")
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    return with_a.filter((10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
@@ -186,12 +201,9 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("_many"), F.min("node").alias("pivot"))
     meets = freeze(places.join(shared.filter("_many > 1").drop("_many"), "token"), "meets")
 
-    wanted = nodes.join(meets.select("node").distinct(), "node").select("sig", "node")
-    grams = whole_sets(docs, _bits(wanted.select("sig"))).groupBy("sig").agg(F.first("grams").alias("grams"))
-    sets = freeze(grams.join(wanted, "sig").select("node", "grams"), "sets")
-
     stars = meets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = freeze(_verified(stars, shape, sets, tenths), "star_links")
+    likely = freeze(_plausible(stars, shape, tenths), "star_pairs")
+    links = freeze(_verified(docs, likely, nodes, tenths), "star_links")
     comps = components(links)
 
     # All candidate pairs between different components: one side is always outside the token's largest component.
@@ -211,8 +223,9 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
                    & (10 * F.least(n_x, n_y) >= tenths * F.greatest(n_x, n_y))
                    & ((10 + tenths) * rest >= tenths * (n_x + n_y)) & indexed)
     pairs = (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    more = freeze(_verified(pairs, shape, sets, tenths), "cross_links")
+             .join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    open_pairs = freeze(_plausible(pairs, shape, tenths), "cross_pairs")
+    more = freeze(_verified(docs, open_pairs, nodes, tenths), "cross_links")
     whole = components(links.union(more))
 
     named = nodes.join(whole, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
