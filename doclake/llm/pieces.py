@@ -14,6 +14,7 @@ equal those of the library.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -264,3 +265,28 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
     frame = rows.select("doc_id", "ids")
     return frame.mapInArrow(run, frame.select("doc_id").schema.add("text", "string"))
+
+
+def digests(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, n_ids, ids_crc32, text_crc32, same_text`` of encoded rows (``doc_id, text, ids``).
+
+    The checksums are those of the ids as 32-bit integers and of the decoded text; ``same_text`` tells whether
+    the decoded text is the given one, where a mark counts as a blank and null as empty.
+    """
+    path = path or model_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for batch in batches:
+            out = []
+            for text, ids in zip(batch.column(1), batch.column(2)):
+                ids = ids.values.to_numpy()
+                back = model.decode(ids)
+                out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()),
+                            back == (text.as_py() or "").replace(MARK, " ")))
+            columns = list(zip(*out)) if out else [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                             ["doc_id", "n_ids", "ids_crc32", "text_crc32", "same_text"])
+    frame = rows.select("doc_id", "text", "ids")
+    return frame.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, same_text boolean")

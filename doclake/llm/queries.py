@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, quality_rules, secrets
+from doclake.llm import decontamination, jaccard_join, licenses, pieces, quality_rules, secrets, token_files, url_filters
+from doclake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,18 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sentencepiece(spark, sf_dir):
+    rows = pieces.encoded(_table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+    return pieces.digests(rows)
+
+
+@query
+def op3_license_scans(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scanned(docs, carry=["doc_id"]).select("_row.doc_id", F.expr("* EXCEPT (_row)"))
+
+
 @query
 def op6_secret_scans(spark, sf_dir):
     # the documents have no path; their source stands for it
@@ -42,6 +55,18 @@ def op6_secret_scans(spark, sf_dir):
     return rows.select("doc_id", "word_no", "value", F.round("score", 6).alias("score"), "secret")
 
 
+@query
+def op7_url_filters(spark, sf_dir):
+    return url_filters.judged(_table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    folder = scratch_path(spark, "tokens")
+    manifest = token_files.write_shards(_table(spark, sf_dir, "documents"), folder)
+    return token_files.read_documents(manifest, folder)
