@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doclake.llm import jaccard_join, quality_rules
+from doclake.llm import decontamination, jaccard_join, pieces, quality_rules, secrets
 from doclake.sources.scratch import scratch_path
 
 
@@ -18,12 +19,31 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are replaced in the text; every document stays."""
+    return secrets.masked(docs, path="source")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_ids, ids``: the pieces of each text."""
+    rows = pieces.encoded(docs, carry=["doc_id", "lang", "source"])
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
 STAGES = [
     ("quality_rules", keep_good),
     ("jaccard_join", keep_one),
+    ("decontamination", keep_clean),
+    ("secret_scans", mask_secrets),
+    ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None    # sketches, forests and latent spaces have no SQL
+ORACLE_SQL = None    # sketches, latent spaces and forests have no SQL; tests/llm checks each stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
