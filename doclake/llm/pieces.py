@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 SLICE = 1 << 21            # characters of text that are encoded together, which bounds the memory of a task
@@ -251,7 +252,7 @@ def encoded(docs: DataFrame, path: str | None = None, carry: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*carry, "ids"])
                 at += len(part)
     frame = docs.select(*[docs[f"`{c}`"] for c in carry], docs["text"].alias("_text"))
-    return frame.mapInArrow(run, frame.select(*carry).schema.add("ids", "array<int>"))
+    return frame.mapInArrow(run, frame.select(*carry).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
