@@ -180,6 +180,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int)
     return with_a.filter((10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _open_places(meets: DataFrame, comps: DataFrame) -> DataFrame:
+    """``token, node, place, comp`` of the shingles whose documents are not all in one component."""
+    placed = meets.join(comps, "node", "left").select("token", "node", "place", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    return freeze(placed.join(mixed.select("token"), "token", "left_semi"), "open")
+
+
 def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``, any others).
 
@@ -204,12 +211,20 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     stars = meets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     likely = freeze(_plausible(stars, shape, tenths), "star_pairs")
     links = freeze(_verified(docs, likely, nodes, tenths), "star_links")
-    comps = components(links)
+    tried = likely.select("a", "b")
+
+    # A second star with a pivot of its own for every shingle joins what is similar, but not to the first pivot.
+    open_ = _open_places(meets, components(links))
+    pivots = open_.groupBy("token").agg(F.min_by("node", F.xxhash64("token", "node")).alias("pivot"),
+                                        F.min_by("comp", F.xxhash64("token", "node")).alias("pivot_comp"))
+    again = (open_.join(pivots, "token").filter("comp != pivot_comp")
+             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    likely = freeze(_plausible(again.join(tried, ["a", "b"], "left_anti"), shape, tenths), "star_pairs")
+    links = freeze(links.union(_verified(docs, likely, nodes, tenths)), "star_links")
+    tried = tried.union(likely.select("a", "b"))
 
     # All candidate pairs between different components: one side is always outside the token's largest component.
-    placed = meets.join(comps, "node", "left").select("token", "node", "place", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    open_ = freeze(placed.join(mixed.select("token"), "token", "left_semi"), "open")
+    open_ = _open_places(meets, components(links))
     major = (open_.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("major")))
     sided = open_.join(major, "token").select(
         "token", "node", "comp", "major", F.shiftright("place", 32).cast("int").alias("pos"),
@@ -223,7 +238,7 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
                    & (10 * F.least(n_x, n_y) >= tenths * F.greatest(n_x, n_y))
                    & ((10 + tenths) * rest >= tenths * (n_x + n_y)) & indexed)
     pairs = (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-             .join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+             .join(tried, ["a", "b"], "left_anti"))
     open_pairs = freeze(_plausible(pairs, shape, tenths), "cross_pairs")
     more = freeze(_verified(docs, open_pairs, nodes, tenths), "cross_links")
     whole = components(links.union(more))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, licenses, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
+from doclake.llm import decontamination, jaccard_join, language_model, licenses, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
 from doclake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op4_quality_classifier(spark, sf_dir):
     return quality_classifier.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_language_model(spark, sf_dir):
+    return language_model.scored(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_secret_scans(spark, sf_dir):
     # the documents have no path; their source stands for it
