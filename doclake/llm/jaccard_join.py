@@ -30,6 +30,7 @@ COUNT_BITS = 18      # size of the table of shingle frequencies: 2^18 counters,
 SEEN_BITS = 23       # size of the bitmap of documents that have candidates: 1 MB for every task
 RANGE_BITS = 6       # the suffix filter splits a set into 2^6 ranges of hash values
 RANGES = 1 << RANGE_BITS
+STAR_ORDERS = 16     # pivots of the second star
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -213,10 +214,12 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     links = freeze(_verified(docs, likely, nodes, tenths), "star_links")
     tried = likely.select("a", "b")
 
-    # A second star with a pivot of its own for every shingle joins what is similar, but not to the first pivot.
+    # A second star with other pivots, by one of some orders for each shingle, joins what is not similar to the first
+    # pivot: each document meets up to STAR_ORDERS of them.
+    order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "node")
     open_ = _open_places(meets, components(links))
-    pivots = open_.groupBy("token").agg(F.min_by("node", F.xxhash64("token", "node")).alias("pivot"),
-                                        F.min_by("comp", F.xxhash64("token", "node")).alias("pivot_comp"))
+    pivots = open_.groupBy("token").agg(F.min_by("node", order).alias("pivot"),
+                                        F.min_by("comp", order).alias("pivot_comp"))
     again = (open_.join(pivots, "token").filter("comp != pivot_comp")
              .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     likely = freeze(_plausible(again.join(tried, ["a", "b"], "left_anti"), shape, tenths), "star_pairs")
