@@ -1,3 +1,85 @@
 """SQL of the check engine for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from doclake.llm import licenses, url_filters
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows: list[list[str]]) -> str:
+    return ", ".join("(" + ", ".join(r) + ")" for r in rows)
+
+
+# --- op3: every block against every template, every position against every phrase ---
+
+_TEMPLATE_ROWS = _values([[_quoted(t), _quoted(label)] for t, label in licenses.TEMPLATES.items()])
+_PHRASE_ROWS = _values([[_quoted(p), _quoted(label)] for p, label in licenses.PHRASES.items()])
+_PARTS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+LICENSES = f"""
+WITH templates AS (SELECT list_distinct(string_split(t, ' ')) AS tw, label FROM (VALUES {_TEMPLATE_ROWS}) v(t, label)),
+phrases AS (SELECT string_split(p, ' ') AS pw, label FROM (VALUES {_PHRASE_ROWS}) v(p, label)),
+docs AS (SELECT doc_id, coalesce(text, '') AS text,
+                list_filter(string_split_regex(lower(coalesce(text, '')), {_PARTS}), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(pw)] = pw)) AS place
+           FROM docs, phrases WHERE list_contains(w, pw[1])),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]\\s+|\\n')) AS block FROM docs),
+block_words AS (SELECT doc_id, list_distinct(string_split_regex(lower(block), {_PARTS})) AS bw FROM blocks
+                WHERE lower(block) SIMILAR TO '(?s).*(licen|reserved|permi|compliance|domain|charge|redistribut|software).*'),
+shares AS (SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM block_words, templates),
+method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM shares
+           WHERE share >= {licenses.TENTHS} / 10 GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_filter(list_concat(
+           string_split(coalesce(base_labels, ''), ','), coalesce(labels, [])), lambda x: x <> ''))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM docs d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
+"""
+
+# --- op7: every url against every rule ---
+
+
+def _like(pattern: str) -> str:
+    """A pattern rule as a regular expression of the check engine."""
+    head = ""
+    if pattern.startswith("||"):
+        head, pattern = "^[^:/?#]*://([^/?#]*[.])?", pattern[2:]
+    out = ""
+    for c in pattern:
+        out += {"*": ".*", "^": "([^0-9a-z_.%-]|$)"}.get(c) or (c if c.isalnum() else f"[{c}]")
+    return head + out
+
+
+_PLACES = _values([[_quoted(r.pattern), _quoted(r.pattern.split("/")[0]), _quoted("/" + r.pattern.split("/", 1)[1]),
+                    _quoted(r.action)] for r in url_filters.PLACE_RULES])
+_PATTERNS = _values([[_quoted(r.pattern), _quoted(_like(r.pattern)), _quoted(r.action)] for r in url_filters.PATTERN_RULES])
+
+URLS = f"""
+WITH parts AS (
+  SELECT page_id, url, translate(url, '{_UPPER}', '{_LOWER}') AS low,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+                 regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts),
+rules AS (SELECT * FROM (VALUES {_PLACES}) v(pattern, rule_host, rule_path, action)),
+patterns AS (SELECT * FROM (VALUES {_PATTERNS}) v(pattern, regex, action)),
+fits AS (
+  SELECT page_id, pattern, action, 1 AS level FROM split, rules
+  WHERE (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  UNION ALL
+  SELECT page_id, pattern, action, 0 FROM split, patterns WHERE strpos(url, '://') > 0 AND regexp_matches(low, regex)),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level DESC, length(pattern) DESC,
+                                      (action = 'allow') DESC, pattern DESC) AS r FROM fits)
+SELECT s.page_id, s.host, s.path, CASE WHEN level = 1 THEN pattern END AS rule,
+       coalesce(action, 'allow') AS verdict, pattern
+FROM split s LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_license_scans": LICENSES, "op7_url_filters": URLS}

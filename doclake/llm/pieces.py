@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 SLICE = 1 << 21            # characters of text that are encoded together, which bounds the memory of a task
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CACHED_PAIRS = 1_000_000
 LOWEST = float("-inf")
 
@@ -164,16 +164,17 @@ class Pieces:
         """Ids of each text; none for null and empty texts."""
         cut = [self._marked(t) for t in texts]
         new = {w for ws in cut for w in ws if w not in self.words}
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = {w for ws in cut for w in ws}
         runs = {w for w in new if MARK in w[1:]}       # runs of blanks tie in score, so they are merged one by one
         for word, pieces in self.segment_all(sorted(new - runs)):
             self.words[word] = self.numbers(pieces)
         for word in runs:
             blanks = len(word) - len(word.lstrip(MARK))
             self.words[word] = self.numbers(self._after_blanks(word, blanks))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
+        out = [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
+        if len(self.words) > CACHED_WORDS:      # full: what came first, with the common words, stays
+            for w in new:
+                del self.words[w]
+        return out
 
     def _after_blanks(self, word: str, blanks: int) -> list[str]:
         """A run of blanks keeps its last one for the word, unless the word merges with none."""

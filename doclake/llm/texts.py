@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,18 +50,6 @@ def packed(df: DataFrame, columns: list[str], carry: list[str] | None = None) ->
     return df.select(F.struct(*[df[f"`{c}`"] for c in carry or df.columns]).alias("_row"), *[df[f"`{c}`"] for c in columns])
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept up to a bounded number."""
-
-    limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 # --- words of a whole Arrow column at once -----------------------------------
 
 _CHUNK = 1 << 21      # bytes that are hashed together, which bounds the working arrays

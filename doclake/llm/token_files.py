@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from doclake.sources.scratch import freeze
 
 SHARD_BYTES = 64 << 20     # text that goes to one shard
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 SLICE = 1 << 21
 #: From 65,536 ids on, they take four bytes.
 WIDE = 1 << 16
@@ -62,8 +62,6 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words that follow a blank."""
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
         parts: dict[str, tuple[str, str]] = {}
         cores, tails = set(), set()
         for w in words:
@@ -97,8 +95,6 @@ class WordEncoder:
         new = {w for c in cut if c for w in c[1:]}
         new.difference_update(self.words)
         if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                new = {w for c in cut if c for w in c[1:]}
             self._learn(new)
         out = []
         for t, c in zip(texts, cut):
@@ -107,6 +103,9 @@ class WordEncoder:
             else:
                 first = np.array(self._ids(c[0]) if c[0] else [], self.dtype).tobytes()
                 out.append(first + b"".join(map(self.words.__getitem__, c[1:])))
+        if len(self.words) > CACHED_WORDS:      # full: what came first, with the common words, stays
+            for w in new:
+                del self.words[w]
         return out
 
 
