@@ -73,11 +73,11 @@ def _fix_bullets(t: Column) -> Column:
     # Of adjacent bullets without text only the last one decides the depth.
     t = F.regexp_replace(t, rf"(?Umd)^{_empty_bullet('a')}\n(?={_empty_bullet('b')})", "")
     # A note directly below a line with text gets a blank line; bullets without text do not count as lines.
-    t = F.when(
-        t.rlike(rf"(?Umd)^{NOTE}"),
+    t = let(t, lambda u: F.when(
+        u.rlike(rf"(?Umd)^{NOTE}"),
         F.regexp_replace(
-            t, rf"(?Umd)^(?!{_empty_bullet('a')})(?=.*{INK}).*+\n(?:{_empty_bullet('b')}\n)?(?={NOTE})", "$0\n"),
-    ).otherwise(t)
+            u, rf"(?Umd)^(?!{_empty_bullet('a')})(?=.*{INK}).*+\n(?:{_empty_bullet('b')}\n)?(?={NOTE})", "$0\n"),
+    ).otherwise(u))
     # The depth of a symbol bullet holds until the next one, or until other content ends the list. Cutting
     # the text at symbol bullets therefore turns the running depth into a property of each piece.
     pieces = F.split(t, rf"(?Umd)^(?= *- {SYMBOL}|- l(?: |$))", -1)
@@ -147,9 +147,9 @@ def _despace(t: Column) -> Column:
     run = rf"(?<!{HANGUL}){HANGUL}(?: {{1,3}}{HANGUL}){{3,}}+"
 
     def close_up(runs: Column) -> Column:
-        # two blanks are a word break, one is letter-spacing; a run holds only Hangul and blanks
-        return F.transform(runs, lambda r: F.replace(
-            F.replace(F.replace(r, F.lit("  "), F.lit("\0")), F.lit(" "), F.lit("")), F.lit("\0"), F.lit(" ")))
+        # two or three blanks are a word break, a single one is letter-spacing; every blank that has no blank
+        # right behind it goes, which empties single ones and leaves a word break one or two, then one of these
+        return F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, " (?! )", ""), " +", " "))
 
     return F.when(t.rlike(run), replace_tokens(t, run, close_up)).otherwise(t)
 

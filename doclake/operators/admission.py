@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclake import constants as C
 from doclake.operators.cache import KEY, cached_results
 from doclake.operators.jobs import queued_counts
-from doclake.operators.skew import lookup_join, running_total
+from doclake.operators.skew import running_total
 from doclake.sources.scratch import freeze
 
 
@@ -57,7 +57,7 @@ def session_quota(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
     ``eligible`` marks uploads that would be queued if there were no quota. Counting all of them is exact:
     beyond the cap the count stays beyond the cap.
     """
-    known = lookup_join(uploads, queued_counts(jobs), ["session_id"])
+    known = uploads.join(queued_counts(jobs), "session_id", "left")
     return (running_total(known, ["session_id"], [F.col("arrival"), F.col("upload_id")],
                           F.col("eligible").cast("int"), "_earlier")
             .withColumn("over_quota", F.coalesce("n_queued", F.lit(0)) + F.col("_earlier") >= C.MAX_QUEUED_PER_SESSION)
@@ -66,7 +66,7 @@ def session_quota(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, now: float) -> DataFrame:
     """Job rows for a batch of uploads: queued, finished from the cache, or failed with a reason."""
-    probed = with_probe(lookup_join(uploads, cached_results(jobs), KEY), pages)
+    probed = with_probe(uploads.join(cached_results(jobs), KEY, "left"), pages)
     eligible = reject_reason(F.lit(False)).isNull() & F.col("cached_id").isNull()
     # The quota reads its input several times; storing it once spares the probe and the cache join.
     judged = session_quota(freeze(probed.withColumn("eligible", eligible), "admission"), jobs)

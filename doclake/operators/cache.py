@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake import constants as C
-from doclake.operators.skew import lookup_join
 
 KEY = ["sha256", "opts_hash"]
 
@@ -58,7 +57,7 @@ def cached_results(jobs: DataFrame) -> DataFrame:
 def apply_cache(uploads: DataFrame, cached: DataFrame) -> DataFrame:
     """A hit becomes a finished row with the earlier result, a miss is queued."""
     hit = F.col("cached_id").isNotNull()
-    return lookup_join(uploads, cached, KEY).withColumn("status", F.when(hit, "done").otherwise("queued"))
+    return uploads.join(cached, KEY, "left").withColumn("status", F.when(hit, "done").otherwise("queued"))
 
 
 def invalidated(jobs: DataFrame, rev: int) -> DataFrame:

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from doclake import constants as C
 from doclake.functions.markdown import BLANK, PIPE_LINE
 
-_SEPARATOR = rf"(?U)^(?=.*-){BLANK}*+\|?(?:{BLANK}*+:?-++:?{BLANK}*+\|)*+{BLANK}*+(?::?-++:?)?{BLANK}*+$"
+_DASHES = rf"{BLANK}*+:?-++:?{BLANK}*+"
+_DELIMITER = rf"{PIPE_LINE}{_DASHES}(?:\|{_DASHES})*+\|?{BLANK}*+\n"
 _IMAGE_REFERENCE = r"!\[[^\]\n]*\]\([^)\n]*\)"
 
 
 def _tables(text: Column) -> Column:
-    """Runs of pipe lines, each as one string."""
-    return F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(rf"(?Umd)(?:^{PIPE_LINE}.*+\n)++"), F.lit(0))
+    """Tables, each as one string: a header, a line of dashes, and the pipe lines that follow."""
+    table = rf"(?Umd)^{PIPE_LINE}.*+\n{_DELIMITER}(?:{PIPE_LINE}.*+\n)*+"
+    return F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(table), F.lit(0))
 
 
 def _rows(table: Column) -> Column:
-    """Rows of a table as arrays of cells, without the separator line."""
+    """Rows of a table as arrays of cells, without its second line."""
     lines = F.split(F.rtrim(table, F.lit("\n")), "\n", -1)
-    content = F.filter(lines, lambda line: ~line.rlike(_SEPARATOR))
+    content = F.filter(lines, lambda line, i: i != 1)
 
     def cells(line: Column) -> Column:
         inner = F.regexp_replace(line, rf"(?U)\A{BLANK}*+\||(?<!\\)\|{BLANK}*+\z", "")
@@ -61,7 +63,8 @@ def count_artifacts(docs: DataFrame, key: str = "doc_id", col: str = "text") ->
 
 
 def apply_image_mode(docs: DataFrame, include: Column, col: str = "text") -> DataFrame:
-    """Image references relative to the document where ``include`` holds, a placeholder elsewhere."""
-    relative = F.regexp_replace(F.col(col), r"(!\[[^\]\n]*\]\()(?:[^)\n]*/)?images/([^)\n]*\))", "$1images/$2")
+    """Local images as ``images/<base name>`` where ``include`` holds, a placeholder elsewhere; locations stay."""
+    local = r"(!\[[^\]\n]*\]\()(?![A-Za-z][A-Za-z0-9+.-]*:)(?:[^)\n]*/)?([^)/\n]+\))"
+    relative = F.regexp_replace(F.col(col), local, "$1images/$2")
     hidden = F.regexp_replace(F.col(col), _IMAGE_REFERENCE, C.IMAGE_PLACEHOLDER)
     return docs.withColumn(col, F.when(include, relative).otherwise(hidden))

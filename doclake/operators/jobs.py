@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake import constants as C
-from doclake.operators.skew import lookup_join, running_total
+from doclake.operators.skew import running_total
 
 ACTIVE = "status IN ('queued', 'running')"
 
@@ -38,17 +38,18 @@ def fold_jobs(events: DataFrame) -> DataFrame:
 
 
 def list_jobs(jobs: DataFrame, session: str | None = None, admin: bool = False,
-              limit: int = C.LIST_LIMIT) -> DataFrame:
-    """The newest jobs of a session, or of everyone for an administrator."""
+              limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` jobs of a session, or of everyone for an administrator; all of them without a limit."""
     visible = jobs if admin else jobs.filter(F.col("session_id") == session)
-    return visible.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    ordered = visible.orderBy(F.desc("created_at"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def owned(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests ``(request_id, id, session_id, admin)`` that may read a finished job."""
     done = jobs.filter(F.col("status") == "done").select(
         "id", F.col("session_id").alias("owner"), "filename", "result_dir")
-    return (lookup_join(requests, done, ["id"])
+    return (requests.join(done, "id", "left")
             .filter(F.col("owner").isNotNull() & ((F.col("owner") == F.col("session_id")) | F.col("admin")))
             .select("request_id", "id", "filename", "result_dir"))
 
@@ -65,7 +66,7 @@ def earlier_active(jobs: DataFrame, value: Column, out: str) -> DataFrame:
     """
     instants = (jobs.filter(ACTIVE).groupBy("created_at").agg(F.sum(value).alias("_at_instant")))
     totals = running_total(instants, [], [F.col("created_at")], F.col("_at_instant"), out)
-    return lookup_join(jobs.filter(F.col("status") == "queued"), totals.select("created_at", out), ["created_at"])
+    return jobs.filter(F.col("status") == "queued").join(totals.select("created_at", out), "created_at", "left").select(*jobs.columns, out)
 
 
 def with_ahead(jobs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def symbol_report(docs: DataFrame, col: str = "text") -> DataFrame:
     """
     found = F.regexp_extract_all(F.col(col), F.lit(SYMBOL), F.lit(0))
     per_doc = F.transform(F.array_distinct(found), lambda s: F.struct(
-        s.alias("symbol"), F.regexp_count(F.col(col), F.concat(F.lit("\\Q"), s, F.lit("\\E"))).alias("n")))
+        s.alias("symbol"), (F.length(col) - F.length(F.replace(F.col(col), s, F.lit("")))).alias("n")))
     return (docs.select(F.explode(per_doc).alias("s"))
             .groupBy("s.symbol").agg(F.sum("s.n").alias("n"), F.count(F.lit(1)).alias("n_docs")))
 

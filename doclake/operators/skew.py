@@ -4,87 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
-MAX_BUCKETS = 4096         # bounds the cut points held by the driver
-SAMPLES_PER_BUCKET = 20
-MAX_HOT_KEYS = 64          # bounds the broadcast side of a hot-key join
-MIN_HOT_ROWS = 100_000     # below this a key is never worth a separate join
+from doclake.sources.scratch import freeze
 
+ROWS_PER_BUCKET = 200_000     # rows that one window task sorts
 
-def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+
+def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` that come earlier in ``order``.
 
     ``order`` must be total within a key. A plain window would put all rows of a key into one task. Here the
-    rows are cut into buckets of similar size along (keys, order), whatever the keys are; a window sums
-    within each bucket, and the totals of the earlier buckets of the same key are added. Only the bucket
-    totals meet in one place, at most one per bucket and key. The cut points come from a sample of bounded
-    size that is fixed by a hash, so a recomputed task sees the same buckets.
+    rows are partitioned by range along (keys, order), in as many ranges as the number of rows asks for, and
+    stored once, so that a recomputed task sees the same ranges. A window sums within each range and key, and
+    the totals of the earlier ranges of the same key are added. Only these totals meet by key: one row per
+    range and key, of which a range shares at most one key with the range before it.
     """
-    buckets = max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     order_names = [f"_order{i}" for i in range(len(order))]
     rows = df.withColumns(dict(zip(order_names, order)) | {"_value": value})
-    position = F.struct(*keys, *order_names)
+    ranges = 1 + df.count() // rows_per_bucket
+    rows = freeze(rows.repartitionByRange(ranges, *keys, *order_names)
+                  .withColumn("_bucket", F.spark_partition_id()), "ranges")
 
-    wanted = buckets * SAMPLES_PER_BUCKET
-    sample = [r[0] for r in rows.select(position.alias("p")).orderBy(F.xxhash64("p")).limit(wanted)
-              .orderBy("p").select(F.to_json("p")).collect()]
     earlier = Window.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
-    if len(sample) < wanted:
-        # the sample is the whole input, so its size is known to be small
-        window = earlier.partitionBy(*keys) if keys else earlier
-        return (rows.withColumn(out, F.coalesce(F.sum("_value").over(window), F.lit(0)))
-                .drop(*order_names, "_value"))
-
-    cuts = [sample[i * wanted // buckets] for i in range(1, buckets)]
-    rows = rows.withColumn("_bucket", _bucket_of(position, cuts, rows.select(position.alias("p")).schema["p"].dataType))
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # A bucket continues at most one key of the bucket before it: fewer than MAX_BUCKETS rows remain.
-    offsets = (totals.withColumn("_offset", F.sum("_total").over(before))
+    offsets = (rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
+               .withColumn("_offset", F.sum("_total").over(before))
                .filter(F.col("_offset") != 0).drop("_total")
                .toDF(*[f"_o_{k}" for k in keys], "_o_bucket", "_offset"))
     match = F.col("_bucket") == F.col("_o_bucket")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
     within = F.coalesce(F.sum("_value").over(earlier.partitionBy(*keys, "_bucket")), F.lit(0))
-    return (rows.withColumn(out, within)
-            .join(F.broadcast(offsets), match, "left")
+    return (rows.withColumn(out, within).join(offsets, match, "left")
             .withColumn(out, F.col(out) + F.coalesce("_offset", F.lit(0)))
             .select(*df.columns, out))
-
-
-def _bucket_of(position: Column, cuts: list[str], row_type: StructType) -> Column:
-    """Number of cut points not greater than ``position``, by bisection over a literal array.
-
-    Sorting after parsing keeps the buckets in order even where JSON rounds a value.
-    """
-    bounds = F.sort_array(F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(row_type)))
-    halves = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(h) for h in halves]), F.lit(0),
-        lambda low, half: F.when(F.get(bounds, low + half - 1) <= position, low + half).otherwise(low))
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join to a side with at most one row per key, with hot keys of the left side taken apart.
-
-    Keys that hold more than 1/64 of the left rows are at most 64. Their rows on the right are therefore a
-    bounded broadcast, and the rows on the left stay where they are; all other keys take the usual join.
-    """
-    counts = left.groupBy(*on).count()
-    top = counts.orderBy(F.desc("count"), *on).limit(MAX_HOT_KEYS).filter(F.col("count") >= MIN_HOT_ROWS).collect()
-    if not top:
-        return left.join(right, on, "left")
-    total = counts.agg(F.sum("count")).first()[0]
-    hot_keys = [row for row in top if row["count"] * MAX_HOT_KEYS > total]
-    if not hot_keys:
-        return left.join(right, on, "left")
-    is_hot = F.lit(False)
-    for row in hot_keys:
-        same = F.lit(True)
-        for name in on:
-            same = same & F.col(name).eqNullSafe(F.lit(row[name]))
-        is_hot = is_hot | same
-    hot = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, "left")
-    return left.filter(~is_hot).join(right, on, "left").unionByName(hot)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.sources.uploads import spread
 
 NOW_LIVE = 1704074400.0
 NOW_SWEEP = 1704163600.0
@@ -142,7 +141,7 @@ def curr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.floor((F.col("n_chars") - 1) / 200).cast("int")
-    return (spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return (table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
             .select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("page_no"))
             .select("doc_id", "page_no",
                     F.when(F.col("doc_id") % 13 == 0, " ")
@@ -152,6 +151,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the phenomena in their lines, built row by row without a shuffle."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(docs).select(
+    return docs.select(
         "doc_id",
         F.expr(f"array_join(transform(split(text, '\\n', -1), (t, n) -> {RAW_LINE}), '\\n')").alias("text"))

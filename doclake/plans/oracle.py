@@ -50,13 +50,16 @@ _SHARED = {
     "shown_prev": "SELECT *, {LABEL} AS label FROM (SELECT *, {PROGRESS} AS progress FROM ahead_prev)",
     "shown_curr": "SELECT *, {LABEL} AS label FROM (SELECT *, {PROGRESS} AS progress FROM ahead_curr)",
     # pipe rows, numbered in islands
-    "pipe_lines": r"""SELECT doc_id, n, x, dense_rank() OVER (PARTITION BY doc_id ORDER BY n - r) AS table_no FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM raw_lines
-        WHERE regexp_matches(x, '^\s*\|'))""",
+    "pipe_lines": r"""SELECT doc_id, n, x, k, dense_rank() OVER (PARTITION BY doc_id ORDER BY island) AS table_no FROM (
+        SELECT *, min(CASE WHEN dashes AND place > 1 THEN n END) OVER (PARTITION BY doc_id, island) AS k FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY n) AS place,
+            regexp_matches(x, '^\s*\|(\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?\s*$') AS dashes FROM (
+            SELECT doc_id, n, x, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM raw_lines
+            WHERE regexp_matches(x, '^\s*\|')))) WHERE n >= k - 1""",
     "table_rows": r"""SELECT doc_id, table_no, row_number() OVER (PARTITION BY doc_id, table_no ORDER BY n) - 1 AS row_no,
         list_transform(string_split(regexp_replace(regexp_replace(x, '^\s*\|', ''), '\|\s*$', ''), '|'),
           lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')) AS cells
-        FROM pipe_lines WHERE NOT (regexp_matches(x, '^\s*\|?(?:\s*:?-+:?\s*\|)*\s*(?::?-+:?)?\s*$') AND contains(x, '-'))""",
+        FROM pipe_lines WHERE n <> k""",
 }
 _PROGRESS = f"""CASE WHEN status = 'done' THEN 100 WHEN status = 'running' AND coalesce(started_at, 0) <> 0
     THEN CAST(trunc(least(95.0, ({NOW_LIVE} - started_at) / greatest(1.0, coalesce(nullif(page_total, 0), 1)
@@ -95,6 +98,8 @@ def _add(name: str, body: str, ctes: list[tuple[str, str]] = (), recursive: bool
 
 
 # --- sources and sinks
+_add("scan_uploads", """SELECT part, length, length > 50000 AS too_big, CASE WHEN length <= 50000 THEN length END AS n_read
+    FROM (SELECT doc_id % 64 AS part, CAST(sum(strlen(text) + 1) AS bigint) AS length FROM documents GROUP BY 1)""")
 _add("magic_test", "SELECT doc_id, doc_id % 17 <> 0 AS is_pdf FROM documents")
 _add("content_hash", """SELECT sha256(text) AS sha256, max(strlen(text)) AS length, count(*) AS n_copies
     FROM documents GROUP BY 1""")
@@ -119,8 +124,7 @@ _add("safe_names", f"""SELECT id, CASE WHEN k = 1 THEN base ELSE concat(base, '-
 _add("bundle_manifest", f"""SELECT id, folder, rel_path, concat(folder, '/', rel_path) AS entry FROM (
       SELECT id, CASE WHEN k = 1 THEN base ELSE concat(base, '-', k - 1) END AS folder FROM (
         SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY created_at DESC, id DESC) AS k FROM (
-          SELECT id, created_at, {_BASE} AS base FROM (SELECT *, {_STEM} AS stem FROM (
-            SELECT * FROM awkward_jobs ORDER BY created_at DESC, id DESC LIMIT {C.LIST_LIMIT})
+          SELECT id, created_at, {_BASE} AS base FROM (SELECT *, {_STEM} AS stem FROM awkward_jobs
             WHERE status = 'done' AND result_dir NOT LIKE 'r/0%')))),
       (SELECT unnest(['doc.md', 'images/image-1.png', 'tables/table-01.csv']) AS rel_path)""")
 

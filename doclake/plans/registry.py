@@ -22,6 +22,8 @@ AWKWARD_NAME = """CASE page_total % 5 WHEN 0 THEN concat('a/b:', filename, '*')
   WHEN 2 THEN concat(' ', filename, '.pdf') ELSE filename END"""
 # Revision 6 made a third of the results.
 OLD_HASH = "'rev=6;img=1;csv=1'"
+# Of the files that the scan reads, some are larger.
+SCAN_LIMIT = 50_000
 
 
 def query(fn: Query) -> Query:
@@ -33,8 +35,12 @@ def query(fn: Query) -> Query:
 
 @query
 def scan_uploads(spark, sf):
-    files = uploads.within_size(uploads.scan_uploads(spark, sf, "*.parquet"))
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    path = scratch_path(spark, "uploads")
+    parts = D.table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("part"), "text")
+    parts.repartition("part").write.option("lineSep", "\n").partitionBy("part").text(path)
+    files = uploads.flag_oversize(uploads.scan_uploads(spark, path, "*.txt", columns=["part"]), SCAN_LIMIT)
+    return files.select(F.col("part").cast("bigint"), "length", "too_big",
+                        F.octet_length("content").cast("bigint").alias("n_read"))
 
 
 def _blobs(spark, sf):
@@ -178,12 +184,12 @@ def fold_jobs(spark, sf):
 
 @query
 def list_jobs(spark, sf):
-    return jobs.list_jobs(D.jobs(spark, sf), session="s7").select("id", "status", "created_at")
+    return jobs.list_jobs(D.jobs(spark, sf), session="s7", limit=C.LIST_LIMIT).select("id", "status", "created_at")
 
 
 @query
 def list_jobs_admin(spark, sf):
-    return jobs.list_jobs(D.jobs(spark, sf), admin=True).select("id", "session_id", "created_at")
+    return jobs.list_jobs(D.jobs(spark, sf), admin=True, limit=C.LIST_LIMIT).select("id", "session_id", "created_at")
 
 
 @query
@@ -316,7 +322,7 @@ def changed_fields(spark, sf):
 
 @query
 def unescape(spark, sf):
-    pages = uploads.spread(D.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = D.table(spark, sf, "pages").select("page_id", "html")
     return pages.transform(markdown.unescape, "html")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.operators.extract import csv_tables
@@ -15,11 +15,12 @@ BYTE_ORDER_MARK = "\ufeff"
 def write_results(results: DataFrame, path: str) -> None:
     """Store ``(sha256, opts_hash, text, n_tables, n_images)``, one row per key, in a new directory.
 
-    Of several conversions of one key an arbitrary but fixed one stays; their texts are equal.
+    Of several conversions of one key one stays, that with the largest counts; their texts are equal.
     """
     key = ["sha256", "opts_hash"]
-    best = F.max(F.struct("text", "n_tables", "n_images")).alias("r")
-    results.groupBy(*key).agg(best).select(*key, "r.*").write.parquet(path)
+    best = F.max_by("text", F.struct("n_tables", "n_images")).alias("text")
+    counts = F.max(F.struct("n_tables", "n_images")).alias("r")
+    results.groupBy(*key).agg(best, counts).select(*key, "text", "r.*").write.parquet(path)
 
 
 def write_table_csv(docs: DataFrame, path: str, key: str = "doc_id", col: str = "text") -> None:
@@ -51,19 +52,23 @@ def safe_names(df: DataFrame, order: list[Column], col: str = "filename") -> Dat
         .otherwise(F.concat("_base", F.lit("-"), F.col("_repeat").cast("string")))).drop("_base", "_repeat")
 
 
-def bundle_manifest(jobs: DataFrame, files: DataFrame, session: str | None = None, admin: bool = False) -> DataFrame:
-    """Entries of the "download all" bundle from ``files(result_dir, rel_path)``.
+def bundle_manifest(jobs: DataFrame, files: DataFrame, session: str | None = None, admin: bool = False,
+                    limit: int | None = None) -> DataFrame:
+    """Entries of the "download all" bundle from ``files(result_dir, rel_path)``, for the newest ``limit`` jobs or all.
 
-    At most ``LIST_LIMIT`` jobs take part, which bounds what is broadcast to the file list. Jobs whose
-    directory is gone do not use up a suffix.
+    Jobs whose directory is gone do not use up a suffix.
     """
-    done = (list_jobs(jobs, session, admin)
+    done = (list_jobs(jobs, session, admin, limit)
             .filter((F.col("status") == "done") & (F.col("result_dir") != ""))
             .select("id", "filename", "result_dir", "created_at"))
-    ours = files.join(F.broadcast(done.select("result_dir").distinct()), "result_dir", "left_semi")
+    ours = files.join(done.select("result_dir").distinct(), "result_dir", "left_semi")
     present = done.join(ours.select("result_dir").distinct(), "result_dir", "left_semi")
-    # a rank over these few rows turns "newest first, larger id first" into one ascending order
-    ranked = present.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))
-    named = safe_names(ranked, [F.col("_rank")])
-    return (ours.join(F.broadcast(named.select("id", "result_dir", "folder")), "result_dir")
+    named = safe_names(newest_first(present), [F.col("_rank")])
+    return (ours.join(named.select("id", "result_dir", "folder"), "result_dir")
             .select("id", "folder", "rel_path", F.concat("folder", F.lit("/"), "rel_path").alias("entry")))
+
+
+def newest_first(jobs: DataFrame) -> DataFrame:
+    """Add ``_rank``: the place of a job, newest first and larger id first, as one ascending number."""
+    fewer = running_total(jobs, [], [F.col("created_at"), F.col("id")], F.lit(1), "_rank")
+    return fewer.withColumn("_rank", -F.col("_rank"))

@@ -21,9 +21,12 @@ def scan_uploads(spark: SparkSession, path: str, pattern: str = "*", columns: Se
             .select("path", "modificationTime", "length", "content", *columns))
 
 
-def within_size(uploads: DataFrame, max_bytes: int = C.MAX_BYTES) -> DataFrame:
-    """Keep files of acceptable size; the file source applies this before it opens a file."""
-    return uploads.filter(F.col("length") <= max_bytes)
+def flag_oversize(uploads: DataFrame, max_bytes: int = C.MAX_BYTES) -> DataFrame:
+    """Add ``too_big``; the body of such a file is null and is never read, its row stays."""
+    fits = uploads.filter(F.col("length") <= max_bytes).withColumn("too_big", F.lit(False))
+    big = uploads.filter(F.col("length") > max_bytes).withColumns(
+        {"content": F.lit(None).cast("binary"), "too_big": F.lit(True)})
+    return fits.unionByName(big)
 
 
 def is_pdf(content: Column) -> Column:
@@ -43,16 +46,6 @@ def unique_blobs(df: DataFrame) -> DataFrame:
     return df.groupBy("sha256").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n_copies"))
 
 
-def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Use all cores for a scan that has fewer splits than the cluster has cores.
-
-    Text rules are bound by the processor, and a file of one row group is one task. A scan with enough
-    splits is left alone, so a large table is never shuffled for this.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores, key) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def to_lines(docs: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """One row per line, numbered from 0; empty lines stay."""
     return docs.select(key, F.posexplode(F.split(F.col(col), "\n", -1)).alias("n", "x"))

@@ -72,8 +72,8 @@ def test_uploaded_files(spark, tmp_path):
     marked = up.with_content_hash(up.with_magic(files))
     assert sorted(r.is_pdf for r in marked.collect()) == [False, True, True]
     assert sorted((r.length, r.n_copies) for r in up.unique_blobs(marked).collect()) == [(7, 1), (13, 2)]
-    assert up.within_size(files, 10).count() == 1
-    plan = up.within_size(files, 10).select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert [r.too_big for r in up.flag_oversize(files, 10).orderBy("too_big").collect()].count(False) == 1
+    plan = up.flag_oversize(files, 10).select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,10)]" in plan and "content" not in plan.split("ReadSchema")[1]
 
 

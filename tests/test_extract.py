@@ -8,13 +8,14 @@ def _doc(spark, *lines):
     return spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
 
 
-TABLES = ["글", "| 이름 | b |", "|---|:-:|", "| 가, 나 | \"3\" |", "| c \\| d |  |", "", "  | 한 칸 |", "| - | x |", "끝"]
+TABLES = ["글", "| 이름 | b |", "|---|:-:|", "| 가, 나 | \"3\" |", "| c \\| d |  |", "", "|x| is no table", "| nor this |", "",
+          "  | 한 칸 |", "| - |", "| - | x |", "|---|", "끝"]
 
 
 def test_cells(spark):
     got = [tuple(r)[1:] for r in extract.extract_tables(_doc(spark, *TABLES)).orderBy("table_no", "row_no", "col_no").collect()]
     assert got == [(1, 0, 0, "이름"), (1, 0, 1, "b"), (1, 1, 0, "가, 나"), (1, 1, 1, '"3"'), (1, 2, 0, "c | d"), (1, 2, 1, ""),
-                   (2, 0, 0, "한 칸"), (2, 1, 0, "-"), (2, 1, 1, "x")]
+                   (2, 0, 0, "한 칸"), (2, 1, 0, "-"), (2, 1, 1, "x"), (2, 2, 0, "---")]
 
 
 def test_csv_matches_pandas(spark):
@@ -24,12 +25,21 @@ def test_csv_matches_pandas(spark):
     assert got[1] == '이름,b\n"가, 나","""3"""\nc | d,'
     frame = pd.read_csv(io.StringIO(got[1]), keep_default_na=False, dtype=str)
     assert frame.to_csv(index=False).rstrip("\n") == got[1]
-    assert extract.csv_tables(_doc(spark, "| a |", "|  |")).first().csv == 'a\n""'
+    assert extract.csv_tables(_doc(spark, "| a |", "|:--|", "|  |")).first().csv == 'a\n""'
+
+
+def test_a_line_above_the_header_and_dashes_in_the_first_line(spark):
+    rows = ["| above |", "|---|---|", "|---|---|", "| 1 | 2 |", "| - | - |", "| 3 | 4 |"]
+    got = [(r.row_no, r.col_no, r.value) for r in extract.extract_tables(_doc(spark, *rows)).orderBy("row_no", "col_no").collect()]
+    assert got == [(0, 0, "above"), (1, 0, "---"), (1, 1, "---"), (2, 0, "1"), (2, 1, "2"), (3, 0, "-"), (3, 1, "-"), (4, 0, "3"), (4, 1, "4")]
 
 
 def test_counts_and_image_modes(spark):
     doc = _doc(spark, "<!-- image -->", "![Image](/tmp/x/images/i1.png) ![b](images/i2.png)", *TABLES)
     assert tuple(extract.count_artifacts(doc).first()) == (1, 2, 3)
+    other = _doc(spark, "![a](https://host/images/y.png) ![b](/abs/pic.png) ![c](data:image/png;base64,AA/B) ![d](up/../e.png)")
+    assert extract.apply_image_mode(other, F.lit(True)).first().text == (
+        "![a](https://host/images/y.png) ![b](images/pic.png) ![c](data:image/png;base64,AA/B) ![d](images/e.png)")
     on = extract.apply_image_mode(doc, F.lit(True)).first().text
     assert "![Image](images/i1.png) ![b](images/i2.png)" in on and "](/" not in on
     off = extract.apply_image_mode(doc, F.lit(False))
@@ -38,7 +48,7 @@ def test_counts_and_image_modes(spark):
 
 
 def test_csv_files(spark, tmp_path):
-    many = ["| t |", ""] * 101
+    many = ["| t |", "|---|", ""] * 101
     results.write_table_csv(_doc(spark, *many), str(tmp_path / "out"))
     folders = sorted(p.name for p in (tmp_path / "out" / "doc_id=1").iterdir())
     assert folders[0] == "table=table-01" and "table=table-101" in folders and len(folders) == 101

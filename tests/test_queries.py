@@ -10,8 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
-
-NO_SQL = {"scan_uploads"}
+from doclake.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,14 +27,11 @@ def _value(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     got = collections.Counter(tuple(_value(r[c]) for c in columns) for r in df.collect())
-    if name in NO_SQL:
-        assert name not in entry.oracle_sql() and got
-        return
     cursor = duck.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
@@ -55,7 +51,7 @@ def test_clean_up_needs_no_shuffle_and_no_python(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - NO_SQL))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_all_rows(spark, name):
     if name.startswith("stream_"):
         pytest.skip("runs as a stream")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from doclake.operators import skew
+from doclake.operators import jobs, skew
 
 
 def _rows(n, seed=7):
@@ -25,7 +25,7 @@ def test_running_total_with_hot_key(spark):
     rows = _rows(3000)
     df = spark.createDataFrame(rows, "i int, k string, t double, v int").repartition(5)
     for keyed in (True, False):
-        got = skew.running_total(df, ["k"] if keyed else [], [F.col("t"), F.col("i")], F.col("v"), "before")
+        got = skew.running_total(df, ["k"] if keyed else [], [F.col("t"), F.col("i")], F.col("v"), "before", 100)
         assert {r.i: r.before for r in got.collect()} == _expected(rows, keyed)
 
 
@@ -47,12 +47,27 @@ def test_running_total_splits_the_hot_key(spark):
     assert "from_json" not in plan.split("== Optimized Logical Plan ==")[1]
 
 
-def test_lookup_join_takes_hot_keys_apart(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 10)
-    rows = _rows(2000)
-    left = spark.createDataFrame(rows, "i int, k string, t double, v int")
-    right = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, w int")
-    got = skew.lookup_join(left, right, ["k"])
-    assert "Union" in got._jdf.queryExecution().toString()
-    weights = {"hot": 1, "a": 2}
-    assert {r.i: r.w for r in got.collect()} == {i: weights.get(k) for i, k, _, _ in rows}
+def test_lookup_with_a_hot_key_needs_no_count(spark):
+    """One key holds half of the rows; the plan is the plain join, whatever the sizes are."""
+    left = spark.createDataFrame([(f"r{i}", "hot" if i % 2 else f"j{i}", "s1", True) for i in range(2000)],
+                                 "request_id string, id string, session_id string, admin boolean")
+    rows = [("hot", "s1", "a.pdf", "d1", "done"), ("j2", "s2", "b.pdf", "d2", "done"), ("j4", "s1", "c.pdf", "d3", "queued")]
+    jobs_ = spark.createDataFrame(rows, "id string, session_id string, filename string, result_dir string, status string")
+    got = jobs.owned(jobs_, left)
+    assert "Union" not in got._jdf.queryExecution().toString()
+    assert got.count() == 1001
+
+
+def test_running_total_takes_one_path_at_every_size_and_setting(spark):
+    rows = _rows(500)
+    df = spark.createDataFrame(rows, "i int, k string, t double, v int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, per_bucket in (("8", 10), ("200", 10), ("8", 10**6)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = skew.running_total(df, ["k"], [F.col("t"), F.col("i")], F.col("v"), "before", per_bucket)
+            plan = got._jdf.queryExecution().toString()
+            assert "TakeOrdered" not in plan and "_bucket" in plan and plan.split("== Physical Plan ==")[1].count("Scan parquet") <= 4
+            assert {r.i: r.before for r in got.collect()} == _expected(rows, True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
