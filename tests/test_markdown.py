@@ -3,64 +3,46 @@ from pyspark.sql import functions as F
 
 from doclake.functions import markdown as M
 
+# One case per branch of a rule, written from the description of the rules.
 CASES = [
-    # bullets: symbols become depth, symbols without text pass their place on, ordinals stay
-    ("fix_bullets", ["- □ 목적", "- ㅇ 내용", "- ㅇ", "- 이어진 줄", "- ◇ 다음", "- ▷ 세부", "- ① 하나", "- → 둘",
-                     "| <1> 셀 | ▪ 항목 |", "## 끝"],
-     ["- 목적", "  - 내용", "  - 이어진 줄", "- 다음", "  - 세부", "- ① 하나", "- → 둘", "| <1> 셀 | ▪ 항목 |", "## 끝"]),
-    ("fix_bullets", ["## 머리", "- ¡ 부모", "- A&B 자식", "- ¡ 둘째", "문단", "- 새 항목"],
-     ["## 머리", "  - 부모", "    - A&B 자식", "  - 둘째", "문단", "- 새 항목"]),
-    ("fix_bullets", ["글", "¡", "- 항목", "- [] ¡", "[x] □"], ["글", "- 항목"]),
-    ("fix_bullets", ["- ▪ ▪   2030년", "- ㅇ ㅇㅇ상사", "- ▪바로", "- ▪ ▪", "- ▪ ▪ "],
-     ["    - 2030년", "  - ㅇㅇ상사", "    - 바로", "    - ▪"]),
-    ("fix_bullets", ["- ­ 줄", "- -7%"], ["    - 줄", "    - 7%"]),
-    ("fix_bullets", ["- l (가) 글", "- l", "- 자식", "- long word", "-l x"],
-     ["- (가) 글", "- 자식", "- long word", "-l x"]),
-    # notes
-    ("fix_bullets", ["- ※ 비고", "* 각주 : 1", "- ** 둘 : 2", "- **굵게** 항목"],
-     ["※ 비고", "", "\\* 각주 : 1", "", "\\*\\* 둘 : 2", "- **굵게** 항목"]),
-    ("fix_bullets", ["- □ ※ 글", "- ※ 뒤", "", "* 또", "- ㅇ", "* 셋", "- 자식"],
-     ["- ※ 글", "", "※ 뒤", "", "\\* 또", "", "\\* 셋", "  - 자식"]),
-    ("fix_bullets", ["* a *b* c", "***", "\\* plain", "- x"], ["* a *b* c", "***", "\\* plain", "- x"]),
+    ("collapse_spaces", ["표  앞   글", "| a    b |", "> 인용   문", "    - 들여   쓴 것"],
+     ["표 앞 글", "| a    b |", "> 인용 문", "    - 들여 쓴 것"]),
+    ("tighten", ["서울 · 부산", "( 가 ) 나", "「 법령 」 제정", "' 99년", "don' t", "점 ･ 점"],
+     ["서울·부산", "(가) 나", "「법령」 제정", "'99년", "don' t", "점･점"]),
+    ("despace", ["대 한 민 국", "가 나 다", "푸 른  하 늘  아 래", "학교에 가 는 날 에", "눈 비 바 람 x"],
+     ["대한민국", "가 나 다", "푸른 하늘 아래", "학교에 가는날에", "눈비바람 x"]),
+    ("strip_private_glyphs", ["\ue001 첫째", "중간\uf8ff  끝", "\ue123"],
+     ["첫째", "중간끝", ""]),
+    ("leftover_symbols", ["문장 Ÿ 끝", "| ¡ |"],
+     ["문장 • 끝", "| • |"]),
+    ("normalize_depths", ["      - 깊은 첫째", "   - 얕은 둘째", "- 맨 앞", "    - 아래"],
+     ["- 깊은 첫째", "- 얕은 둘째", "- 맨 앞", "  - 아래"]),
+    ("normalize_depths", ["- 하나", "", "      - 둘", "# 새 장", "      - 셋"],
+     ["- 하나", "", "  - 둘", "# 새 장", "- 셋"]),
+    ("join_wrapped", ["- 앞의 일 및", "- 뒤의 일", "- 따로"],
+     ["- 앞의 일 및 뒤의 일", "- 따로"]),
+    ("join_wrapped", ["- 사과,", "  - 배", "- 감"],
+     ["- 사과, 배", "- 감"]),
+    ("merge_headings", ["## 7", "## 일정", "### 8.", "본문"],
+     ["## 7 일정", "### 8.", "본문"]),
+    ("merge_headings", ["# Ⅱ", "", "# 추진 경과"],
+     ["# Ⅱ 추진 경과"]),
+    ("fix_bullets", ["□ 바깥", "- □ 큰 항목", "- ○ 중간", "- ▪ 작은", "- 따라오는 것", "닫는 글", "- 처음"],
+     ["□ 바깥", "- 큰 항목", "  - 중간", "    - 작은", "      - 따라오는 것", "닫는 글", "- 처음"]),
+    ("fix_bullets", ["- ▷", "- ▪", "- 남은 것"],
+     ["    - 남은 것"]),
+    ("fix_bullets", ["설명", "* 참고 1", "- ** 참고 2"],
+     ["설명", "", "\\* 참고 1", "", "\\*\\* 참고 2"]),
+    ("fix_bullets", ["- l 엘 항목", "- ② 서수", "- ■ ■ 겹침"],
+     ["- 엘 항목", "- ② 서수", "- 겹침"]),
+    ("relevel_headings", ["## Ⅳ 장", "## 3 절", "## 나. 목", "## 이어짐"],
+     ["# Ⅳ 장", "## 3 절", "### 나. 목", "#### 이어짐"]),
+    ("relevel_headings", ["## 제목", "본문", "## 1-1. 체계", "## (2) 세부"],
+     ["# 제목", "본문", "### 1-1. 체계", "#### (2) 세부"]),
+    ("clean_markdown", ["## 6", "## 계  획", "- ○ 첫 일 및", "- 둘째 일", "서 울 특 별 시"],
+     ["## 6 계 획", "- 첫일및둘째 일", "서울특별시"]),
     ("fix_bullets", ["", "", ""], ["", "", ""]),
     ("fix_bullets", ["- ㅇ", "- ㅇ"], [""]),
-    # headings that were split
-    ("merge_headings", ["## 4", "", "## 방향", "## 5 대상", "글"], ["## 4 방향", "## 5 대상", "글"]),
-    ("merge_headings", ["## 4", "글", "## 1-2.", "##### 가)", "  ", "# 끝  "], ["## 4", "글", "## 1-2.", "##### 가) 끝"]),
-    ("merge_headings", ["# Ⅲ", "## Ⅳ", "####### no"], ["# Ⅲ", "## Ⅳ", "####### no"]),
-    # wrapped items
-    ("join_wrapped", ["- 계획 수정,", "- 개편", "- 이전 및", "- 사업", "- 끝", "- 다른 것", "  - 깊어도,", "- 잇고,", "    - 또"],
-     ["- 계획 수정, 개편", "- 이전 및 사업", "- 끝", "- 다른 것", "  - 깊어도, 잇고, 또"]),
-    ("join_wrapped", ["- 명문", "- 하여 간다", "- 등 셋", "- 등록", "문단,", "- 항목", "", "- 이", "- 홀로", "- 성과", "- 결과"],
-     ["- 명문 하여 간다 등 셋", "- 등록", "문단,", "- 항목", "", "- 이 홀로", "- 성과", "- 결과"]),
-    # depths
-    ("normalize_depths", ["#### 제목", "    - a", "", "    - b", "        - c", "  - d", "글", "   - e", "     - f", "   - g"],
-     ["#### 제목", "- a", "", "- b", "  - c", "- d", "글", "- e", "  - f", "- g"]),
-    ("normalize_depths", ["- a", "    - b", "  - c", " - d", "- e"], ["- a", "  - b", "  - c", "  - d", "- e"]),
-    # letter-spacing
-    ("despace", ["우 주 항  공 산 업", "강 화", "한국의 바 다 와 산", "가 나   다 라   마 바", "국가   전략   기술", "x글 자 네 개y"],
-     ["우주항 공산업", "강 화", "한국의 바다와산", "가나 다라 마바", "국가   전략   기술", "x글자네개y"]),
-    # punctuation
-    ("tighten", ["산 · 학 · · 연", "제주 ( 그린 )", "( ' 24~ ' 28)", "| 「법」, 부처 |", "｢ 법 ｣ ･ a", "it' s"],
-     ["산·학··연", "제주 (그린)", "('24~ '28)", "| 「법」, 부처 |", "｢법｣･a", "it' s"]),
-    ("leftover_symbols", ["| Ÿ a ¡ b |"], ["| • a • b |"]),
-    ("collapse_spaces", ["## 1-3.  체계  -  부처", "  - 안  쪽   칸", "| 가   | 나  |", "   | 다   |", "끝  "],
-     ["## 1-3. 체계 - 부처", "  - 안 쪽 칸", "| 가   | 나  |", "   | 다   |", "끝 "]),
-    ("strip_private_glyphs", ["#####  결과", "x"], ["##### 결과", "x"]),
-    # heading levels
-    ("relevel_headings", ["## Ⅰ 배경", "## 1 필요", "## 1-3. 체계", "## 가. 항목", "## 중복 해소", "글"],
-     ["# Ⅰ 배경", "## 1 필요", "### 1-3. 체계", "### 가. 항목", "#### 중복 해소", "글"]),
-    ("relevel_headings", ["## 문서 이름", "## ■ 목적", "글", "## ㅇ모임", "## (1) 혁신"],
-     ["# 문서 이름", "## 목적", "글", "### 모임", "#### (1) 혁신"]),
-    ("relevel_headings", ["앞글", "## Ⅱ. 개요", "## 체계", "## ¡ 절차", "## ¡ 대상", "## 산출", "## 제 3 장 끝", "## 새로"],
-     ["앞글", "# Ⅱ. 개요", "## 체계", "### 절차", "### 대상", "## 산출", "## 제 3 장 끝", "### 새로"]),
-    ("relevel_headings", ["# 큰", "## 1 작은"], ["# 큰", "## 1 작은"]),
-    ("relevel_headings", ["## 이름", "## 배경"], ["## 이름", "## 배경"]),
-    # the whole
-    ("clean_markdown", ["- Ÿ 단일"], ["- 단일"]),
-    ("clean_markdown", ["| 쟁점 | Ÿ 적절성 ¡ 증빙 |"], ["| 쟁점 | • 적절성 • 증빙 |"]),
-    ("clean_markdown", ["## 2", "##  체  계", "- □ 하나,", "- 둘", "우 주 항  공 산 업"],
-     ["## 2 체 계", "- 하나, 둘", "우주항 공산업"]),
     ("clean_markdown", [""], [""]),
 ]
 
