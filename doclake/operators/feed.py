@@ -36,8 +36,14 @@ def to_json_rows(diff: DataFrame) -> DataFrame:
     return diff.select("id", F.to_json(F.struct(*diff.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """Rows of ``delta`` replace rows of ``state`` with the same id; all others stay."""
+def apply_delta(state: DataFrame, delta: DataFrame, tick: str | None = None) -> DataFrame:
+    """Rows of ``delta`` replace rows of ``state`` with the same id; all others stay.
+
+    ``tick`` names the column of ``delta`` that orders it: of several rows of one id the latest counts.
+    """
+    if tick:
+        latest = F.max_by(F.struct(*state.columns), tick).alias("r")
+        delta = delta.groupBy("id").agg(latest).select("r.*")
     return state.join(delta.select("id"), "id", "left_anti").select(*state.columns).unionByName(
         delta.select(*state.columns))
 

@@ -59,20 +59,23 @@ def queued_counts(jobs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_queued")))
 
 
-def earlier_active(jobs: DataFrame, value: Column, out: str) -> DataFrame:
-    """Queued jobs with ``out``: the sum of ``value`` over active jobs created strictly earlier.
+def earlier_active(jobs: DataFrame, value: Column, out: str, rows: DataFrame | None = None) -> DataFrame:
+    """Queued jobs of ``rows`` (all) with ``out``: the sum of ``value`` over active jobs created strictly earlier.
 
     Jobs of one instant are summed first, so that ties share one row and one answer.
     """
+    rows = jobs if rows is None else rows
     instants = (jobs.filter(ACTIVE).groupBy("created_at").agg(F.sum(value).alias("_at_instant")))
     totals = running_total(instants, [], [F.col("created_at")], F.col("_at_instant"), out)
-    return jobs.filter(F.col("status") == "queued").join(totals.select("created_at", out), "created_at", "left").select(*jobs.columns, out)
+    queued = rows.filter(F.col("status") == "queued")
+    return queued.join(totals.select("created_at", out), "created_at", "left").select(*rows.columns, out)
 
 
-def with_ahead(jobs: DataFrame) -> DataFrame:
-    """Add ``ahead``, the number of active jobs before a queued one; null for other states."""
-    queued = earlier_active(jobs, F.lit(1), "ahead")
-    rest = jobs.filter(~F.coalesce(F.col("status") == "queued", F.lit(False)))
+def with_ahead(jobs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` of ``jobs`` (all) with ``ahead``, the number of active jobs before a queued one; null for other states."""
+    rows = jobs if rows is None else rows
+    queued = earlier_active(jobs, F.lit(1), "ahead", rows)
+    rest = rows.filter(~F.coalesce(F.col("status") == "queued", F.lit(False)))
     return rest.withColumn("ahead", F.lit(None).cast("bigint")).unionByName(queued)
 
 
@@ -99,6 +102,16 @@ def serialize(jobs: DataFrame, now: float) -> DataFrame:
     return with_progress(with_ahead(jobs), now).drop("session_id", "result_dir")
 
 
+def session_view(jobs: DataFrame, now: float, session: str | None = None, admin: bool = False,
+                 limit: int | None = None) -> DataFrame:
+    """What a client gets: the visible rows serialized, and on each whether any job runs.
+
+    Only the visible rows are looked up in the queue.
+    """
+    shown = with_progress(with_ahead(jobs, list_jobs(jobs, session, admin, limit)), now).drop("session_id", "result_dir")
+    return jobs.sparkSession.sql("SELECT *, (SELECT busy FROM {busy}) AS busy FROM {shown}", busy=is_busy(jobs), shown=shown)
+
+
 def next_in_line(jobs: DataFrame, k: int = 1) -> DataFrame:
     return jobs.filter(F.col("status") == "queued").orderBy("created_at", "id").limit(k)
 

@@ -183,6 +183,10 @@ _add("with_ahead", "SELECT id, ahead FROM ahead_prev")
 _add("is_busy", "SELECT coalesce(bool_or(status = 'running'), false) AS busy FROM jobs")
 _add("with_progress", f"SELECT id, {_PROGRESS} AS progress FROM jobs")
 _add("serialize", "SELECT * EXCLUDE (session_id, result_dir, label) FROM shown_prev")
+_add("session_view", f"""SELECT id, status, progress, ahead, (SELECT bool_or(status = 'running') FROM jobs) AS busy
+    FROM shown_prev WHERE session_id = 's7' ORDER BY created_at DESC, id DESC LIMIT {C.LIST_LIMIT}""")
+_add("json_rows", """SELECT id, concat('{"id":"', id, '","status":"', status, '","progress":', progress, ',"ahead":',
+    coalesce(CAST(ahead AS varchar), 'null'), '}') AS json FROM shown_prev""")
 _add("next_in_line", "SELECT id, created_at FROM jobs WHERE status = 'queued' ORDER BY created_at, id LIMIT 10")
 _add("requeue_running", """SELECT id, CASE WHEN status = 'running' THEN 'queued' ELSE status END AS status,
     CASE WHEN status <> 'running' THEN started_at END AS started_at,

@@ -192,6 +192,18 @@ def list_jobs_admin(spark, sf):
     return jobs.list_jobs(D.jobs(spark, sf), admin=True, limit=C.LIST_LIMIT).select("id", "session_id", "created_at")
 
 
+@query
+def session_view(spark, sf):
+    shown = jobs.session_view(D.jobs(spark, sf), D.NOW_LIVE, session="s7", limit=C.LIST_LIMIT)
+    return shown.select("id", "status", "progress", "ahead", "busy")
+
+
+@query
+def json_rows(spark, sf):
+    shown = jobs.serialize(D.jobs(spark, sf), D.NOW_LIVE)
+    return feed.to_json_rows(shown.select("id", "status", "progress", "ahead"))
+
+
 @query
 def owned(spark, sf):
     requests = D.jobs(spark, sf).select(

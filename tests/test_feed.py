@@ -63,3 +63,10 @@ def test_changed_fields(spark):
     assert changes(running, further) == "label,bar"
     assert changes(further, done) == "class,label,bar,chip"
     assert changes(running, shown(status="failed", label="실패", error="x")) == "class,label,bar,error"
+
+
+def test_of_several_changes_the_latest_counts(spark):
+    state = spark.createDataFrame([("a", "queued"), ("b", "queued")], "id string, status string")
+    delta = spark.createDataFrame([("a", "done", 3), ("a", "running", 2), ("c", "queued", 1)], "id string, status string, tick int")
+    got = sorted(tuple(r) for r in feed.apply_delta(state, delta, "tick").collect())
+    assert got == [("a", "done"), ("b", "queued"), ("c", "queued")]
