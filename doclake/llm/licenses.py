@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.functions.arrays import let
 from doclake.llm.texts import alnum_words, packed
 from doclake.sources.scratch import freeze
 
@@ -46,11 +47,13 @@ _SENTENCE_END = "(?<=[.!?])\\s+|\\n"
 
 def _phrase_starts(w: Column, phrase: list[str]) -> Column:
     """Positions in the array ``w`` where the words of ``phrase`` stand in a row."""
-    def stands(i):
-        return reduce(lambda a, b: a & b, [F.get(w, i + k) == F.lit(x) for k, x in enumerate(phrase)])
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(stands(i), F.lit(False)))
-    return F.when(F.array_contains(w, phrase[0]) & F.array_contains(w, phrase[-1]) & (F.size(w) > 0), places).otherwise(
-        F.array().cast("array<int>"))
+    def places(w):
+        def stands(i):
+            return reduce(lambda a, b: a & b, [F.get(w, i + k) == F.lit(x) for k, x in enumerate(phrase)])
+        found = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(stands(i), F.lit(False)))
+        return F.when(F.array_contains(w, phrase[0]) & F.array_contains(w, phrase[-1]), found).otherwise(
+            F.array().cast("array<int>"))
+    return let(w, places)
 
 
 def _blocks(text: Column, vocabulary: list[str], least: int) -> Column:

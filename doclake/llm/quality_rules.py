@@ -65,7 +65,8 @@ def _repeat_words(w: Column) -> Column:
             return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
         return let(pairs, lambda p: let(starts(p), total))
 
-    return let(hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
+    # bound to a variable first: an optimizer may put the expression of ``w`` where its column stands
+    return let(w, lambda v: let(hashes(v), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0)))
 
 
 def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.functions.arrays import let
 from doclake.llm.texts import packed, words
 from doclake.sources.scratch import freeze
 
@@ -61,18 +62,20 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     texts = (docs.select("doc_id", "text", F.coalesce(place, F.lit("")).alias("path"))
              .filter(_may_hold(F.col("text")))
              .select("doc_id", "path", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("_w")))
-    w = F.col("_w")
-
-    def holds(i):
-        x = F.get(w, i)
-        after_key = (i >= 2) & F.get(w, i - 1).isin("=", ":", "=>", ":=") & F.get(w, i - 2).rlike(_KEY)
-        return (((F.length(x) >= MIN_LENGTH) & x.rlike("[0-9]")) | x.rlike(_OWN_KEY + ".") | F.coalesce(after_key, F.lit(False)))
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), holds)
-    found = F.transform(at, lambda i: F.struct(
-        i.cast("long").alias("word_no"), F.get(w, i).alias("word"),
-        F.when(i >= 2, F.get(w, i - 2)).alias("before2"), F.when(i >= 1, F.get(w, i - 1)).alias("before"),
-        F.get(w, i + 1).alias("after")))
-    rows = (texts.filter(F.size("_w") > 0).select("doc_id", "path", "text_hash", F.explode(found).alias("f"))
+
+    def found(w):
+        def holds(i):
+            x = F.get(w, i)
+            after_key = (i >= 2) & F.get(w, i - 1).isin("=", ":", "=>", ":=") & F.get(w, i - 2).rlike(_KEY)
+            return (((F.length(x) >= MIN_LENGTH) & x.rlike("[0-9]")) | x.rlike(_OWN_KEY + ".")
+                    | F.coalesce(after_key, F.lit(False)))
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), holds)
+        return F.transform(at, lambda i: F.struct(
+            i.cast("long").alias("word_no"), F.get(w, i).alias("word"),
+            F.when(i >= 2, F.get(w, i - 2)).alias("before2"), F.when(i >= 1, F.get(w, i - 1)).alias("before"),
+            F.get(w, i + 1).alias("after")))
+    # bound to a variable, as an optimizer may put the expression of the words where their column stands
+    rows = (texts.filter(F.size("_w") > 0).select("doc_id", "path", "text_hash", F.explode(let(F.col("_w"), found)).alias("f"))
             .select("doc_id", "path", "text_hash", "f.*"))
     value = F.regexp_replace(F.regexp_replace("word", "^.*?" + _OWN_KEY, ""), _WRAP, "")
     return rows.withColumn("value", value).filter("length(value) > 0")
