@@ -180,13 +180,13 @@ def word_blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
                 row, place = key >> 32, key & 0xFFFFFFFF
                 counts = np.bincount(place, times * train[row], minlength=len(words)).astype("<i8")
                 yield pa.RecordBatch.from_pydict({
-                    "words": [words.astype("<u8").tobytes()], "train": [counts.tobytes()],
+                    "words": [words.astype("<u8").tobytes()], "n_words": [len(words)], "train": [counts.tobytes()],
                     "ids": pa.array([ids], pa.list_(pa.int64())),
                     "scores": [np.concatenate([tree.scores(x.column(1)) for x in _slices(part)]).astype("<f8").tobytes()],
                     "ends": [np.searchsorted(row, np.arange(len(ids)), "right").astype("<i8").tobytes()],
                     "places": [place.astype("<i4").tobytes()], "times": [times.astype("<i4").tobytes()],
                     "train_ends": [int(train.sum())]})
-    return docs.mapInArrow(run, "words binary, train binary, ids array<long>, scores binary, ends binary, places binary, times binary, "
+    return docs.mapInArrow(run, "words binary, n_words long, train binary, ids array<long>, scores binary, ends binary, places binary, times binary, "
                                 "train_ends long")
 
 
@@ -222,7 +222,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def score(key, block: pa.Table, found: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        c = np.zeros(len(row["words"]) // 8)
+        c = np.zeros(row["n_words"])
         c[found.column("slot").to_numpy()] = found.column("c").to_numpy()
         places, times = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["times"], "<i4")
         last = np.frombuffer(row["ends"], "<i8")
@@ -237,6 +237,6 @@ def scored(docs: DataFrame) -> DataFrame:
             "train_tokens": pa.array(np.full(len(last), n, np.int64)),
             "base_score": pa.array(logs - tokens * np.log10(n + v + 1)),
             "score": pa.array(np.frombuffer(row["scores"], "<f8"))})
-    parts = blocks.drop("train", "train_ends").groupBy("block").cogroup(known.groupBy("block"))
+    parts = blocks.drop("words", "train", "train_ends").groupBy("block").cogroup(known.groupBy("block"))
     return parts.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                      "base_score double, score double")

@@ -63,7 +63,7 @@ def test_tree_gives_a_distribution_and_the_longest_suffix(spark, documents):
                 if not nxt:
                     break
                 state = nxt
-            total += tree.log_p[state, tree.column[x]]
+            total += float(tree.log_p[state, tree.column[x]])
         want.append(total)
     assert tree.scores(pa.array(texts, pa.string())) == pytest.approx(want, rel=1e-4)
 
