@@ -25,6 +25,10 @@ MASK = "[SECRET]"
 
 _KEY = "(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
 _OWN_KEY = _KEY + "[A-Za-z_]*[\"']?[:=]+"
+# a word that ends in a key and its own sign, as in `password: hunter2`; `author:` and `secretary:` are no keys
+_KEY_SIGN = _KEY + "(?:s|_[A-Za-z_]*)?[\"']?[:=]+>?"
+_KEY_END = _KEY_SIGN + "$"
+_LOCATION = "://[^/\\s:@]*:([^/\\s@]+)@"        # a location with user:password@
 _WRAP = "^[\"'(\\[{<=:]+|[\"')\\]}>,.;:!?#*$%&|]+$"
 
 # Public formats of findings that need no forest to be labelled.
@@ -49,14 +53,21 @@ FEATURES = [
 
 
 def _may_hold(text: Column) -> Column:
-    return text.rlike("[0-9]") | text.rlike(_KEY)
+    return text.rlike("[0-9]") | text.rlike(_KEY) | text.rlike(_LOCATION)
+
+
+def _assigned(word: Column, before: Column, before2: Column) -> Column:
+    """Whether a key has the word as its value: in the same word, with its own sign before, or with a sign as a word."""
+    return F.coalesce(word.rlike(_KEY_SIGN + "."), F.lit(False)) | F.coalesce(before.rlike(_KEY_END), F.lit(False)) | F.coalesce(
+        before.isin("=", ":", "=>", ":=") & before2.rlike(_KEY), F.lit(False))
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per candidate: ``doc_id``, ``text_hash``, ``path``, ``word_no``, ``word``, ``value``, neighbours.
 
     A candidate is a word of at least ``MIN_LENGTH`` characters with a digit, or one that a key word is
-    assigned to.
+    assigned to, in the word itself, as the next word (``password: hunter2``) or behind a sign, or a location with
+    user:password@, of which the password is the value.
     """
     place = F.col(f"`{path}`").cast("string") if path else F.lit("")
     texts = (docs.select("doc_id", "text", F.coalesce(place, F.lit("")).alias("path"))
@@ -68,7 +79,8 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
             x = F.get(w, i)
             after_key = (i >= 2) & F.get(w, i - 1).isin("=", ":", "=>", ":=") & F.get(w, i - 2).rlike(_KEY)
             return (((F.length(x) >= MIN_LENGTH) & x.rlike("[0-9]")) | x.rlike(_OWN_KEY + ".")
-                    | F.coalesce(after_key, F.lit(False)))
+                    | F.coalesce(after_key, F.lit(False)) | x.rlike(_LOCATION)
+                    | F.coalesce((i >= 1) & F.get(w, i - 1).rlike(_KEY_END), F.lit(False)))
         at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), holds)
         return F.transform(at, lambda i: F.struct(
             i.cast("long").alias("word_no"), F.get(w, i).alias("word"),
@@ -77,7 +89,8 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     # bound to a variable, as an optimizer may put the expression of the words where their column stands
     rows = (texts.filter(F.size("_w") > 0).select("doc_id", "path", "text_hash", F.explode(let(F.col("_w"), found)).alias("f"))
             .select("doc_id", "path", "text_hash", "f.*"))
-    value = F.regexp_replace(F.regexp_replace("word", "^.*?" + _OWN_KEY, ""), _WRAP, "")
+    value = F.when(F.col("word").rlike(_LOCATION), F.regexp_extract("word", _LOCATION, 1)).otherwise(
+        F.regexp_replace(F.regexp_replace("word", "^.*?" + _OWN_KEY, ""), _WRAP, ""))
     return rows.withColumn("value", value).filter("length(value) > 0")
 
 
@@ -116,8 +129,9 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
         "lower_upper": count("[a-z](?=[A-Z])"), "upper_lower": count("[A-Z](?=[a-z])"),
         "to_other": count("[0-9A-Za-z](?=[^0-9A-Za-z])"),
         "coverage": F.coalesce("_covered", F.lit(0)) / n,
-        "key_before": flag(F.col("word").rlike(_OWN_KEY)) + flag(F.col("before").rlike(_KEY)) + flag(F.col("before2").rlike(_KEY)),
-        "assigned": flag(F.col("word").rlike("[:=]")) + flag(F.col("before").isin("=", ":", "=>", ":=")),
+        "key_before": flag(F.col("word").rlike(_OWN_KEY)) + flag(F.col("before").rlike(_KEY)) + flag(F.col("before2").rlike(_KEY))
+        + flag(F.col("word").rlike(_LOCATION)),
+        "assigned": flag(F.col("word").rlike("[:=]")) + flag(F.col("before").isin("=", ":", "=>", ":=") | F.col("before").rlike(_KEY_END)),
         "quoted": flag(F.col("word").rlike("[\"']")),
         "before_common": F.coalesce("_before", F.lit(0.0)), "after_common": F.coalesce("_after", F.lit(0.0)),
         "path_test": flag(F.col("path").rlike("(?i)test|example|sample|fixture|doc")),
@@ -130,8 +144,12 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
 def format_labels(rows: DataFrame) -> DataFrame:
     """Labels findings by public formats: ``label`` 1 for secrets, 0 for what is known to be another thing, else null."""
     any_of = lambda patterns: F.greatest(*[F.col("value").rlike(p) for p in patterns])
-    given = (F.col("key_before") > 0) & (F.col("assigned") > 0) & (F.length("value") >= MIN_LENGTH)
-    label = F.when(any_of(SECRET_FORMATS), 1.0).when(any_of(OTHER_FORMATS), 0.0).when(given & (F.col("digits") > 0), 1.0)
+    near = (F.col("key_before") > 0) & (F.col("assigned") > 0)
+    own = _assigned(F.col("word"), F.col("before"), F.col("before2")) | F.col("word").rlike(_LOCATION)
+    fit_value = (F.length("value") >= MIN_LENGTH) & (F.col("digits") > 0)
+    # what a key has as its value is never known to be another thing; what merely stands near a key may be
+    label = (F.when(any_of(SECRET_FORMATS) | (own & fit_value), 1.0).when(~own & any_of(OTHER_FORMATS), 0.0)
+             .when(near & fit_value, 1.0))
     return rows.withColumn("label", label)
 
 

@@ -82,3 +82,17 @@ def test_nulls_repeats_long_texts_clashes_and_empty(spark, documents):
 def test_main_path_is_native(spark):
     plan = QUERIES["op6_secret_scans"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_values_after_a_key_with_its_own_sign_and_in_locations(spark, documents):
+    texts = ["login password: hunter2 now", "api_key: abcdefghijklmnop", '{ "token": "AbCdEfGh", }', "see postgres://joe:Summer2024@host/db for it",
+             "password=Summer2024", "ftp://joe:correcthorse@host", "author: Smith2020x wrote", "read https://example.com/page1 again"]
+    docs = documents(*texts)
+    rows = S.format_labels(S.featured(S.candidates(docs), docs)).collect()
+    got = {(r["doc_id"], r["value"]): r["label"] for r in rows}
+    assert {(0, "hunter2"), (1, "abcdefghijklmnop"), (2, "AbCdEfGh"), (5, "correcthorse")} <= set(got)
+    assert got[3, "Summer2024"] == 1 and got[4, "Summer2024"] == 1
+    assert got[7, "https://example.com/page1"] == 0
+    text = {r["doc_id"]: r["text"] for r in S.masked(documents(*texts[:6])).collect()}
+    assert text[0] == f"login password: {S.MASK} now" and text[2] == f'{{ "token": "{S.MASK}", }}'
+    assert text[3] == f"see postgres://joe:{S.MASK}@host/db for it" and text[5] == f"ftp://joe:{S.MASK}@host"
