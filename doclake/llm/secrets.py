@@ -154,15 +154,23 @@ def format_labels(rows: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame):
-    """A forest on rows with ``FEATURES`` and ``label`` 0 or 1, ``FIT_ROWS`` at most; None if a class is missing."""
+    """A forest on rows with ``doc_id``, ``word_no``, ``FEATURES`` and ``label`` 0 or 1; None if a class is missing.
+
+    About ``FIT_ROWS`` / 2 rows of each class at most, chosen by document and place, so that a value in many
+    documents is thinned like any other. A class within its bound is taken whole.
+    Each row stands for those that its class left out, so that shares of the classes stay as they are.
+    """
     labelled = labelled.filter("label is not null")
     n, positive = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if positive in (0, n):
         return None
-    one_in = -(-n // FIT_ROWS)
-    rows = labelled.filter(F.pmod(F.xxhash64("value", "before", "after"), F.lit(one_in)) == 0) if one_in > 1 else labelled
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows).select("_features", "label")
-    return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
+    one_in = [max(1, -(-int(k) // (FIT_ROWS // 2))) for k in (n - positive, positive)]
+    own = F.when(F.col("label") == 1, F.lit(one_in[1])).otherwise(F.lit(one_in[0]))
+    labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", "word_no"), own) == 0).withColumn("_weight", own.cast("double"))
+    if labelled.select("label").distinct().count() < 2:
+        return None
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(labelled).select("_features", "label", "_weight")
+    return RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", numTrees=TREES, maxDepth=DEPTH,
                                   seed=SEED).fit(rows)
 
 

@@ -96,3 +96,23 @@ def test_values_after_a_key_with_its_own_sign_and_in_locations(spark, documents)
     text = {r["doc_id"]: r["text"] for r in S.masked(documents(*texts[:6])).collect()}
     assert text[0] == f"login password: {S.MASK} now" and text[2] == f'{{ "token": "{S.MASK}", }}'
     assert text[3] == f"see postgres://joe:{S.MASK}@host/db for it" and text[5] == f"ftp://joe:{S.MASK}@host"
+
+
+def test_sample_keeps_rare_secrets_and_thins_a_value_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIT_ROWS", 400)
+    seen = []
+
+    class Forest:
+        def __init__(self, **kw):
+            pass
+
+        def fit(self, rows):
+            seen.extend(r["label"] for r in rows.collect())
+            return self
+    monkeypatch.setattr(S, "RandomForestClassifier", Forest)
+    rows = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("word_no"), F.lit("one-value-1").alias("value"),
+        F.lit("a").alias("before"), F.lit("b").alias("after"), F.when(F.col("id") < 5, 1.0).otherwise(0.0).alias("label"),
+        *[F.lit(0.0).alias(k) for k in S.FEATURES])
+    assert S.fit(rows) is not None
+    assert seen.count(1.0) == 5 and 100 < seen.count(0.0) < 300
