@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, language_model, licenses, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
+from doclake.llm import decontamination, jaccard_join, language_model, licenses, merkle, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
 from doclake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op10_token_files(spark, sf_dir):
     folder = scratch_path(spark, "tokens")
     manifest = token_files.write_shards(_table(spark, sf_dir, "documents"), folder)
     return token_files.read_documents(manifest, folder)
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.checked(merkle.documents_manifest(_table(spark, sf_dir, "documents")))
