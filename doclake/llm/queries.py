@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, language_model, licenses, merkle, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
+from doclake.llm import byte_pairs, decontamination, jaccard_join, language_model, licenses, merkle, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
 from doclake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op10_token_files(spark, sf_dir):
 @query
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.checked(merkle.documents_manifest(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_byte_pairs(spark, sf_dir):
+    return byte_pairs.digests(byte_pairs.encoded(_table(spark, sf_dir, "documents")))
