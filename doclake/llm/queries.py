@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import byte_pairs, decontamination, jaccard_join, language_model, licenses, merkle, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
+from doclake.llm import byte_pairs, decontamination, hard_negatives, jaccard_join, language_model, licenses, merkle, pieces, quality_classifier, quality_rules, secrets, token_files, url_filters
 from doclake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op10_token_files(spark, sf_dir):
     return token_files.read_documents(manifest, folder)
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.embeddings_mined(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.checked(merkle.documents_manifest(_table(spark, sf_dir, "documents")))
