@@ -2,12 +2,13 @@
 
 Every level of all trees is one table of nodes: ``tree``, ``idx`` (place among the nodes of the level), ``digest``.
 A node computes the places of its siblings, by XOR where runs hold two nodes, by offsets from its slot otherwise,
-and an equijoin of the level with itself on (tree, place) fetches their digests. Then the nodes in slot zero, which
-now know their whole run, emit the parents. Keys are single places, so a group that holds a third of all rows
-spreads like any other; rows get their places through range partitions. Levels are stored as they are made,
-each a ``width``-th of the one below.
+and an equijoin of the level with itself on (tree, place) fetches their digests. The nodes in slot zero, which then
+know their whole run, emit the parents. Only they need to ask: the run is stored with the parent, once and not once
+per node, and proofs read the siblings of every other node from there.
 
-A tree is finished where its node 0 has no sibling: places have no gaps, so such a node is alone on its level.
+Keys are single places, so a group that holds a third of all rows spreads like any other; rows get their places
+through range partitions. Levels are stored as they are made, each a ``width``-th of the one below. A tree is
+finished where its node 0 has no sibling: places have no gaps, so such a node is alone on its level.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from doclake.operators.skew import running_total
 from doclake.sources.scratch import freeze
 
 WIDTH = 16
+SIZE = 32       # bytes of a digest
 ROWS_PER_RANGE = 20_000
 
 
@@ -53,77 +55,88 @@ def sibling_places(idx: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(width - 1)), lambda k: idx - slot + (slot + k) % width)
 
 
-def with_siblings(nodes: DataFrame, width: int) -> DataFrame:
-    """Add ``left`` and ``right``: the digests of the siblings before and behind a node, in order."""
-    wanted = nodes.select("tree", "idx", F.explode(sibling_places(F.col("idx"), width)).alias("_place"))
-    there = nodes.select("tree", F.col("idx").alias("_place"), F.col("digest").alias("_digest"))
-    runs = (wanted.join(there, ["tree", "_place"]).groupBy("tree", "idx")
-            .agg(F.array_sort(F.collect_list(F.struct("_place", "_digest"))).alias("_run")))
-    side = lambda before: joined(F.transform(
-        F.filter("_run", lambda s: (s["_place"] < F.col("idx")) == F.lit(before)), lambda s: s["_digest"]))
-    siblings = runs.select("tree", "idx", side(True).alias("left"), side(False).alias("right"))
-    return (nodes.join(siblings, ["tree", "idx"], "left")
-            .withColumns({side: F.coalesce(side, F.lit(b"")) for side in ("left", "right")}))
+def _runs(nodes: DataFrame, width: int) -> DataFrame:
+    """``tree, place, run`` of each run of a level: the place of the parent, the digests in order."""
+    first = nodes.filter(F.col("idx") % width == 0)
+    wanted = first.select("tree", "idx", F.explode(sibling_places(F.col("idx"), width)).alias("_place"))
+    there = (nodes.filter(F.col("idx") % width != 0)
+             .select("tree", F.col("idx").alias("_place"), F.col("digest").alias("_digest")))
+    others = (wanted.join(there, ["tree", "_place"]).groupBy("tree", "idx")
+              .agg(F.array_sort(F.collect_list(F.struct("_place", "_digest"))).alias("_others")))
+    rest = joined(F.transform("_others", lambda s: s["_digest"]))
+    return first.join(others, ["tree", "idx"], "left").select(
+        "tree", F.expr(f"idx div {width}").alias("place"), F.concat("digest", F.coalesce(rest, F.lit(b""))).alias("run"))
 
 
 def _alone() -> Column:
-    return (F.col("idx") == 0) & (F.octet_length("left") + F.octet_length("right") == 0)
+    """The run of a finished tree is its root alone. (Runs of one node occur at place 0 nowhere else.)"""
+    return (F.col("place") == 0) & (F.octet_length("run") == SIZE)
+
+
+def _parents(runs: DataFrame) -> DataFrame:
+    return runs.filter(~_alone()).select("tree", F.col("place").alias("idx"), digest(hexed(F.col("run"))).alias("digest"), "run")
 
 
 def build(nodes: DataFrame, width: int = WIDTH) -> list[DataFrame]:
-    """The stored levels ``tree, idx, digest, left, right`` above and with ``nodes`` (``tree, idx, digest``)."""
+    """The stored runs ``tree, place, run`` of each level, the lowest first, from ``nodes`` (``tree, idx, digest``)."""
     top = nodes.agg(F.max("idx")).first()[0]
     levels = []
     while top is not None:
-        levels.append(freeze(with_siblings(nodes, width), f"level{len(levels)}"))
-        nodes = (levels[-1].filter((F.col("idx") % width == 0) & ~_alone())
-                 .select("tree", F.expr(f"idx div {width}").alias("idx"),
-                         digest(hexed(F.concat("digest", "right"))).alias("digest")))
+        levels.append(freeze(_runs(nodes, width), f"level{len(levels)}"))
+        nodes = _parents(levels[-1])
         top = top // width if top else None
     return levels
 
 
 def roots(levels: list[DataFrame]) -> DataFrame:
     """``tree, digest`` of the finished trees."""
-    found = [level.filter(_alone()).select("tree", "digest") for level in levels]
+    found = [runs.filter(_alone()).select("tree", F.col("run").alias("digest")) for runs in levels]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def paths(levels: list[DataFrame], above: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The nodes of the lowest level with ``path array<struct<left, right>>``, from their own run upwards.
+def with_paths(nodes: DataFrame, levels: list[DataFrame], above: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The lowest nodes with ``path array<struct<slot, run>>``, from their own run upwards.
 
     ``above`` holds, per tree, the path that follows its root, and further columns that are handed down.
     """
-    step = F.array(F.struct("left", "right"))
     handed = [c for c in above.columns if c not in ("tree", "path")]
-    out = None
-    for level in reversed(levels):
-        ends = level.filter(_alone()).join(above, "tree")
-        if out is None:
-            out = ends.select("tree", "idx", "digest", "path", *handed)
-            continue
-        parents = out.select("tree", F.col("idx").alias("_parent"), F.col("path").alias("_rest"), *handed)
-        inner = (level.filter(~_alone()).withColumn("_parent", F.expr(f"idx div {width}")).join(parents, ["tree", "_parent"])
-                 .withColumn("path", F.concat(step, "_rest")))
-        out = (inner.select("tree", "idx", "digest", "path", *handed)
-               .unionByName(ends.select("tree", "idx", "digest", "path", *handed)))
-    return out
+    parents = None
+    for n, runs in reversed(list(enumerate(levels))):
+        over = (runs.filter(_alone()).select("tree", F.col("place").alias("_up"), F.lit(None).cast("binary").alias("_run"))
+                .join(above.withColumnRenamed("path", "_rest"), "tree"))
+        if parents is not None:
+            over = over.unionByName(parents.select("tree", F.col("idx").alias("_up"), F.col("run").alias("_run"),
+                                                   F.col("path").alias("_rest"), *handed))
+        level = nodes if n == 0 else _parents(levels[n - 1])
+        step = F.array(F.struct((F.col("idx") % width).cast("int").alias("slot"), F.col("_run").alias("run")))
+        parents = (level.withColumn("_up", F.expr(f"idx div {width}")).join(over, ["tree", "_up"])
+                   .withColumn("path", F.when(F.col("_run").isNull(), F.col("_rest")).otherwise(F.concat(step, "_rest")))
+                   .drop("_up", "_run", "_rest"))
+    return parents
+
+
+def _before(step: Column) -> Column:
+    return F.substring(step["run"], F.lit(1), step["slot"] * SIZE)
+
+
+def _behind(step: Column) -> Column:
+    return F.substring(step["run"], step["slot"] * SIZE + SIZE + 1, F.octet_length(step["run"]))
 
 
 def folded(start: Column, path: Column) -> Column:
     """The root that a leaf gives with the siblings of a path."""
-    return F.aggregate(path, start, lambda acc, run: digest(hexed(F.concat(run["left"], acc, run["right"]))))
+    return F.aggregate(path, start, lambda acc, step: digest(hexed(F.concat(_before(step), acc, _behind(step)))))
 
 
 def proof_digest(path: Column) -> Column:
     """sha256 of the siblings of a path as hexadecimal text, from the leaf's run to the root's, left to right."""
-    return F.sha2(hexed(joined(F.flatten(F.transform(path, lambda run: F.array(run["left"], run["right"]))))), 256)
+    return F.sha2(hexed(joined(F.transform(path, lambda step: F.concat(_before(step), _behind(step))))), 256)
 
 
-PATH = "array<struct<left:binary,right:binary>>"
+PATH = "array<struct<slot:int,run:binary>>"
 
 
 @dataclass
@@ -131,7 +144,7 @@ class Manifest:
     """A stored tree.
 
     ``leaves`` holds the carried columns and ``tree, idx, digest``; ``order`` the subroots ``tree, digest`` with
-    their place ``idx``; ``levels`` and ``top`` the levels below and above the subroots, the lowest first. ``tree``
+    their place ``idx``; ``levels`` and ``top`` the runs below and above the subroots, the lowest first. ``tree``
     is empty for the null group, else ``=`` and the name of the group.
     """
     leaves: DataFrame
@@ -145,16 +158,15 @@ class Manifest:
         return roots(self.top).select("digest") if self.top else self.order.select("digest")
 
     def proofs(self) -> DataFrame:
-        """The leaves with ``subroot``, ``root`` and ``path``, the siblings from the leaf's run up to the root's."""
+        """The leaves with ``subroot``, ``root`` and ``path``: slot and run of each level up to the root."""
         if not self.levels:
             none = F.lit(None).cast("binary")
             return self.leaves.withColumns({"path": F.lit(None).cast(PATH), "subroot": none, "root": none})
         whole = roots(self.top).select("tree", F.array().cast(PATH).alias("path"), F.col("digest").alias("root"))
-        above = paths(self.top, whole, self.width).select("idx", "path", "root")
-        per_group = (self.order.join(above, "idx")
-                     .select("tree", "path", F.col("digest").alias("subroot"), "root"))
-        found = paths(self.levels, per_group, self.width).drop("digest")
-        return self.leaves.join(found, ["tree", "idx"])
+        subroots = self.order.select(F.lit("").alias("tree"), "idx", F.col("tree").alias("_group"), F.col("digest").alias("subroot"))
+        groups = (with_paths(subroots, self.top, whole, self.width)
+                  .select(F.col("_group").alias("tree"), "path", "subroot", "root"))
+        return with_paths(self.leaves, self.levels, groups, self.width)
 
 
 def manifest(docs: DataFrame, fields: list[str], key: str, group: str, carry: dict[str, Column] | None = None,
