@@ -66,8 +66,16 @@ UNION ALL SELECT id, 4, 'finish', status, NULL, finished_at, NULL, NULL, NULL, N
   NULL, NULL, NULL, NULL, NULL, NULL FROM {JOBS} WHERE status = 'done' AND page_total % 3 = 0"""
 
 
+# Uses of converted documents over some weeks, 25 per key in the mean; some arrive long after their time.
+_USES = """SELECT *, late_kind AND hours < 500 AS late, CAST(1704067200 + hours * 3600 AS double) AS created_at,
+  CASE WHEN late_kind AND hours < 500 THEN 3 ELSE CAST(floor(hours / 253) AS int) END AS arrival FROM (
+  SELECT concat('j', doc_id) AS id, {SHA_KEY} AS sha256, substring({SHA_OPTS}, 1, 16) AS opts_hash,
+    doc_id * 37 % 1009 AS hours, doc_id % 11 = 0 AS late_kind FROM documents) u"""
+
+
 def _render(sql: str, sha: str, string_type: str) -> str:
     return (sql.replace("{SHA_TEXT}", sha.format("text"))
+            .replace("{SHA_KEY}", sha.format("concat(source, '-', CAST(floor(doc_id / 1000) AS bigint))"))
             .replace("{SHA_OPTS}", sha.format("concat('rev=7;img=', doc_id % 2, ';csv=1')"))
             .replace("{STR}", string_type))
 
@@ -84,6 +92,7 @@ DUCK_VIEWS = {
     "page_text": """SELECT doc_id, page_no, CASE WHEN doc_id % 13 = 0 THEN ' '
       ELSE substring(text, page_no * 200 + 1, 200) END AS text
       FROM (SELECT doc_id, text, unnest(range(CAST(floor((n_chars - 1) / 200) AS int) + 1)) AS page_no FROM documents)""",
+    "uses": _duck(_USES),
     "job_events": _duck(_JOB_EVENTS).replace("{JOBS}", "jobs"),
     "curr_jobs": f"""SELECT id, session_id, filename, sha256, opts_hash,
       CASE WHEN turned THEN 'done' ELSE status END AS status, page_total, started_at,
@@ -115,6 +124,10 @@ def uploads_of(documents: DataFrame) -> DataFrame:
     return _sql(documents, _UPLOADS, "documents")
 
 
+def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(table(spark, sf_dir, "documents"), _USES, "documents")
+
+
 def job_events_of(job_rows: DataFrame) -> DataFrame:
     return _sql(job_rows, _JOB_EVENTS, "{JOBS}")
 

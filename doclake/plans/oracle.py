@@ -7,7 +7,7 @@ import re
 from doclake import constants as C
 from doclake.plans import oracle_markdown as M
 from doclake.plans.derived import DUCK_VIEWS, NOW_LIVE, NOW_SWEEP
-from doclake.plans.registry import AWKWARD_NAME, JOB_COLUMNS, MARKDOWN_RULES, OLD_HASH
+from doclake.plans.registry import AWKWARD_NAME, JOB_COLUMNS, MARKDOWN_RULES, OLD_HASH, TICK, TICKS
 
 ORACLES: dict[str, str] = {}
 
@@ -226,8 +226,16 @@ _add("changed_fields", """SELECT a.id, concat_ws(',', CASE WHEN a.status <> b.st
         CASE WHEN b.status = 'failed' THEN nullif(b.error, '') END THEN 'error' END,
       CASE WHEN b.status = 'done' AND a.status <> 'done' THEN 'chip' END) AS fields
     FROM shown_prev a JOIN shown_curr b ON a.id = b.id""")
-# the fold leaves requeued jobs queued; positions follow from the folded table, all rows are new to the client
-_add("stream_feed", """SELECT id, status, finished_at, ahead FROM ahead_prev""")
+# every tick folds what has arrived until then, and sends what differs from the tick before
+_add("stream_feed", """SELECT tick, id, status, finished_at, ahead FROM (
+      SELECT *, lag({'s': status, 'f': finished_at, 'a': ahead}) OVER (PARTITION BY id ORDER BY tick) AS sent FROM ticks)
+    WHERE sent IS NULL OR status = 'running' OR sent IS DISTINCT FROM {'s': status, 'f': finished_at, 'a': ahead}""", [
+    ("arrived", f"SELECT *, {TICK.format(n='CAST(substring(id, 2) AS bigint)')} AS arrival FROM job_events"),
+    ("states", f"""SELECT tick, id, arg_max(status, seq) AS status, max(created_at) AS created_at,
+        arg_max(finished_at, seq) FILTER (op = 'finish') AS finished_at
+      FROM (SELECT unnest(range({TICKS}))::INTEGER AS tick) t JOIN arrived ON arrival <= tick GROUP BY tick, id"""),
+    ("ticks", """SELECT s.*, CASE WHEN status = 'queued' THEN (SELECT count(*) FROM states a WHERE a.tick = s.tick
+        AND a.status IN ('queued', 'running') AND a.created_at < s.created_at) END AS ahead FROM states s""")])
 
 # --- Markdown
 _ENTITIES = "html"
@@ -282,4 +290,14 @@ _add("rule_changes", _changes(), _ALL, recursive=True)
 
 # --- streaming
 _add("stream_dedup", "SELECT DISTINCT sha256, opts_hash FROM jobs")
-_add("stream_retain", "SELECT id FROM jobs")
+# what arrives in the last lot, long after its time, is older than the watermark and dropped
+_ON_TIME = "(SELECT * FROM uses WHERE NOT late)"
+_add("stream_retain", f"SELECT id FROM {_ON_TIME}")
+# gaps and islands; an entry is final once the watermark has passed its end
+_add("stream_entries", f"""SELECT sha256, opts_hash, arg_min(id, created_at) AS first_id, count(*) AS n_uses, min(created_at) AS started_at,
+      max(created_at) + {C.RETENTION_SEC} AS expires_at
+    FROM (SELECT *, sum((fresh IS NOT FALSE)::int) OVER (PARTITION BY sha256, opts_hash ORDER BY created_at, id) AS island FROM (
+      SELECT *, created_at - lag(created_at) OVER (PARTITION BY sha256, opts_hash ORDER BY created_at, id) > {C.RETENTION_SEC} AS fresh
+      FROM {_ON_TIME}))
+    GROUP BY sha256, opts_hash, island
+    HAVING max(created_at) + {C.RETENTION_SEC} <= (SELECT max(created_at) FROM uses) - 2 * {C.RETENTION_SEC}""")

@@ -398,48 +398,82 @@ def rule_changes(spark, sf):
 
 # --- streaming ---------------------------------------------------------------
 
-def _document_stream(spark, sf):
-    schema = D.table(spark, sf, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+def _arriving(spark, parts):
+    """A stream source that is filled part by part: yields the stream once for each part that has arrived."""
+    path = scratch_path(spark, "arriving")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(part.schema).parquet(path)
+
+
+def _in_order(df, column, n=3):
+    """``df`` in ``n`` parts by ranges of a whole-number column."""
+    top = df.agg(F.max(column)).first()[0] or 0
+    return [df.filter(F.floor(F.col(column) * n / (top + 1)) == i) for i in range(n)]
 
 
 @query
 def stream_admit(spark, sf):
-    out = scratch_path(spark, "admitted")
-    feeds.stream_admit(D.uploads_of(_document_stream(spark, sf)), D.page_text(spark, sf), D.jobs(spark, sf),
-                       out, scratch_path(spark, "progress"), D.NOW_LIVE).awaitTermination()
+    out, progress = scratch_path(spark, "admitted"), scratch_path(spark, "progress")
+    for stream in _arriving(spark, _in_order(D.uploads(spark, sf), "arrival")):
+        feeds.stream_admit(stream, D.page_text(spark, sf), D.jobs(spark, sf), out, progress, D.NOW_LIVE).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
-def _stored(df, mode):
-    """Run a stream over everything there is and read back what it wrote."""
-    spark = df.sparkSession
-    out = scratch_path(spark, "stream")
-    feeds.stream_to_batches(df, out, scratch_path(spark, "progress"), mode).awaitTermination()
+def _stored(spark, parts, mode, over):
+    """Run the stream that ``over`` makes of each part as it arrives, and read back what was written."""
+    out, progress = scratch_path(spark, "stream"), scratch_path(spark, "progress")
+    for stream in _arriving(spark, parts):
+        feeds.stream_to_batches(over(stream), out, progress, mode).awaitTermination()
     return spark.read.parquet(out)
 
 
 @query
 def stream_dedup(spark, sf):
-    rows = D.jobs_of(_document_stream(spark, sf)).withColumn("created", F.timestamp_seconds("created_at"))
-    return _stored(feeds.stream_dedup(rows.select("sha256", "opts_hash", "created")), "append").select("sha256", "opts_hash")
+    rows = D.jobs(spark, sf).select("sha256", "opts_hash", F.timestamp_seconds("created_at").alias("created"),
+                                    F.expr("CAST(substring(id, 2) AS bigint)").alias("n"))
+    stored = _stored(spark, _in_order(rows, "n"), "append", lambda s: feeds.stream_dedup(s.drop("n")))
+    return stored.select("sha256", "opts_hash")
+
+
+def _uses_in_lots(spark, sf):
+    uses = D.uses(spark, sf).withColumn("created", F.timestamp_seconds("created_at"))
+    return [uses.filter(F.col("arrival") == n) for n in range(TICKS)]
+
+
+@query
+def stream_entries(spark, sf):
+    rows = _stored(spark, _uses_in_lots(spark, sf), "append", lambda s: feeds.stream_entries(s, lateness="48 hours"))
+    seconds = lambda c: F.unix_timestamp(c).cast("double").alias(f"{c}_at")
+    return rows.select("sha256", "opts_hash", "first_id", "n_uses", seconds("started"), seconds("expires"))
+
+
+@query
+def stream_retain(spark, sf):
+    return _stored(spark, _uses_in_lots(spark, sf), "append", feeds.stream_retain).select("id")
 
 
 @query
 def stream_fold(spark, sf):
-    events = D.job_events_of(D.jobs_of(_document_stream(spark, sf)))
-    return feeds.latest(_stored(feeds.stream_fold(events), "update"), ["id"]).select(*JOB_COLUMNS)
+    folded = _stored(spark, _log_in_ticks(spark, sf), "update", feeds.stream_fold)
+    return feeds.latest(folded, ["id"]).select(*JOB_COLUMNS)
+
+
+# The tick in which an event of the log arrives: jobs in two lots, then claims, then ends.
+TICK = "CASE seq WHEN 1 THEN {n} % 2 WHEN 2 THEN 1 + CAST({n} % 3 = 0 AS int) ELSE 2 + CAST({n} % 5 = 0 AS int) END"
+TICKS = 4
+
+
+def _log_in_ticks(spark, sf):
+    events = D.job_events(spark, sf).withColumn("_tick", F.expr(TICK.format(n="CAST(substring(id, 2) AS bigint)")))
+    return [events.filter(F.col("_tick") == n).drop("_tick") for n in range(TICKS)]
 
 
 @query
 def stream_feed(spark, sf):
-    out = scratch_path(spark, "frames")
-    feeds.stream_feed(D.job_events_of(D.jobs_of(_document_stream(spark, sf))), out, scratch_path(spark, "snapshots"),
-                      scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("id", "status", "finished_at", "ahead")
+    out, state, progress = (scratch_path(spark, name) for name in ("frames", "feed", "progress"))
+    for stream in _arriving(spark, _log_in_ticks(spark, sf)):
+        feeds.stream_feed(stream, out, state, progress, clock=lambda: D.NOW_LIVE).awaitTermination()
+    return spark.read.parquet(out).select(F.col("batch").alias("tick"), "id", "status", "finished_at", "ahead")
 
 
-@query
-def stream_retain(spark, sf):
-    rows = D.jobs_of(_document_stream(spark, sf)).withColumn("created", F.timestamp_seconds("created_at"))
-    return _stored(feeds.stream_retain(rows.select("id", "created")), "append").select("id")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_here = threading.local()      # the open blocks of this thread, the innermost last
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, else below the session's warehouse folder.
@@ -22,4 +27,29 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if getattr(_here, "blocks", None):
+        _here.blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, where it is there, on whatever file system it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``freeze`` stores in this block are removed at its end.
+
+    What the block leaves behind must have been stored or collected by then; a DataFrame that still reads one of
+    the tables fails.
+    """
+    if not hasattr(_here, "blocks"):
+        _here.blocks = []
+    _here.blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _here.blocks.pop():
+            remove(spark, path)

@@ -6,29 +6,24 @@ failure, so every output is exact once the batch is done.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doclake.operators.admission import admit
-from doclake.operators.feed import apply_delta, diff_snapshots
-from doclake.operators.jobs import expired, fold_jobs, retain, with_ahead
+from doclake.operators.jobs import expired, fold_jobs, retain
+from doclake.streaming.change_feed import stream_feed  # noqa: F401
+from doclake.streaming.run import start
 
 RETENTION = "24 hours"
 
 
-def _start(df: DataFrame, checkpoint: str, mode: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return (df.writeStream.outputMode(mode).foreachBatch(handle)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def stream_to_batches(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def stream_to_batches(df: DataFrame, out: str, checkpoint: str, mode: str = "append",
+                      every: str | None = None) -> StreamingQuery:
     """Store the rows of each batch under ``out/batch=<n>``."""
     def handle(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    return _start(df, checkpoint, mode, handle)
+    return start(df, checkpoint, mode, handle, every)
 
 
 def latest(batches: DataFrame, key: list[str]) -> DataFrame:
@@ -50,7 +45,7 @@ def stream_admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, out: str
             known = jobs.unionByName(earlier.select(*jobs.columns))
         admit(batch, pages, known, now).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    return _start(uploads, checkpoint, "append", handle)
+    return start(uploads, checkpoint, "append", handle)
 
 
 def stream_dedup(jobs: DataFrame) -> DataFrame:
@@ -61,30 +56,25 @@ def stream_dedup(jobs: DataFrame) -> DataFrame:
     return jobs.withWatermark("created", RETENTION).dropDuplicatesWithinWatermark(["sha256", "opts_hash"])
 
 
-def stream_fold(events: DataFrame) -> DataFrame:
-    """Job state from the change log; run it in update mode."""
-    return fold_jobs(events)
+def stream_entries(uses: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Cache entries ``sha256, opts_hash, first_id, n_uses, started, expires`` from uses (``id, created`` and the key).
 
+    An entry lives for the retention time from its last use: every use within that time renews it, the first one
+    after it starts a new entry. Works on a stream (append mode: an entry comes out when the watermark, ``lateness``
+    behind the newest use, passes its end; later uses of that time are dropped) and on a table. With
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` the uses of a hot key are merged before
+    they are shuffled.
+    """
+    alive = F.session_window("created", RETENTION)
+    return (uses.withWatermark("created", lateness).groupBy("sha256", "opts_hash", alive)
+            .agg(F.min_by("id", F.struct("created", "id")).alias("first_id"), F.count(F.lit(1)).alias("n_uses"))
+            .select("sha256", "opts_hash", "first_id", "n_uses", F.col("session_window.start").alias("started"),
+                    F.col("session_window.end").alias("expires")))
 
-def stream_feed(events: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Rows to send per tick.
 
-    The streaming fold gives the jobs that changed; they are merged into the last snapshot, queue positions
-    are taken over the whole, and the difference to the last snapshot is the frame.
-    """
-    spark = events.sparkSession
-
-    def handle(changed: DataFrame, n: int) -> None:
-        # stored first: everything below reads it several times, the stateful fold must run only once
-        changed.write.mode("overwrite").parquet(f"{state}/delta={n}")
-        delta = spark.read.parquet(f"{state}/delta={n}")
-        before = spark.read.parquet(f"{state}/jobs={n - 1}") if n else with_ahead(delta.limit(0))
-        merged = apply_delta(before.drop("ahead"), delta) if n else delta
-        with_ahead(merged).write.mode("overwrite").parquet(f"{state}/jobs={n}")
-        current = spark.read.parquet(f"{state}/jobs={n}")
-        diff_snapshots(before, current).write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    return _start(stream_fold(events), checkpoint, "update", handle)
+def stream_fold(events: DataFrame) -> DataFrame:
+    """Job state from the change log; run it in update mode."""
+    return fold_jobs(events)
 
 
 def stream_retain(jobs: DataFrame) -> DataFrame:
