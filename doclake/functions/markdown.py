@@ -80,20 +80,51 @@ def _fix_bullets(t: Column) -> Column:
     ).otherwise(u))
     # The depth of a symbol bullet holds until the next one, or until other content ends the list. Cutting
     # the text at symbol bullets therefore turns the running depth into a property of each piece.
-    pieces = F.split(t, rf"(?Umd)^(?= *- {SYMBOL}|- l(?: |$))", -1)
+    pieces = F.split(t, rf"(?Umd)^(?={SYMBOL_BULLET})", -1)
     return F.array_join(F.transform(pieces, _fix_piece), "")
 
 
+ENDS_LIST = rf"(?Umd)^(?=.*{INK})(?!{NOTE})(?! *- (?![{C.ORDINAL_STARTS}]){INK})(?s:.*)"
+SYMBOL_BULLET = rf" *- {SYMBOL}|- l(?: |$)"
+
+
+def _bullet_depth(head: Column) -> Column:
+    symbol = F.regexp_extract(head, rf"\A *- ({SYMBOL})", 1)
+    depth1, depth2 = (list(chars) for chars in C.BULLETS_BY_DEPTH[1:])
+    return F.when(symbol.isin(depth1), 1).when(symbol.isin(depth2), 2).otherwise(0)
+
+
+def open_bullet(t: Column) -> Column:
+    """The symbol bullet whose list is open behind a text, as a short line of the same depth; empty if none is.
+
+    Null where the text leaves open what was open before it.
+    """
+    def of_last(pieces: Column) -> Column:
+        last = F.element_at(pieces, -1)
+        head = F.substring_index(last, "\n", 1)
+        bare = head.rlike(rf"(?Umd)\A{_empty_bullet('a')}")
+        depth = _bullet_depth(head)
+        symbol = F.when(depth == 2, C.BULLETS_BY_DEPTH[2][0]).when(depth == 1, C.BULLETS_BY_DEPTH[1][0]).otherwise(C.BULLETS_BY_DEPTH[0][0])
+        line = F.concat(F.lit("- "), symbol, F.when(bare, "\n").otherwise(" x\n"))
+        return (F.when(last.rlike(ENDS_LIST), "")
+                .when(last.rlike(rf"\A(?: *- {SYMBOL}|- l[ \n])"), line))
+    return let(F.split(t, rf"(?Umd)^(?={SYMBOL_BULLET})", -1), of_last)
+
+
+def fix_bullets_below(t: Column, above: Column) -> Column:
+    """``fix_bullets`` of newline-terminated text below the line that ``open_bullet`` gave for the text before it."""
+    def drop_line(u: Column) -> Column:
+        return F.when(above.endswith(" x\n"), F.regexp_replace(u, r"(?d)\A[^\n]*\n", "")).otherwise(u)
+    return let(let(F.concat(above, t), _fix_bullets), drop_line)
+
+
 def _fix_piece(piece: Column) -> Column:
     """One symbol bullet with the lines below it, or the lines before the first one."""
-    ends_list = rf"(?Umd)^(?=.*{INK})(?!{NOTE})(?! *- (?![{C.ORDINAL_STARTS}]){INK})(?s:.*)"
-    depth1, depth2 = (list(chars) for chars in C.BULLETS_BY_DEPTH[1:])
 
     def rewrite(p: Column) -> Column:
         head = p["head"]
-        symbol = F.regexp_extract(head, rf"\A *- ({SYMBOL})", 1)
         is_empty = head.rlike(rf"(?Umd)\A{_empty_bullet('a')}")
-        depth = F.when(symbol.isin(depth1), 1).when(symbol.isin(depth2), 2).otherwise(0)
+        depth = _bullet_depth(head)
         bullet = F.regexp_replace(
             head, F.lit(rf"(?Ud)\A(?:{_symbol_prefix('a')}|- l ){BLANK}*+(.*{INK}){BLANK}*\z"),
             F.concat(F.repeat(F.lit("  "), depth), F.lit("- $2\n")))
@@ -108,7 +139,7 @@ def _fix_piece(piece: Column) -> Column:
         return F.concat(rewrite(p), _escape_notes(rest))
 
     parts = F.struct(piece.alias("piece"), F.substring_index(piece, "\n", 1).alias("head"),
-                     F.regexp_replace(piece, ends_list, "").alias("listed"))
+                     F.regexp_replace(piece, ENDS_LIST, "").alias("listed"))
     return F.when(piece.rlike(rf"\A(?: *- {SYMBOL}|- l[ \n])"), let(parts, rewrite_all)).otherwise(_escape_notes(piece))
 
 
@@ -119,28 +150,36 @@ def _merge_headings(t: Column) -> Column:
         "$1 $2 $3")
 
 
+UNFINISHED = "|".join(C.UNFINISHED_ANYWHERE) + f"|[^가-힣](?:{'|'.join(C.UNFINISHED_WORDS)})"
+CONTINUES = "|".join(C.CONTINUATION_ENDINGS) + rf"|(?:{'|'.join(C.CONTINUATION_WORDS)})(?={WS}|\z)"
+
+
 def _join_wrapped(t: Column) -> Column:
-    unfinished = "|".join(C.UNFINISHED_ANYWHERE) + f"|[^가-힣](?:{'|'.join(C.UNFINISHED_WORDS)})"
-    continues = "|".join(C.CONTINUATION_ENDINGS) + rf"|(?:{'|'.join(C.CONTINUATION_WORDS)})(?={WS}|\z)"
     # \G resumes where the last join ended, so that chains of items are followed.
     return F.regexp_replace(
-        t, rf"(?Umd)(^{ITEM}|(?!\A)\G)(.*+)(?:(?<={unfinished})\n{ITEM}|\n *- (?={continues}))", "$1$2 ")
+        t, rf"(?Umd)(^{ITEM}|(?!\A)\G)(.*+)(?:(?<={UNFINISHED})\n{ITEM}|\n *- (?={CONTINUES}))", "$1$2 ")
+
+
+# The indent and dash of each item, or the first character of any other line with text.
+DEPTH_TOKEN = rf"(?Umd)^(?:{ITEM}|(?! *- {INK})(?=.*{INK}).)"
 
 
 def _normalize_depths(t: Column) -> Column:
-    # Tokens: the indent and dash of each item, or the first character of any other line with text.
-    token = rf"(?Umd)^(?:{ITEM}|(?! *- {INK})(?=.*{INK}).)"
+    return normalize_below(t, F.array().cast("array<int>"))
+
 
+def normalize_below(t: Column, open_indents: Column) -> Column:
+    """``normalize_depths`` of newline-terminated text that starts below open list items of these indents."""
     def renumber(tokens: Column) -> Column:
         def step(stack, indent):
             levels = F.when(indent < 0, F.array().cast("array<int>")).otherwise(
                 F.concat(F.filter(stack, lambda level: level < indent), F.array(indent)))
             return levels, F.size(levels)
-        depths = scan(F.transform(tokens, lambda tok: F.length(tok) - 2), F.array().cast("array<int>"), step)
+        depths = scan(F.transform(tokens, lambda tok: F.length(tok) - 2), open_indents, step)
         return F.zip_with(tokens, depths, lambda tok, depth: F.when(depth == "0", tok).otherwise(
             F.concat(F.repeat(F.lit("  "), depth.cast("int") - 1), F.lit("- "))))
 
-    return F.when(t.rlike(rf"(?Umd)^{ITEM}"), replace_tokens(t, token, renumber)).otherwise(t)
+    return F.when(t.rlike(rf"(?Umd)^{ITEM}"), replace_tokens(t, DEPTH_TOKEN, renumber)).otherwise(t)
 
 
 def _despace(t: Column) -> Column:
@@ -188,7 +227,8 @@ def _signal(text: Column) -> Column:
                     F.when(mark != "", F.regexp_extract(text, symbol, 2)).otherwise(text).alias("text"))
 
 
-def _relevel_headings(t: Column) -> Column:
+def heading_pieces(t: Column) -> Column:
+    """The text cut before each heading: ``marker``, ``signal`` and the ``rest`` behind the title."""
     def read(piece: Column) -> Column:
         title = F.regexp_extract(piece, rf"(?Umd)\A#{{1,6}} +({INK}(?:.*{INK})?){BLANK}*$", 1)
         return F.struct(
@@ -196,29 +236,44 @@ def _relevel_headings(t: Column) -> Column:
             _signal(title).alias("signal"),
             F.when(piece.rlike(rf"(?Ud)\A{HEADING}"), F.regexp_extract(piece, r"(?sd)\A[^\n]*(\n.*)\z", 1))
             .otherwise(piece).alias("rest"))
+    return F.transform(F.split(t, rf"(?Umd)^(?={HEADING})", -1), read)
+
+
+def heading_step(state: Column, signal: Column) -> tuple[Column, Column]:
+    """What a heading with this level (null without number and symbol) makes of the state, and its level."""
+    level = F.coalesce(signal, state["open"], state["signalled"] + 1)
+    stays_open = (F.when(signal.isNull(), F.when(state["seen"], level))
+                  .when(level > F.coalesce(state["open"], F.lit(7)), state["open"]))
+    moved = F.struct(F.coalesce(signal, state["signalled"]).alias("signalled"), stays_open.alias("open"),
+                     F.lit(True).alias("seen"))
+    return moved, level
 
+
+def no_heading_yet() -> Column:
+    return F.struct(F.lit(0).alias("signalled"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("seen"))
+
+
+def releveled(pieces: Column, state: Column) -> Column:
+    """The text of ``heading_pieces`` with levels from the signals, from a state on."""
     def step(state, p):
-        level = F.coalesce(p["level"], state["open"], state["signalled"] + 1)
-        stays_open = (F.when(p["level"].isNull(), F.when(state["seen"], level))
-                      .when(level > F.coalesce(state["open"], F.lit(7)), state["open"]))
-        moved = F.struct(F.coalesce(p["level"], state["signalled"]).alias("signalled"), stays_open.alias("open"),
-                         F.lit(True).alias("seen"))
+        moved, level = heading_step(state, p["level"])
         return F.when(p["heading"], moved).otherwise(state), F.when(p["heading"], level).otherwise(0)
 
-    zero = F.struct(F.lit(0).alias("signalled"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("seen"))
+    levels = scan(F.transform(pieces, lambda p: F.struct((p["marker"] != "").alias("heading"),
+                                                         p["signal"]["level"].alias("level"))), state, step)
+    lines = F.zip_with(pieces, levels, lambda p, level: F.when(level == "0", p["rest"]).otherwise(
+        F.concat(F.repeat(F.lit("#"), F.least(level.cast("int"), F.lit(6))), F.lit(" "),
+                 p["signal"]["text"], p["rest"])))
+    return F.array_join(lines, "")
 
+
+def _relevel_headings(t: Column) -> Column:
     def relevel(pieces: Column) -> Column:
         markers = F.array_distinct(F.filter(F.transform(pieces, lambda p: p["marker"]), lambda m: m != ""))
         signalled = F.exists(pieces, lambda p: p["signal"]["level"].isNotNull())
-        levels = scan(F.transform(pieces, lambda p: F.struct((p["marker"] != "").alias("heading"),
-                                                             p["signal"]["level"].alias("level"))), zero, step)
-        lines = F.zip_with(pieces, levels, lambda p, level: F.when(level == "0", p["rest"]).otherwise(
-            F.concat(F.repeat(F.lit("#"), F.least(level.cast("int"), F.lit(6))), F.lit(" "),
-                     p["signal"]["text"], p["rest"])))
-        return F.when((F.size(markers) == 1) & signalled, F.array_join(lines, ""))
-
-    pieces = F.transform(F.split(t, rf"(?Umd)^(?={HEADING})", -1), read)
-    return F.when(t.rlike(rf"(?Umd)^{HEADING}"), F.coalesce(let(pieces, relevel), t)).otherwise(t)
+        return F.when((F.size(markers) == 1) & signalled, releveled(pieces, no_heading_yet()))
+
+    return F.when(t.rlike(rf"(?Umd)^{HEADING}"), F.coalesce(let(heading_pieces(t), relevel), t)).otherwise(t)
 
 
 # --- public column functions -------------------------------------------------

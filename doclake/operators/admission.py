@@ -10,6 +10,7 @@ from doclake.operators.cache import KEY, cached_results
 from doclake.operators.jobs import queued_counts
 from doclake.operators.skew import running_total
 from doclake.sources.scratch import freeze
+from doclake.sources.uploads import flag_oversize, is_pdf
 
 
 def text_probe(pages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,16 +58,22 @@ def session_quota(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
     ``eligible`` marks uploads that would be queued if there were no quota. Counting all of them is exact:
     beyond the cap the count stays beyond the cap.
     """
-    known = uploads.join(queued_counts(jobs), "session_id", "left")
-    return (running_total(known, ["session_id"], [F.col("arrival"), F.col("upload_id")],
-                          F.col("eligible").cast("int"), "_earlier")
-            .withColumn("over_quota", F.coalesce("n_queued", F.lit(0)) + F.col("_earlier") >= C.MAX_QUEUED_PER_SESSION)
-            .drop("_earlier", "n_queued"))
+    # only keys and places are ordered; the rows themselves are joined back
+    order = uploads.select("session_id", "arrival", "upload_id", F.col("eligible").cast("int").alias("_eligible"))
+    earlier = running_total(order, ["session_id"], [F.col("arrival"), F.col("upload_id")], F.col("_eligible"), "_earlier")
+    over = (earlier.join(queued_counts(jobs), "session_id", "left")
+            .select("upload_id", (F.coalesce("n_queued", F.lit(0)) + F.col("_earlier") >= C.MAX_QUEUED_PER_SESSION).alias("over_quota")))
+    return uploads.join(over, "upload_id")
 
 
 def admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, now: float) -> DataFrame:
     """Job rows for a batch of uploads: queued, finished from the cache, or failed with a reason."""
-    probed = with_probe(uploads.join(cached_results(jobs), KEY, "left"), pages)
+    return admit_probed(with_probe(uploads, pages), jobs, now)
+
+
+def admit_probed(uploads: DataFrame, jobs: DataFrame, now: float) -> DataFrame:
+    """``admit`` for uploads that have ``n_pages`` and ``text_chars``."""
+    probed = uploads.join(cached_results(jobs), KEY, "left")
     eligible = reject_reason(F.lit(False)).isNull() & F.col("cached_id").isNull()
     # The quota reads its input several times; storing it once spares the probe and the cache join.
     judged = session_quota(freeze(probed.withColumn("eligible", eligible), "admission"), jobs)
@@ -87,3 +94,26 @@ def admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, now: float) ->
         F.when(hit, F.col("n_tables")).alias("n_tables"),
         F.when(hit, F.col("n_images")).alias("n_images"),
         F.lit(0).alias("attempts"), F.lit(now).alias("created_at"))
+
+
+def from_files(files: DataFrame, options: DataFrame, pages: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """Uploads with their probe from files (``path, modificationTime, length, content``), for ``admit_probed``.
+
+    A file stands in a folder ``session=<id>/opts=<hash>``, further folders may follow; a file whose option hash is
+    not among ``options`` is left out. ``pages`` (``sha256, page_no, text``) is what an extractor read from the
+    content, ``broken`` (``sha256``) what it could not open. The body of a file that is too large is never read, and
+    no bytes are shuffled; pages are looked up for the hashes that arrived.
+    """
+    place = lambda name: F.regexp_extract("path", rf"/{name}=([^/]+)/", 1)
+    rows = flag_oversize(files).select(
+        F.col("path").alias("upload_id"), place("session").alias("session_id"), place("opts").alias("opts_hash"),
+        F.col("modificationTime").alias("arrival"), F.element_at(F.split("path", "/"), -1).alias("filename"), "length",
+        is_pdf(F.col("content")).alias("is_pdf"), F.sha2("content", 256).alias("sha256"))
+    rows = freeze(rows, "arrived").join(options.select("opts_hash"), "opts_hash", "left_semi")
+    hashes = rows.filter("is_pdf").select("sha256").distinct()
+    probe = text_probe(pages.join(hashes, "sha256", "left_semi"), "sha256")
+    rows = rows.join(probe, "sha256", "left").fillna(0, ["n_pages", "text_chars"])
+    if broken is None:
+        return rows.withColumn("broken", F.lit(False))
+    return (rows.join(broken.select("sha256", F.lit(True).alias("broken")).distinct(), "sha256", "left")
+            .fillna(False, ["broken"]))

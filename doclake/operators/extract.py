@@ -62,9 +62,14 @@ def count_artifacts(docs: DataFrame, key: str = "doc_id", col: str = "text") ->
                        F.regexp_count(F.col(col), F.lit(images)).alias("n_images"))
 
 
-def apply_image_mode(docs: DataFrame, include: Column, col: str = "text") -> DataFrame:
+def image_mode(text: Column, include: Column) -> Column:
     """Local images as ``images/<base name>`` where ``include`` holds, a placeholder elsewhere; locations stay."""
     local = r"(!\[[^\]\n]*\]\()(?![A-Za-z][A-Za-z0-9+.-]*:)(?:[^)\n]*/)?([^)/\n]+\))"
-    relative = F.regexp_replace(F.col(col), local, "$1images/$2")
-    hidden = F.regexp_replace(F.col(col), _IMAGE_REFERENCE, C.IMAGE_PLACEHOLDER)
-    return docs.withColumn(col, F.when(include, relative).otherwise(hidden))
+    relative = F.regexp_replace(text, local, "$1images/$2")
+    hidden = F.regexp_replace(text, _IMAGE_REFERENCE, C.IMAGE_PLACEHOLDER)
+    return F.when(include, relative).otherwise(hidden)
+
+
+def apply_image_mode(docs: DataFrame, include: Column, col: str = "text") -> DataFrame:
+    """``image_mode`` on a column."""
+    return docs.withColumn(col, image_mode(F.col(col), include))

@@ -115,6 +115,10 @@ _add("table_csv_sink", r"""SELECT doc_id, printf('table-%02d', table_no) AS tabl
       chr(10) ORDER BY row_no), ''), chr(10)) AS csv
     FROM (SELECT DISTINCT doc_id, table_no FROM pipe_lines) LEFT JOIN table_rows USING (doc_id, table_no)
     GROUP BY doc_id, table_no""")
+ORACLES["packed_csv"] = (ORACLES["table_csv_sink"].replace("printf('table-%02d', table_no) AS table", "CAST(table_no AS int) AS table_no")
+                         .replace("''), chr(10)) AS csv", "'')) AS csv"))
+_add("upsert_results", """SELECT sha256, opts_hash, id, finished_at, n_tables, n_images FROM jobs WHERE status = 'done'
+    QUALIFY row_number() OVER (PARTITION BY sha256, opts_hash ORDER BY finished_at DESC, id DESC) = 1""")
 _BASE = r"""CASE WHEN regexp_matches(stem, '^\.*$') THEN 'file' ELSE stem END"""
 _STEM = r"""trim(regexp_replace(regexp_replace(regexp_extract(filename, '[^/]*$'), '^(.+)\.[^.]+$', '\1'),
     '[\\/:*?"<>|]', '_', 'g'))"""
@@ -250,6 +254,8 @@ for _rule in M.RULES:
 _ALL, _NAMES = M.chain(M.RULES)
 _add("clean_markdown", M.docs_of(_NAMES[-1]), _ALL, recursive=True)
 
+_add("clean_long_markdown", M.docs_of(_NAMES[-1]), _ALL, recursive=True)
+
 # --- extraction
 _add("extract_tables", """SELECT doc_id, table_no, row_no, unnest(range(len(cells))) AS col_no, unnest(cells) AS value
     FROM table_rows""")
@@ -261,6 +267,41 @@ _add("apply_image_mode", M.docs_of("shown"), [("shown", r"""SELECT doc_id, n, CA
     WHEN doc_id % 2 = 0 THEN regexp_replace(x, '(!\[[^\]]*\]\()(?:[^)]*/)?images/([^)]*\))', '\1images/\2', 'g')
     ELSE regexp_replace(x, '!\[[^\]]*\]\([^)]*\)', '<!-- image -->', 'g') END AS x FROM raw_lines""")])
 
+# --- conversion: one text per content and options
+_ASKED, _ASKED_NAMES = M.chain(M.RULES, "asked_lines")
+_add("convert_jobs", f"""SELECT j.id, CASE WHEN poison OR stale THEN 'failed' WHEN status <> 'queued' THEN status
+      WHEN made THEN 'done' ELSE 'failed' END AS status,
+    CASE WHEN poison THEN '{C.POISON_MESSAGE}' WHEN stale THEN '{C.STALE_OPTIONS_MESSAGE}' WHEN status = 'queued' AND NOT made
+      THEN 'no converted text' ELSE error END AS error,
+    CASE WHEN status = 'queued' THEN {NOW_LIVE} ELSE finished_at END AS finished_at,
+    CASE WHEN fresh AND made THEN concat(j.sha256, '-', j.opts_hash) ELSE result_dir END AS result_dir,
+    CASE WHEN fresh AND made THEN r.n_t ELSE n_tables END AS n_tables,
+    CASE WHEN fresh AND made THEN r.n_i ELSE n_images END AS n_images,
+    CASE WHEN r.include_csv AND r.n_t > 0 THEN CAST(r.n_t AS bigint) END AS n_csv, r.text
+    FROM (SELECT *, status = 'queued' AND NOT poison AND NOT stale AS fresh FROM (
+      SELECT *, status = 'queued' AND attempts >= {C.MAX_ATTEMPTS} AS poison,
+        status = 'queued' AND attempts < {C.MAX_ATTEMPTS} AND opts_hash NOT IN (SELECT opts_hash FROM option_table) AS stale
+      FROM mixed_jobs)) j
+    LEFT JOIN (SELECT *, true AS was_made FROM made_results) r ON r.sha256 = j.sha256 AND r.opts_hash = j.opts_hash,
+    LATERAL (SELECT coalesce(r.was_made, false) AS made)""", [
+    ("asked", f"""SELECT DISTINCT m.sha256, m.opts_hash, include_images, include_csv, f.doc_id AS first_doc,
+        f.doc_id * 2 + include_images::int AS work_id
+      FROM mixed_jobs m JOIN option_table o ON o.opts_hash = m.opts_hash
+      JOIN (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1) f ON f.sha256 = m.sha256
+      WHERE status = 'queued' AND attempts < {C.MAX_ATTEMPTS} AND f.doc_id % 41 <> 0"""),
+    ("asked_lines", r"""SELECT work_id AS doc_id, n, CASE
+        WHEN include_images THEN regexp_replace(x, '(!\[[^\]]*\]\()(?:[^)]*/)?images/([^)]*\))', '\1images/\2', 'g')
+        ELSE regexp_replace(x, '!\[[^\]]*\]\([^)]*\)', '<!-- image -->', 'g') END AS x
+      FROM raw_lines r JOIN (SELECT DISTINCT work_id, first_doc, include_images FROM asked) a ON a.first_doc = r.doc_id"""),
+    *_ASKED,
+    ("made_results", rf"""SELECT a.sha256, a.opts_hash, a.include_csv, coalesce(t.text, '') AS text,
+        CAST(coalesce(p.n, 0) AS int) AS n_t, CAST(coalesce(i.n, 0) AS int) AS n_i
+      FROM asked a LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS text FROM {_ASKED_NAMES[-1]} GROUP BY doc_id) t
+        ON t.doc_id = a.work_id
+      LEFT JOIN (SELECT doc_id, max(table_no) AS n FROM pipe_lines GROUP BY doc_id) p ON p.doc_id = a.first_doc
+      LEFT JOIN (SELECT doc_id, sum(len(regexp_extract_all(x, '<!-- image -->|!\[[^\]]*\]\([^)]*\)'))) AS n
+        FROM raw_lines GROUP BY doc_id) i ON i.doc_id = a.first_doc""")], recursive=True)
+
 # --- reports
 _add("calibrate", """SELECT count(*) AS n_jobs, CAST(sum(page_total) AS bigint) AS pages,
     sum(finished_at - started_at) / sum(page_total) AS sec_per_page

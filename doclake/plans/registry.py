@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake import constants as C
-from doclake.operators import admission, cache, extract, feed, jobs, markdown, reports
+from doclake.operators import admission, cache, convert, extract, feed, jobs, long_markdown, markdown, reports
 from doclake.plans import derived as D
-from doclake.sources import results, uploads
+from doclake.sources import keyed, results, uploads
 from doclake.sources.scratch import scratch_path
 from doclake.streaming import feeds
 
@@ -88,6 +88,24 @@ def table_csv_sink(spark, sf):
     return files.select(F.col("doc_id").cast("bigint"), "table", F.decode("content", "utf-8").alias("csv"))
 
 
+@query
+def packed_csv(spark, sf):
+    path = scratch_path(spark, "packed")
+    results.write_packed_csv(D.raw_docs(spark, sf), path, pack_bytes=1 << 20)
+    return results.read_packed_csv(spark, path)
+
+
+@query
+def upsert_results(spark, sf):
+    path = scratch_path(spark, "keyed")
+    rows = D.jobs(spark, sf).filter("status = 'done'").select(
+        "sha256", "opts_hash", "id", "finished_at", "n_tables", "n_images")
+    # the second lot brings new keys, newer results of old ones, and rows that have been written before
+    for lot in (F.col("n_images") < 3, F.col("n_images") > 1):
+        results.upsert_results(rows.filter(lot), path, ["finished_at", "id"])
+    return keyed.read(spark, path).drop("bucket")
+
+
 def _result_files(job_rows):
     present = job_rows.filter("status = 'done' AND result_dir NOT LIKE 'r/0%'").select("result_dir").distinct()
     names = F.array(*[F.lit(n) for n in ("doc.md", "images/image-1.png", "tables/table-01.csv")])
@@ -352,6 +370,12 @@ for _name in MARKDOWN_RULES:
 _rule("clean_markdown")
 
 
+@query
+def clean_long_markdown(spark, sf):
+    lines = uploads.to_lines(D.raw_docs(spark, sf))
+    return long_markdown.clean_docs(lines, lines_per_block=64)
+
+
 # --- extraction --------------------------------------------------------------
 
 @query
@@ -369,6 +393,24 @@ def apply_image_mode(spark, sf):
     return extract.apply_image_mode(D.raw_docs(spark, sf), F.col("doc_id") % 2 == 0)
 
 
+def _raw_by_hash(spark, sf):
+    """One raw text per content: that of its first document; some contents could not be read."""
+    first = D.table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"))
+    return D.raw_docs(spark, sf).join(first.filter("doc_id % 41 <> 0"), "doc_id").select("sha256", "text")
+
+
+@query
+def convert_jobs(spark, sf):
+    rows, raw = _mixed_revisions(spark, sf), _raw_by_hash(spark, sf)
+    asked = convert.to_convert(rows)
+    made = convert.convert(asked, raw)
+    csv = convert.tables(asked, raw).groupBy("sha256", "opts_hash").agg(F.count(F.lit(1)).alias("n_csv"))
+    texts = made.select("sha256", "opts_hash", "text").join(csv, ["sha256", "opts_hash"], "left")
+    after = convert.settle(rows, made, D.NOW_LIVE)
+    return (after.join(texts, ["sha256", "opts_hash"], "left")
+            .select("id", "status", "error", "finished_at", "result_dir", "n_tables", "n_images", "n_csv", "text"))
+
+
 # --- reports -----------------------------------------------------------------
 
 @query

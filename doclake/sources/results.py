@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclake.operators.extract import csv_tables
 from doclake.operators.jobs import list_jobs
 from doclake.operators.skew import running_total
+from doclake.sources import keyed
+from doclake.sources.scratch import freeze
 
 BYTE_ORDER_MARK = "\ufeff"
+PACK_BYTES = 64 << 20
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -23,6 +26,43 @@ def write_results(results: DataFrame, path: str) -> None:
     results.groupBy(*key).agg(best, counts).select(*key, "text", "r.*").write.parquet(path)
 
 
+def upsert_results(results: DataFrame, path: str, newest: list[str], buckets: int = keyed.BUCKETS) -> None:
+    """Put results (with ``sha256, opts_hash``) into the keyed table at ``path``; see ``keyed.upsert``."""
+    keyed.upsert(results, path, ["sha256", "opts_hash"], newest, buckets)
+
+
+def write_packed_csv(docs: DataFrame, path: str, key: str = "doc_id", col: str = "text", pack_bytes: int = PACK_BYTES) -> None:
+    """Write the tables of all documents as CSV into few large text files, with an index.
+
+    ``path/packs/pack=<n>`` holds one file of about ``pack_bytes`` (a single larger table stays whole), the tables
+    one after another in order of document and number, each in UTF-8 with a byte order mark and a newline at its
+    end. ``path/index`` holds ``key, table_no, pack, offset, length`` in bytes, without that newline. Documents
+    need distinct keys.
+    """
+    tables = csv_tables(docs, key, col).withColumn("csv", F.concat(F.lit(BYTE_ORDER_MARK), "csv"))
+    sizes = tables.select(key, "table_no", F.octet_length("csv").cast("bigint").alias("length"))
+    placed = running_total(sizes, [], [F.col(key), F.col("table_no")], F.col("length") + 1, "_start")
+    placed = placed.withColumn("pack", F.floor(F.col("_start") / pack_bytes))
+    # a pack is bounded in bytes, so its first table is found in one task
+    first = F.min("_start").over(Window.partitionBy("pack"))
+    index = freeze(placed.select(key, "table_no", "pack", (F.col("_start") - first).alias("offset"), "length"), "index")
+    (tables.join(index, [key, "table_no"]).repartition("pack").sortWithinPartitions("pack", "offset")
+     .select("pack", F.col("csv").alias("value")).write.option("lineSep", "\n").partitionBy("pack").text(f"{path}/packs"))
+    index.write.parquet(f"{path}/index")
+
+
+def read_packed_csv(spark: SparkSession, path: str, wanted: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """``key, table_no, csv`` of all tables, or of those whose index row is ``wanted``; only their packs are opened."""
+    index = spark.read.parquet(f"{path}/index")
+    index = index if wanted is None else index.filter(wanted)
+    per_pack = index.groupBy("pack").agg(F.collect_list(F.struct(key, "table_no", "offset", "length")).alias("t"))
+    packs = spark.read.format("binaryFile").load(f"{path}/packs").select("content", F.col("pack").cast("bigint"))
+    cut = lambda t: F.struct(
+        t[key].alias(key), t["table_no"].alias("table_no"), F.decode(F.substring(
+            F.col("content"), (t["offset"] + 1).cast("int"), t["length"].cast("int")), "utf-8").alias("csv"))
+    return packs.join(per_pack, "pack").select(F.explode(F.transform("t", cut)).alias("t")).select("t.*")
+
+
 def write_table_csv(docs: DataFrame, path: str, key: str = "doc_id", col: str = "text") -> None:
     """Write each table of each document as ``<key>/table=table-NN/*.csv`` in UTF-8 with a byte order mark.
 

@@ -6,12 +6,17 @@ failure, so every output is exact once the batch is done.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from doclake.operators.admission import admit
+from doclake.operators.admission import admit, admit_probed, from_files
+from doclake.operators.cache import options
 from doclake.operators.jobs import expired, fold_jobs, retain
+from doclake.sources.scratch import passing
 from doclake.streaming.change_feed import stream_feed  # noqa: F401
 from doclake.streaming.run import start
 
@@ -33,19 +38,54 @@ def latest(batches: DataFrame, key: list[str]) -> DataFrame:
             .select(*key, "r.*"))
 
 
-def stream_admit(uploads: DataFrame, pages: DataFrame, jobs: DataFrame, out: str, checkpoint: str,
-                 now: float) -> StreamingQuery:
-    """Admit uploads as they arrive; each batch sees the job rows of all batches before it."""
-    spark = uploads.sparkSession
+Jobs = DataFrame | Callable[[], DataFrame]
+
+
+def _admitting(df: DataFrame, out: str, checkpoint: str, jobs: Jobs, judge: Callable[[DataFrame, DataFrame], DataFrame],
+               every: str | None) -> StreamingQuery:
+    """Store what ``judge`` makes of each batch and the jobs that are known then."""
+    spark = df.sparkSession
 
     def handle(batch: DataFrame, n: int) -> None:
-        known = jobs
+        known = jobs() if callable(jobs) else jobs
         if n > 0:
-            earlier = spark.read.option("basePath", out).parquet(out).filter(F.col("batch") < n)
-            known = jobs.unionByName(earlier.select(*jobs.columns))
-        admit(batch, pages, known, now).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            earlier = spark.read.option("basePath", out).parquet(out).filter(F.col("batch") < n).select(*known.columns)
+            # the job table tells better than the admission what has become of a job
+            known = known.unionByName(earlier.join(known.select("id"), "id", "left_anti"))
+        with passing(spark):
+            judge(batch, known).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return start(df, checkpoint, "append", handle, every)
 
-    return start(uploads, checkpoint, "append", handle)
+
+def stream_admit(uploads: DataFrame, pages: DataFrame, jobs: Jobs, out: str, checkpoint: str, now: float,
+                 every: str | None = None) -> StreamingQuery:
+    """Admit uploads as they arrive; each batch sees the job rows of all batches before it.
+
+    ``jobs`` may be a function that reads the job table as it is now: a job that has ended in the meantime no longer
+    counts against the quota of its session, and its result is found.
+    """
+    return _admitting(uploads, out, checkpoint, jobs, lambda batch, known: admit(batch, pages, known, now), every)
+
+
+def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Files below ``folder`` as they arrive, with length and bytes."""
+    reader = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+              .schema("path string, modificationTime timestamp, length long, content binary"))
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(folder)
+
+
+def stream_admit_files(files: DataFrame, pages: Callable[[], DataFrame], jobs: Jobs, out: str, checkpoint: str,
+                       clock: Callable[[], float] = time.time, broken: Callable[[], DataFrame] | None = None,
+                       every: str | None = None) -> StreamingQuery:
+    """From files to job rows: size, magic bytes, hash, quota, probe and cache for each batch of ``stream_files``.
+
+    ``pages`` and ``broken`` are read anew for each batch (see ``admission.from_files``).
+    """
+    def judge(batch: DataFrame, known: DataFrame) -> DataFrame:
+        rows = from_files(batch, options(batch.sparkSession), pages(), broken() if broken else None)
+        return admit_probed(rows, known, clock())
+    return _admitting(files, out, checkpoint, jobs, judge, every)
 
 
 def stream_dedup(jobs: DataFrame) -> DataFrame:

@@ -87,3 +87,71 @@ def test_sweep(spark, job_rows):
     feeds.sweep(df, 100_000.0, kept, dropped)
     assert [r.id for r in spark.read.parquet(kept).collect()] == ["new"]
     assert [r.id for r in spark.read.parquet(dropped).collect()] == ["old"]
+
+
+def test_files_are_admitted_as_they_arrive(spark, tmp_path, job_rows):
+    """Size before body, magic bytes, hash, quota against the job table as it is then, and the cache."""
+    import hashlib
+    from doclake import constants as C
+    from doclake.operators.cache import options
+    opts = options(spark).first().opts_hash
+    root, out = tmp_path / "in", f"file://{tmp_path}/out"
+    pdf = lambda text: b"%PDF-1.7\n" + text.encode()
+    sha = lambda body: hashlib.sha256(body).hexdigest()
+
+    def arrive(session, name, body, opts_hash=opts):
+        folder = root / f"session={session}" / f"opts={opts_hash}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(body)
+
+    def known(status):
+        full = [dict(id=f"f{i}", session_id="full", status=status) for i in range(C.MAX_QUEUED_PER_SESSION)]
+        return job_rows(*full, dict(id="c", status="done", sha256=sha(pdf("cached")), opts_hash=opts, result_dir="r/c", n_tables=1, n_images=2))
+
+    bodies = [pdf(x) for x in ("good", "cached", "late", "empty", "broken")]
+    pages = spark.createDataFrame([(sha(b), i, "enough text here") for b in bodies[:3] for i in range(2)], "sha256 string, page_no int, text string")
+    broken = spark.createDataFrame([(sha(bodies[4]),)], "sha256 string")
+
+    def run(jobs):
+        files = feeds.stream_files(spark, f"file://{root}")
+        feeds.stream_admit_files(files, lambda: pages, jobs, out, f"file://{tmp_path}/progress", clock=lambda: 7.0,
+                                 broken=lambda: broken).awaitTermination()
+
+    for name, body in zip(("good.pdf", "cached.pdf", "x", "empty.pdf", "broken.pdf"), bodies):
+        if name != "x":
+            arrive("s1", name, body)
+    arrive("s1", "note.txt", b"hello")
+    arrive("s1", "odd.pdf", bodies[0], "unknown")
+    arrive("full", "good.pdf", bodies[0])
+    run(lambda: known("queued"))
+    # the jobs of the full session have ended in the meantime; copies of one body are both queued
+    arrive("full", "late.pdf", bodies[2])
+    arrive("s2", "late.pdf", bodies[2])
+    run(lambda: known("done"))
+    rows = {(r.batch, r.session_id, r.filename): r for r in spark.read.parquet(out).collect()}
+    state = {k: (r.status, r.error) for k, r in rows.items()}
+    m = C.REJECT_MESSAGES
+    assert state == {
+        (0, "s1", "good.pdf"): ("queued", None), (0, "s1", "cached.pdf"): ("done", None), (0, "s1", "empty.pdf"): ("failed", m["empty"]),
+        (0, "s1", "broken.pdf"): ("failed", m["broken"]), (0, "s1", "note.txt"): ("failed", m["not_pdf"]),
+        (0, "full", "good.pdf"): ("failed", m["over_quota"]), (1, "full", "late.pdf"): ("queued", None), (1, "s2", "late.pdf"): ("queued", None)}
+    assert rows[0, "s1", "cached.pdf"].result_dir == "r/c" and rows[0, "s1", "good.pdf"].page_total == 2
+    assert rows[0, "s1", "good.pdf"].sha256 == sha(bodies[0]) and rows[0, "s1", "note.txt"].sha256 == "-"
+
+
+def test_entries_live_on_from_their_last_use(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", "x", 0), ("b", "x", 20), ("c", "x", 43), ("d", "y", 1), ("e", "x", 68), ("f", "y", 26), ("g", "z", 200), ("h", "x", 5)]
+    schema = "id string, sha256 string, opts_hash string, created timestamp"
+    uses = [(i, s, "o", t0 + dt.timedelta(hours=h)) for i, s, h in rows]
+    src, out, progress = (f"file://{tmp_path}/{x}" for x in ("src", "out", "progress"))
+    for part in (uses[:4], uses[4:6], uses[6:7], uses[7:]):        # h comes when its time has long been closed
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        feeds.stream_to_batches(feeds.stream_entries(stream, "30 hours"), out, progress).awaitTermination()
+    got = sorted((r.sha256, r.first_id, r.n_uses, (r.expires - t0).total_seconds() / 3600) for r in spark.read.parquet(out).collect())
+    # 20 and 23 hours renew, 25 hours do not
+    assert got == [("x", "a", 3, 67.0), ("x", "e", 1, 92.0), ("y", "d", 1, 25.0), ("y", "f", 1, 50.0)]
+    table = feeds.stream_entries(spark.createDataFrame(uses[:7], schema))
+    assert sorted((r.sha256, r.first_id, r.n_uses) for r in table.collect()) == [
+        ("x", "a", 3), ("x", "e", 1), ("y", "d", 1), ("y", "f", 1), ("z", "g", 1)]
