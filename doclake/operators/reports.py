@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +59,14 @@ def symbol_report(docs: DataFrame, col: str = "text") -> DataFrame:
 
 
 def rule_changes(docs: DataFrame, col: str = "text") -> DataFrame:
-    """How many documents each rule of the clean-up changes, in one pass."""
-    df = docs.select(F.concat(F.col(col), F.lit("\n")).alias("_t0"))
-    for i, (_, rule) in enumerate(RULES):
-        df = df.withColumn(f"_t{i + 1}", rule(F.col(f"_t{i}")))
-    changed = df.agg(*[F.count_if(F.col(f"_t{i}") != F.col(f"_t{i + 1}")).alias(name)
-                       for i, (name, _) in enumerate(RULES)])
+    """How many documents each rule of the clean-up changes, in one pass; a row carries one text and a flag per rule."""
+    def apply(state: Column, rule: Callable[[Column], Column]) -> Column:
+        return let(state, lambda s: let(let(s["t"], rule), lambda new: F.struct(
+            new.alias("t"), F.concat(s["flags"], F.array(new != s["t"])).alias("flags"))))
+
+    state = F.struct(F.concat(F.col(col), F.lit("\n")).alias("t"), F.array().cast("array<boolean>").alias("flags"))
+    for _, rule in RULES:
+        state = apply(state, rule)
+    flags = docs.select(state["flags"].alias("_f"))
+    changed = flags.agg(*[F.count_if(F.col("_f")[i]).alias(name) for i, (name, _) in enumerate(RULES)])
     return changed.unpivot([], [name for name, _ in RULES], "rule", "n_docs_changed")

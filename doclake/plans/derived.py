@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 NOW_LIVE = 1704074400.0
 NOW_SWEEP = 1704163600.0
 
-# Line t number n of document doc_id becomes a line that shows one of the phenomena.
+# Line t number n of document doc_id becomes a line that shows one of the phenomena, or two lines: no text is lost.
 RAW_LINE = """CASE (doc_id * 7 + n * (1 + 2 * (doc_id % 3))) % 32
-  WHEN 0 THEN '## 2' WHEN 1 THEN concat('## ', t) WHEN 2 THEN concat('- □ ', t) WHEN 3 THEN concat('- ㅇ ', t)
+  WHEN 0 THEN concat(t, '\n## 2') WHEN 1 THEN concat('## ', t) WHEN 2 THEN concat('- □ ', t) WHEN 3 THEN concat('- ㅇ ', t)
   WHEN 4 THEN concat('- ', t) WHEN 5 THEN concat('- ▪ ▪   ', t) WHEN 6 THEN concat('* ', t)
-  WHEN 7 THEN concat('- ※ ', t) WHEN 8 THEN concat('    - ', t) WHEN 9 THEN '| a · b | Ÿ c  d |'
-  WHEN 10 THEN '| --- | --- |' WHEN 11 THEN concat('| ', n, ' | "x, y" |') WHEN 12 THEN concat('- ', t, ',')
-  WHEN 13 THEN '¡' WHEN 14 THEN '- ㅇ' WHEN 15 THEN concat('글 로 벌  기 술  ', t)
-  WHEN 16 THEN concat('산 · 학 ( 연 )  ', t) WHEN 17 THEN '' WHEN 18 THEN '<!-- image -->' WHEN 19 THEN concat('국가전략기술육성법시행령개정안 ', t)
+  WHEN 7 THEN concat('- ※ ', t) WHEN 8 THEN concat('    - ', t) WHEN 9 THEN concat(t, '\n| a · b | Ÿ c  d |')
+  WHEN 10 THEN concat('| --- | --- |\n| ', translate(t, concat('|', chr(92)), '/ '), ' | z |')
+  WHEN 11 THEN concat('| ', translate(t, concat('|', chr(92)), '/ '), ' | "x, y" |') WHEN 12 THEN concat('- ', t, ',')
+  WHEN 13 THEN concat('¡\n', t) WHEN 14 THEN concat(t, '\n- ㅇ') WHEN 15 THEN concat('글 로 벌  기 술  ', t)
+  WHEN 16 THEN concat('산 · 학 ( 연 )  ', t) WHEN 17 THEN concat('\n', t) WHEN 18 THEN concat('<!-- image -->\n', t)
+  WHEN 19 THEN concat('국가전략기술육성법시행령개정안 ', t)
   WHEN 20 THEN concat('- l ', t) WHEN 21 THEN concat('- ① ', t) WHEN 22 THEN concat('  - ', t, ' 및')
   WHEN 23 THEN concat('- 하여 ', t) WHEN 24 THEN concat('## ■ ', t)
   WHEN 25 THEN concat(CASE WHEN doc_id % 11 = 0 THEN '###' ELSE '##' END, ' 1-', n, '. ', t)
   WHEN 26 THEN concat('        - ', t) WHEN 27 THEN concat('** ', t) WHEN 28 THEN concat('- **', t, '** x')
   WHEN 29 THEN replace(t, ' ', '  ') WHEN 30 THEN concat('\uf0b7 ', t)
-  WHEN 31 THEN concat('![Image](/tmp/out/images/i', n, '.png)') ELSE t END"""
+  WHEN 31 THEN concat('![Image](/tmp/out/images/i', n, '.png)\n', t) ELSE t END"""
 
 _JOBS = """SELECT concat('j', doc_id) AS id, concat('s', doc_id % 50) AS session_id,
   concat(source, '/', lang, '-', doc_id % 97, '.pdf') AS filename,
@@ -46,11 +48,12 @@ _JOBS = """SELECT concat('j', doc_id) AS id, concat('s', doc_id % 50) AS session
   CAST(1704067200 + floor(doc_id / 3) * 60 AS double) AS created_at
 FROM documents"""
 
-_UPLOADS = """SELECT doc_id AS upload_id, concat('s', doc_id % 5) AS session_id, doc_id AS arrival,
+# Every 13th document is uploaded once more as pages without text.
+_UPLOADS = """SELECT CASE WHEN blank THEN -1 - doc_id ELSE doc_id END AS upload_id, concat('s', doc_id % 5) AS session_id, doc_id AS arrival,
   concat(source, '/', lang, '-', doc_id % 97, '.pdf') AS filename, n_chars * 8192 AS length,
   doc_id % 17 <> 0 AS is_pdf, doc_id % 19 = 0 AS broken, {SHA_TEXT} AS sha256,
   substring({SHA_OPTS}, 1, 16) AS opts_hash
-FROM documents"""
+FROM (SELECT *, false AS blank FROM documents UNION ALL SELECT *, true FROM documents WHERE doc_id % 13 = 0) u"""
 
 _JOB_EVENTS = """SELECT id, 1 AS seq, 'create' AS op, 'queued' AS status, CAST(NULL AS double) AS started_at,
   CAST(NULL AS double) AS finished_at, CAST(NULL AS {STR}) AS error, CAST(NULL AS {STR}) AS result_dir,
@@ -89,8 +92,8 @@ def _duck(sql: str) -> str:
 DUCK_VIEWS = {
     "jobs": _duck(_JOBS),
     "uploads": _duck(_UPLOADS),
-    "page_text": """SELECT doc_id, page_no, CASE WHEN doc_id % 13 = 0 THEN ' '
-      ELSE substring(text, page_no * 200 + 1, 200) END AS text
+    "page_text": """SELECT unnest(CASE WHEN doc_id % 13 = 0 THEN [doc_id, -1 - doc_id] ELSE [doc_id] END) AS doc_id, page_no,
+        unnest([substring(text, page_no * 200 + 1, 200), ' '][:CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END]) AS text
       FROM (SELECT doc_id, text, unnest(range(CAST(floor((n_chars - 1) / 200) AS int) + 1)) AS page_no FROM documents)""",
     "uses": _duck(_USES),
     "job_events": _duck(_JOB_EVENTS).replace("{JOBS}", "jobs"),
@@ -99,9 +102,10 @@ DUCK_VIEWS = {
       CASE WHEN turned THEN {NOW_LIVE} ELSE finished_at END AS finished_at, error, result_dir, n_tables, n_images,
       attempts, created_at
       FROM (SELECT *, status = 'running' AND CAST(substring(id, 2) AS bigint) % 20 = 9 AS turned FROM jobs)""",
-    "raw_lines": f"""SELECT doc_id, n, {RAW_LINE} AS x FROM (
-      SELECT doc_id, unnest(range(len(a))) AS n, unnest(a) AS t
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))""",
+    "raw_lines": """SELECT doc_id, unnest(range(len(b))) AS n, unnest(b) AS x FROM (
+      SELECT doc_id, string_split(string_agg({LINE}, chr(10) ORDER BY n), chr(10)) AS b FROM (
+        SELECT doc_id, unnest(range(len(a))) AS n, unnest(a) AS t
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) GROUP BY doc_id)""".replace("{LINE}", RAW_LINE),
 }
 
 
@@ -156,9 +160,10 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.floor((F.col("n_chars") - 1) / 200).cast("int")
     return (table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
             .select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("page_no"))
-            .select("doc_id", "page_no",
-                    F.when(F.col("doc_id") % 13 == 0, " ")
-                    .otherwise(F.substring("text", F.col("page_no") * 200 + 1, F.lit(200))).alias("text")))
+            .select("doc_id", "page_no", F.substring("text", F.col("page_no") * 200 + 1, F.lit(200)).alias("text"))
+            .select(F.explode(F.expr("""CASE WHEN doc_id % 13 = 0 THEN array(struct(doc_id, text), struct(-1 - doc_id AS doc_id, ' ' AS text))
+                                          ELSE array(struct(doc_id, text)) END""")).alias("p"), "page_no")
+            .select("p.doc_id", "page_no", "p.text"))
 
 
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
