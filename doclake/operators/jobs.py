@@ -11,8 +11,8 @@ from doclake.operators.skew import running_total
 ACTIVE = "status IN ('queued', 'running')"
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """Current state of each job from its change log.
+def fold_jobs(events: DataFrame, *by: Column) -> DataFrame:
+    """Current state of each job (and of each value of ``by``) from its change log.
 
     Every operation writes its own fields only. ``max_by`` ignores rows whose ordering is null, which is how
     an operation leaves a field alone. All of it combines on the map side.
@@ -25,7 +25,7 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     def kept_if_null(name: str) -> Column:
         return F.max_by(name, F.when(op.isin("create", "finish") & F.col(name).isNotNull(), seq)).alias(name)
 
-    return events.groupBy("id").agg(
+    return events.groupBy("id", *by).agg(
         *[written_by(c, "create") for c in ("session_id", "filename", "sha256", "opts_hash", "page_total")],
         written_by("status", "create", "claim", "finish", "requeue"),
         written_by("started_at", "claim", "requeue"),

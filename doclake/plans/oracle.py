@@ -241,6 +241,16 @@ _add("stream_feed", """SELECT tick, id, status, finished_at, ahead FROM (
     ("ticks", """SELECT s.*, CASE WHEN status = 'queued' THEN (SELECT count(*) FROM states a WHERE a.tick = s.tick
         AND a.status IN ('queued', 'running') AND a.created_at < s.created_at) END AS ahead FROM states s""")])
 
+_add("indexed_view", f"""SELECT id, status, progress, ahead, CASE WHEN status = 'queued' THEN CAST(pages AS bigint) END AS pages_ahead,
+      CASE WHEN status = 'queued' THEN pages * CAST({C.SEC_PER_PAGE} AS double) END AS wait_sec
+    FROM (SELECT s.*, coalesce((SELECT sum(coalesce(nullif(a.page_total, 0), 1)) FROM jobs a
+      WHERE a.status IN ('queued', 'running') AND a.created_at < s.created_at), 0) AS pages FROM shown_prev s)
+    WHERE session_id = 's7' ORDER BY created_at DESC, id DESC LIMIT {C.LIST_LIMIT}""")
+ORACLES["bucketed_fold"] = ORACLES["fold_jobs"]
+_add("changes_by_digest", f"""SELECT id, 'removed' AS change FROM jobs WHERE page_total = 5
+    UNION ALL SELECT id, 'changed' FROM curr_jobs WHERE finished_at = {NOW_LIVE} AND page_total <> 5
+    UNION ALL SELECT concat('new-', id), 'added' FROM curr_jobs WHERE page_total = 7""")
+
 # --- Markdown
 _ENTITIES = "html"
 # the references that occur in the pages; the ampersand comes last, so that nothing is read twice
@@ -342,3 +352,9 @@ _add("stream_entries", f"""SELECT sha256, opts_hash, arg_min(id, created_at) AS
       FROM {_ON_TIME}))
     GROUP BY sha256, opts_hash, island
     HAVING max(created_at) + {C.RETENTION_SEC} <= (SELECT max(created_at) FROM uses) - 2 * {C.RETENTION_SEC}""")
+
+_add("stream_expired", f"""SELECT f.*, u.created_at + 600 * e.last_seq + {C.RETENTION_SEC} AS expires_at
+    FROM (SELECT * REPLACE (CASE WHEN attempts > 0 AND finished_at IS NULL THEN 'queued' ELSE status END AS status) FROM ({_FOLDED})) f
+    JOIN {_ON_TIME} u ON u.id = f.id JOIN (SELECT id, max(seq) AS last_seq FROM job_events GROUP BY id) e ON e.id = f.id
+    WHERE u.created_at + 600 * e.last_seq + {C.RETENTION_SEC} <= (SELECT max(u.created_at + 600 * seq) FROM uses u JOIN job_events j ON j.id = u.id)
+      - 2 * {C.RETENTION_SEC}""")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake import constants as C
-from doclake.operators import admission, cache, convert, extract, feed, jobs, long_markdown, markdown, reports
+from doclake.operators import admission, cache, convert, extract, feed, jobs, long_markdown, markdown, queue_index, reports
 from doclake.plans import derived as D
-from doclake.sources import keyed, results, uploads
+from doclake.sources import keyed, results, snapshots, uploads
 from doclake.sources.scratch import scratch_path
 from doclake.streaming import feeds
 
@@ -300,6 +301,32 @@ def session_summary(spark, sf):
     return jobs.session_summary(D.jobs(spark, sf))
 
 
+@query
+def indexed_view(spark, sf):
+    path = scratch_path(spark, "queue")
+    rows = D.jobs(spark, sf)
+    queue_index.build_queue_index(rows, path)
+    shown = queue_index.indexed_view(rows, path, D.NOW_LIVE, session="s7")
+    return shown.select("id", "status", "progress", "ahead", "pages_ahead", "wait_sec")
+
+
+@query
+def bucketed_fold(spark, sf):
+    table = f"events_{uuid.uuid4().hex}"
+    return jobs.fold_jobs(snapshots.write_bucketed(D.job_events(spark, sf), table)).select(*JOB_COLUMNS)
+
+
+@query
+def changes_by_digest(spark, sf):
+    old, new = scratch_path(spark, "old"), scratch_path(spark, "new")
+    snapshots.write_snapshot(D.jobs(spark, sf), old, folders=256)
+    # the newer one lacks some rows and has some others
+    current = D.curr_jobs(spark, sf)
+    added = current.filter("page_total = 7").withColumn("id", F.concat(F.lit("new-"), F.col("id")))
+    snapshots.write_snapshot(current.filter("page_total <> 5").unionByName(added), new, folders=256)
+    return feed.apply_full(*snapshots.read_changed(spark, old, new)).filter("change <> 'same'")
+
+
 # --- change feed -------------------------------------------------------------
 
 def _ticks(spark, sf):
@@ -519,3 +546,14 @@ def stream_feed(spark, sf):
     return spark.read.parquet(out).select(F.col("batch").alias("tick"), "id", "status", "finished_at", "ahead")
 
 
+
+
+@query
+def stream_expired(spark, sf):
+    n = F.expr("CAST(substring(id, 2) AS bigint)")
+    uses = D.uses(spark, sf).select("id", F.col("created_at").alias("_base"), "arrival")
+    events = (D.job_events(spark, sf).join(uses, "id")
+              .withColumn("at", F.timestamp_seconds(F.col("_base") + F.col("seq") * 600)).drop("_base"))
+    lots = [events.filter(F.col("arrival") == k).drop("arrival") for k in range(TICKS)]
+    rows = _stored(spark, lots, "append", lambda s: feeds.stream_expired(s, lateness="48 hours"))
+    return rows.select(*JOB_COLUMNS, F.unix_timestamp("expires").cast("double").alias("expires_at"))

@@ -117,6 +117,18 @@ def stream_fold(events: DataFrame) -> DataFrame:
     return fold_jobs(events)
 
 
+def stream_expired(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Job rows that end, with ``expires``, from the change log with an event time ``at``.
+
+    A job's state lives for the retention time after its last event; once the watermark, ``lateness`` behind the
+    newest event, has passed that time, its final row comes out (append mode) and its state is dropped. Events that
+    come later than that are dropped too. So the state holds the jobs of one retention time, whatever the stream's age.
+    """
+    alive = F.session_window("at", RETENTION).alias("_alive")
+    folded = fold_jobs(events.withWatermark("at", lateness), alive)
+    return folded.withColumn("expires", F.col("_alive.end")).drop("_alive")
+
+
 def stream_retain(jobs: DataFrame) -> DataFrame:
     """Job rows once each; rows that are older than the retention time when they arrive are dropped.
 
