@@ -49,3 +49,18 @@ CLOSING_BRACKETS = "｣」』）)]"
 LEFTOVER_SYMBOLS = "¡Ÿ"
 LEFTOVER_REPLACEMENT = "•"
 IMAGE_PLACEHOLDER = "<!-- image -->"
+
+# --- fixed values: patterns ---------------------------------------------------
+# a heading that holds a number alone, without its white space
+NUMBER_ALONE = rf"(?:[{ROMAN_NUMERALS}]+|\d+(?:[-–.]\d+)*+\.?|[가-힣][.)])"
+# heading level by the start of the title; bullets of depth 0, 1, 2 give levels 2, 3, 4
+LEVEL_BY_START = (
+    (1, rf"^[{ROMAN_NUMERALS}]"),
+    (3, r"^\d+ *[-–] *\d+"),
+    (3, r"^[가-힣][.)] "),
+    (2, r"^(?:제 *)?\d+[.장절]?(?: |$)"),
+)
+# characters that a folder name must not hold
+UNSAFE_IN_NAMES = r'[\\/:*?"<>|]'
+# the text whose hash names the options of a job
+OPTIONS_FORMAT = ("rev=", ";img=", ";csv=")

@@ -32,7 +32,7 @@ HANGUL = "[가-힣]"
 SYMBOL = _class("".join(C.BULLETS_BY_DEPTH))
 ITEM = rf" *- (?={INK})"
 HEADING = rf"#{{1,6}} +(?={INK})"
-NUMBER_ONLY = rf"(?:[{C.ROMAN_NUMERALS}]+|\d+(?:[-–.]\d+)*+\.?|{HANGUL}[.)])"
+NUMBER_ONLY = C.NUMBER_ALONE
 # A note starts with ※, * or **; stars count only when no further star follows (else it is emphasis).
 NOTE_REST = rf"{BLANK}*(?=[^\s*\x1c-\x1f])"
 STAR_REST = rf"{BLANK}*(?=[^\s*\x1c-\x1f][^*\n]*$)"
@@ -218,11 +218,9 @@ def _signal(text: Column) -> Column:
     mark = F.regexp_extract(text, symbol, 1)
     level = (F.when(mark.isin(list(C.BULLETS_BY_DEPTH[0])), 2)
              .when(mark.isin(list(C.BULLETS_BY_DEPTH[1])), 3)
-             .when(mark.isin(list(C.BULLETS_BY_DEPTH[2])), 4)
-             .when(text.rlike(f"^[{C.ROMAN_NUMERALS}]"), 1)
-             .when(text.rlike(r"(?U)^\d+ *[-–] *\d+"), 3)
-             .when(text.rlike(rf"^{HANGUL}[.)] "), 3)
-             .when(text.rlike(r"(?Ud)^(?:제 *)?\d+[.장절]?(?: |$)"), 2))
+             .when(mark.isin(list(C.BULLETS_BY_DEPTH[2])), 4))
+    for n, start in C.LEVEL_BY_START:
+        level = level.when(text.rlike(f"(?Ud){start}"), n)
     return F.struct(level.alias("level"),
                     F.when(mark != "", F.regexp_extract(text, symbol, 2)).otherwise(text).alias("text"))
 

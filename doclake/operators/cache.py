@@ -12,7 +12,8 @@ KEY = ["sha256", "opts_hash"]
 
 def opts_hash(include_images: Column, include_csv: Column, rev: int = C.CONVERTER_REV) -> Column:
     """First 16 hex digits of the SHA-256 over revision and options."""
-    text = F.concat(F.lit(f"rev={rev};img="), include_images.cast("int"), F.lit(";csv="), include_csv.cast("int"))
+    revision, images, csv = C.OPTIONS_FORMAT
+    text = F.concat(F.lit(f"{revision}{rev}{images}"), include_images.cast("int"), F.lit(csv), include_csv.cast("int"))
     return F.substring(F.sha2(text, 256), 1, 16)
 
 

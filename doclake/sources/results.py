@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from doclake import constants as C
 from doclake.operators.extract import csv_tables
 from doclake.operators.jobs import list_jobs
 from doclake.operators.skew import running_total
@@ -79,7 +80,7 @@ def base_name(filename: Column) -> Column:
     name = F.regexp_replace(filename, r"(?:/\.?)++\z", "")
     name = F.regexp_extract(F.when(name == ".", "").otherwise(name), r"([^/]*)\z", 1)
     stem = F.regexp_replace(name, r"(?s)\A(.+)\.[^.]+\z", "$1")
-    safe = F.regexp_replace(stem, r'[\\/:*?"<>|]', "_")
+    safe = F.regexp_replace(stem, C.UNSAFE_IN_NAMES, "_")
     safe = F.regexp_replace(safe, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     return F.when(safe.rlike(r"\A\.*\z"), "file").otherwise(safe)
 

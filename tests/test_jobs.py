@@ -44,9 +44,9 @@ def test_owned(spark, job_rows):
 
 
 def test_ahead_counts_strictly_earlier_active_jobs(job_rows):
-    df = job_rows(dict(id="q1", created_at=100.0), dict(id="r", created_at=200.0, status="running"),
-                  dict(id="d", created_at=50.0, status="done"), dict(id="q2", created_at=250.0),
-                  dict(id="q3", created_at=250.0))
+    df = job_rows(dict(id="q1", created_at=7.5), dict(id="r", created_at=31.0, status="running"),
+                  dict(id="d", created_at=2.0, status="done"), dict(id="q2", created_at=88.25),
+                  dict(id="q3", created_at=88.25))
     assert {r.id: r.ahead for r in jobs.with_ahead(df).collect()} == {"q1": 0, "r": None, "d": None, "q2": 2, "q3": 2}
 
 
