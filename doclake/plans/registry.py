@@ -319,11 +319,11 @@ def bucketed_fold(spark, sf):
 @query
 def changes_by_digest(spark, sf):
     old, new = scratch_path(spark, "old"), scratch_path(spark, "new")
-    snapshots.write_snapshot(D.jobs(spark, sf), old, folders=256)
+    snapshots.write_snapshot(D.jobs(spark, sf), old, folders=64)
     # the newer one lacks some rows and has some others
     current = D.curr_jobs(spark, sf)
     added = current.filter("page_total = 7").withColumn("id", F.concat(F.lit("new-"), F.col("id")))
-    snapshots.write_snapshot(current.filter("page_total <> 5").unionByName(added), new, folders=256)
+    snapshots.write_snapshot(current.filter("page_total <> 5").unionByName(added), new, folders=64)
     return feed.apply_full(*snapshots.read_changed(spark, old, new)).filter("change <> 'same'")
 
 
