@@ -1,10 +1,10 @@
 """Licence statements in texts, by an exact set-similarity join of text blocks and templates.
 
-A block is a sentence of a text. A template is contained in a block if at least ``tenths`` / 10 of its distinct
+A block is a sentence of a text; it may run over several lines, but not over a blank one. A template is contained in a block if at least ``tenths`` / 10 of its distinct
 words stand there. The words are ordered by their frequency over all blocks, the rarest first: a block that
-contains a template must hold one of the template's first n - ceil(t n) + 1 words, at a position that leaves
-room for the rest. The join on these words finds every pair; length and positional filters and the whole sets
-decide. Phrases are found beside it, as runs of words. Only DataFrame functions run on the executors.
+contains a template must hold one of the template's first n - ceil(t n) + 1 words. The join on these words finds
+every pair; the lengths, the places of the common word in both ordered sets, which bound what the two can share
+before and behind it, and the whole sets decide. Phrases are found beside it, as runs of words. Only DataFrame functions run on the executors.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ TEMPLATES = {
     "all rights reserved": "reserved",
 }
 TENTHS = 9     # with 8, a statement of one Creative Commons licence would contain those of its variants
-_SENTENCE_END = "(?<=[.!?])\\s+|\\n"
+_SENTENCE_END = "(?<=[.!?])\\s+|\\n\\s*\\n"
+BROADCAST_ROWS = 10_000     # of the index of templates
 
 
 def _phrase_starts(w: Column, phrase: list[str]) -> Column:
@@ -97,21 +98,25 @@ def scanned(docs: DataFrame, carry: list[str] | None = None, templates: dict[str
     place = {w: i for i, w in enumerate(order)}
     prefixes = []
     for t, s in sets.items():
-        ranked = sorted(s, key=place.get)
-        prefixes += [(w, t, templates[t], len(s), need[t], k, ranked)
-                     for k, w in enumerate(ranked[:len(s) - need[t] + 1])]
+        ranked = sorted(place[w] + 1 for w in s)
+        prefixes += [(token, t, templates[t], len(s), need[t], k, ranked)
+                     for k, token in enumerate(ranked[:len(s) - need[t] + 1])]
     index = docs.sparkSession.createDataFrame(
-        prefixes, "token string, template string, label string, n int, need int, pos int, template_words array<string>")
-    heads = sorted({p[0] for p in prefixes})
-    if heads:
-        tokens = F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in heads])))
-        # the index has at most one row per word of a template, given by the caller
-        pairs = (blocks.select("_id", "block", "words", tokens.alias("token")).join(F.broadcast(index), "token")
-                 .filter(F.size("words") >= F.col("need"))           # length filter
-                 .filter(F.col("n") - F.col("pos") >= F.col("need")))   # positional filter
+        prefixes, "token int, template string, template_label string, n int, need int, pos int, template_words array<int>")
+    if prefixes:
+        ranks = F.array(*[F.lit(w) for w in order])
+        ordered = F.array_sort(F.transform("words", lambda w: F.array_position(ranks, w).cast("int")))
+        tokens = blocks.select("_id", ordered.alias("words")).select("_id", "words", F.posexplode("words").alias("at", "token"))
+        # a row per word at most that a template may begin with; the caller gives the templates
+        small = len(prefixes) <= BROADCAST_ROWS
+        size = F.size("words")
+        before, behind = F.least("pos", "at"), F.least(F.col("n") - F.col("pos"), size - F.col("at"))
+        pairs = (tokens.join(F.broadcast(index) if small else index, "token")
+                 .filter(size >= F.col("need"))                   # length filter
+                 .filter(before + behind >= F.col("need")))       # positional filter
         share = F.size(F.array_intersect("words", "template_words")) / F.col("n")
         hits = (pairs.withColumn("share", share).filter(F.col("share") * F.col("n") >= F.col("need"))
-                .groupBy("_id").agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share")))
+                .groupBy("_id").agg(F.collect_set("template_label").alias("_labels"), F.max("share").alias("_share")))
     else:
         hits = rows.limit(0).select("_id", F.array().cast("array<string>").alias("_labels"), F.lit(0.0).alias("_share"))
 

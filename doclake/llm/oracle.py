@@ -30,7 +30,7 @@ places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i:
            FROM docs, phrases WHERE list_contains(w, pw[1])),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
                 string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]\\s+|\\n')) AS block FROM docs),
+blocks AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]\\s+|\\n\\s*\\n')) AS block FROM docs),
 block_words AS (SELECT doc_id, list_distinct(string_split_regex(lower(block), {_PARTS})) AS bw FROM blocks
                 WHERE lower(block) SIMILAR TO '(?s).*(licen|reserved|permi|compliance|domain|charge|redistribut|software).*'),
 shares AS (SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM block_words, templates),

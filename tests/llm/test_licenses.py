@@ -17,7 +17,7 @@ def brute(text):
         places += at
         base |= {label} if at else set()
     labels, score = set(base), 1.0 if places else 0.0
-    for block in re.split(r"(?<=[.!?])\s+|\n", text or ""):
+    for block in re.split(r"(?<=[.!?])\s+|\n\s*\n", text or ""):
         have = set(alnum_words(block))
         for template, label in L.TEMPLATES.items():
             t = set(template.split())
@@ -55,6 +55,13 @@ def test_cases_match_brute_force(spark, documents):
     assert L.scanned(docs.limit(0)).count() == 0
 
 
+def test_a_statement_runs_over_lines_but_not_over_blank_ones(spark, documents):
+    docs = documents("Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+                     "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted")
+    rows = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scanned(docs).select("_row.doc_id", "labels", "score").collect()}
+    assert rows == {0: ("bsd", 1.0), 1: ("", 0.0)}
+
+
 def test_no_templates_or_phrases(spark, documents):
     docs = documents("all rights reserved", "released under the MIT license")
     none = L.scanned(docs, templates={}, phrases={}).collect()
