@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.sources.scratch import freeze
@@ -87,6 +87,28 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(text, "[^0-9a-z]+")), "")
 
 
+def _values(rule: Rule) -> tuple:
+    return rule.pattern, rule.action, rule.on, rule.level, regex(rule)
+
+
+def indexed(spark: SparkSession, rules: list[Rule], urls: DataFrame) -> DataFrame:
+    """``token, pattern, action, kind, level, regex`` of the rules with literal tokens, by the one rarest in ``urls`` (``tokens``).
+
+    Tokens are counted and looked up by joins, so a list of many thousand rules is a table like any other.
+    """
+    rows = [(n, *_values(r), literal_tokens(r)) for n, r in enumerate(rules)]
+    table = spark.createDataFrame(
+        [r for r in rows if r[-1]],
+        "no long, pattern string, action string, kind string, level int, regex string, tokens array<string>")
+    literals = table.select("no", F.explode("tokens").alias("token"))
+    counts = (urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+              .join(literals.select("token").distinct(), "token"))
+    rarest = (literals.join(counts, "token", "left")
+              .groupBy("no").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")))
+    # stored, so that its size is known where it is joined
+    return freeze(table.drop("tokens").join(rarest, "no").drop("no"), "url_rules")
+
+
 def judged(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, pattern`` for each row of ``pages`` (``page_id, url``).
 
@@ -101,18 +123,18 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     urls = (pages.filter(F.instr("url", "://") > 0).select("url").distinct()
             .select("url", F.concat(host(F.col("url")), path(F.col("url"))).alias("place"), lower.alias("lower")))
     urls = freeze(urls.withColumn("tokens", _tokens(F.col("lower"))), "urls")
-    literals = {r: literal_tokens(r) for r in rules}
-    wanted = sorted({t for ts in literals.values() for t in ts})
-    known = F.array(*[F.lit(t) for t in wanted]).cast("array<string>")
-    # how many urls have each token of a rule: at most one row per token of the given rules
-    counts = dict(urls.select(F.explode(F.array_intersect("tokens", known)).alias("t")).groupBy("t").count().collect())
-    indexed = [(min(literals[r], key=lambda t: (counts.get(t, 0), t)) if literals[r] else "", r.pattern, r.action,
-                r.on, r.level, regex(r)) for r in rules]
-    index = pages.sparkSession.createDataFrame(
-        indexed, "token string, pattern string, action string, kind string, level int, regex string")
-    heads = F.array(*[F.lit(t) for t in sorted({x[0] for x in indexed})]).cast("array<string>")
-    fetched = F.array_intersect(F.concat("tokens", F.array(F.lit(""))), heads)
-    candidates = urls.select("url", "place", "lower", F.explode(fetched).alias("token")).join(F.broadcast(index), "token")
+    index = indexed(pages.sparkSession, rules, urls)
+    found = urls.select("url", "place", "lower", F.explode("tokens").alias("token")).join(index, "token")
+    # Rules without a token run on every url; only they stand in the plan as values.
+    always = [r for r in rules if not literal_tokens(r)]
+    columns = ["pattern", "action", "kind", "level", "regex"]
+    candidates = found.select("url", "place", "lower", *columns)
+    if always:
+        every = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, _values(r))]) for r in always])
+        candidates = candidates.unionByName(
+            urls.select("url", "place", "lower", F.explode(every).alias("r")).select("url", "place", "lower", "r.*"))
+    # an expression is compiled once for all rows of a rule in a task
+    candidates = candidates.sortWithinPartitions("regex")
     fits = F.expr("CASE WHEN kind = 'place' THEN place RLIKE regex ELSE lower RLIKE regex END")
     # the order of the wins as one comparable value
     order = F.struct("level", F.length("pattern").alias("n"), (F.col("action") == "allow").alias("allow"),

@@ -63,6 +63,26 @@ def test_rules_are_fetched_by_tokens_that_every_match_has():
                 assert set(U.literal_tokens(rule)) <= tokens
 
 
+def test_many_rules_are_a_table(spark):
+    urls = [f"https://site{i % 700}.example.org/path{i % 90}/x{i}?q=word{i % 13}" for i in range(300)] + URLS
+    rules = [U.Rule(f"||site{i}.", "block") for i in range(0, 25_000, 2)] + [U.Rule(f"/path{i}/", "allow") for i in range(12_500)]
+    rules += [U.Rule(f"=word{i}^", "block") for i in range(25_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df = U.judged(pages, rules)
+    plan = df._jdf.queryExecution().toString()
+    assert len(plan) < 200_000 and "site24000" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+    def best(url):
+        m = re.match(r"https://site(\d+)\.example\.org/path(\d+)/x\d+\?q=word(\d+)$", url or "")
+        if not m:
+            return None
+        site, path_, word = map(int, m.groups())
+        fits = [f"/path{path_}/", f"=word{word}^"] + [f"||site{site}."] * (site % 2 == 0)
+        return max(fits, key=lambda p: (len(p), p.startswith("/path"), p))
+    got = {r["page_id"]: r["pattern"] for r in df.collect()}
+    assert got == {i: best(u) for i, u in enumerate(urls)}
+
+
 def test_rules_without_tokens_and_no_rules(spark):
     pages = spark.createDataFrame([(1, "https://x.org/abcdef"), (2, "https://y.org/")], "page_id long, url string")
     rules = [U.Rule("bcd", "block"), U.Rule("*cde*", "allow")]
