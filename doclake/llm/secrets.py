@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.arrays import let
-from doclake.llm.texts import packed, words
+from doclake.llm.texts import SPACES, packed, words
 from doclake.sources.scratch import freeze
 
 MIN_LENGTH = 8
@@ -179,8 +179,9 @@ def scanned(docs: DataFrame, path: str | None = None, findings: DataFrame | None
 
     ``findings`` holds labelled findings: rows of ``featured`` with a ``label``. Without it the candidates of
     documents outside the held-out fold (crc32 of the id mod 5 is 0) that have a public format are the labelled
-    findings. Without both classes nothing is removed: every candidate scores 1. Null and empty texts have no
-    candidates, a null path is an empty one, repeated rows give repeated candidates.
+    findings. Without both classes nothing is removed: every candidate scores 1.
+    Null and empty texts have no candidates, texts of any length are read whole, a null path is an empty one, repeated
+    rows give repeated candidates.
     """
     rows = freeze(featured(candidates(docs, path), docs), "features")
     if findings is None:
@@ -194,24 +195,46 @@ def scanned(docs: DataFrame, path: str | None = None, findings: DataFrame | None
     return scores.withColumn("secret", F.col("score") >= 0.5).select(*rows.columns, "score", "secret")
 
 
+def _masked_words(text: Column, found: Column) -> Column:
+    """``text`` with each value of ``found`` (``word_no, value``) replaced in its own word, where it stands last."""
+    def in_word(word: Column, value: Column) -> Column:
+        start = F.length(word) - F.instr(F.reverse(word), F.reverse(value)) - F.length(value) + 2
+        own = F.concat(F.substring(word, F.lit(1), start - 1), F.lit(MASK), F.substring(word, start + F.length(value), F.length(word)))
+        return F.when(word.rlike(_LOCATION), F.replace(word, F.concat(F.lit(":"), value, F.lit("@")), F.lit(f":{MASK}@"))).otherwise(own)
+
+    def rebuilt(at: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(f"[^ {SPACES}]+"), F.lit(0))
+        new = F.transform(parts, lambda w, i: F.coalesce(in_word(w, F.get(at, F.array_position(
+            F.transform(at, lambda x: x["word_no"]), i.cast("long")).cast("int") - 1)["value"]), w))
+        gaps = F.split(text, f"[^ {SPACES}]+", -1)
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), new), gaps, lambda w, gap: F.concat(w, gap)), "")
+    return F.when(F.size(found) > 0, let(found, rebuilt)).otherwise(text)
+
+
 def masked(docs: DataFrame, path: str | None = None, findings: DataFrame | None = None) -> DataFrame:
     """``docs`` with the confirmed secrets in ``text`` replaced by ``MASK``; all rows and columns stay.
 
+    A value of ``MIN_LENGTH`` characters or more is replaced wherever it stands in its text, a shorter one, which may
+    be part of other words, in the word that it was found in only.
+
     Where ``docs`` has ``n_chars``, it follows the text. Only texts that may hold a candidate are joined.
     """
     secret = (scanned(docs, path, findings).filter("secret").groupBy("doc_id", "text_hash")
-              .agg(F.collect_set("value").alias("_values"))
-              .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_values"))
+              .agg(F.collect_set(F.struct("word_no", "value")).alias("_found"))
+              .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_found"))
     rows = packed(docs, ["doc_id", "text"])
     may = F.coalesce(_may_hold(F.col("text")), F.lit(False))
     hit = (rows.filter(may).withColumn("_own", F.xxhash64("text"))
            .join(secret, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left"))
     # longer values first, so that a value inside another one does not cut it
-    longest = F.reverse(F.array_sort(F.transform("_values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    text = F.aggregate(longest, F.col("text"), lambda t, x: F.replace(t, x["v"], F.lit(MASK)))
+    long_ = F.filter("_found", lambda x: F.length(x["value"]) >= MIN_LENGTH)
+    longest = F.reverse(F.array_sort(F.array_distinct(F.transform(
+        long_, lambda x: F.struct(F.length(x["value"]).alias("n"), x["value"].alias("v"))))))
+    text = F.aggregate(longest, _masked_words(F.col("text"), F.filter("_found", lambda x: F.length(x["value"]) < MIN_LENGTH)),
+                       lambda t, x: F.replace(t, x["v"], F.lit(MASK)))
     hit = hit.withColumn("_row", F.col("_row").withField("text", F.coalesce(text, F.col("text"))))
     if "n_chars" in docs.columns:
         length = F.length("_row.text").cast(docs.schema["n_chars"].dataType)
         hit = hit.withColumn("_row", F.col("_row").withField(
-            "n_chars", F.when(F.col("_values").isNotNull(), length).otherwise(F.col("_row.n_chars"))))
+            "n_chars", F.when(F.col("_found").isNotNull(), length).otherwise(F.col("_row.n_chars"))))
     return hit.select("_row.*").unionByName(rows.filter(~may).select("_row.*"))

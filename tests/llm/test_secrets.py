@@ -98,6 +98,13 @@ def test_values_after_a_key_with_its_own_sign_and_in_locations(spark, documents)
     assert text[3] == f"see postgres://joe:{S.MASK}@host/db for it" and text[5] == f"ftp://joe:{S.MASK}@host"
 
 
+def test_short_values_are_masked_where_they_stand(spark, documents):
+    docs = documents("password: a and read a manual about a banana", "pin code token=12 costs 12 or 120", "ssh://a:a@a.com/a is a place")
+    text = {r["doc_id"]: r["text"] for r in S.masked(docs).collect()}
+    assert text == {0: f"password: {S.MASK} and read a manual about a banana", 1: f"pin code token={S.MASK} costs 12 or 120",
+                    2: f"ssh://a:{S.MASK}@a.com/a is a place"}
+
+
 def test_sample_keeps_rare_secrets_and_thins_a_value_of_many_documents(spark, monkeypatch):
     monkeypatch.setattr(S, "FIT_ROWS", 400)
     seen = []
