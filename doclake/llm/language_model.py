@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.texts import crc_fold, hashed_words
+from doclake.llm.texts import byte_slices, crc_fold, hashed_words
 from doclake.sources.scratch import freeze
 
 FOLDS, HELD_OUT = 7, 2
@@ -26,7 +26,11 @@ DEPTH = 5                 # longest context, in bytes
 MIN_SHARE = 1e-5          # a context holds this share of all symbols: DEPTH / MIN_SHARE contexts at most
 MIN_GAIN = 5e-7           # share x divergence from the parent (nats) that retains a context
 SMOOTH = 4.0              # weight of the parent's distribution, in counts
-BLOCK_ROWS = 4_000        # documents of a block
+BLOCK_ROWS = 4_000        # documents of a block, and bytes of their texts
+BLOCK_BYTES = 16 << 20
+SLICE, ROWS = 1 << 20, 500     # bytes and documents that are handled together, which bounds the working arrays
+PART = 1 << 20            # symbols of a long text
+GRAMS = 1 << 20           # counts that a task holds
 END = 0                   # symbol of the end; also stands before the start
 _SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r"))
 
@@ -57,9 +61,14 @@ def _contexts(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return code
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _parts(s: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and symbols of a run of texts, a bounded number at a time."""
+    for at in range(0, len(s), PART):
+        low = max(0, at - DEPTH)
+        own = s[low:at + PART]
+        inside = np.clip(bounds, low, low + len(own)) - low
+        code = _contexts(own, np.unique(np.concatenate(([0], inside, [len(own)]))))
+        yield code[at - low:], own[at - low:]
 
 
 def context_counts(docs: DataFrame) -> DataFrame:
@@ -69,21 +78,27 @@ def context_counts(docs: DataFrame) -> DataFrame:
             code, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             code, inverse = np.unique(code, return_inverse=True)
             return code, np.bincount(inverse, n).astype(np.int64)
+
+        def handed_on(parts):
+            grams, n = counted(parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array((grams >> np.uint64(8)).astype(np.int64)),
+                 pa.array((grams & np.uint64(255)).astype(np.int32)), pa.array(n)], ["code", "symbol", "n"])
         for batch in batches:
             parts = []
-            for part in _slices(batch):
+            for part in byte_slices(batch, 1, SLICE, ROWS):
                 keep = [crc_fold(i, FOLDS) != HELD_OUT for i in part.column(0).to_pylist()]
                 part = part.filter(pa.array(keep, pa.bool_()))
                 if part.num_rows:
-                    s, bounds = symbols(part.column(1))
-                    grams = np.sort(_contexts(s, bounds) << np.uint64(8) | s)
-                    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-                    parts.append((grams[first], np.diff(np.append(first, len(grams)))))
+                    for code, own in _parts(*symbols(part.column(1))):
+                        grams = np.sort(code << np.uint64(8) | own)
+                        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                        parts.append((grams[first], np.diff(np.append(first, len(grams)))))
+                if sum(len(p[0]) for p in parts) > GRAMS:
+                    yield handed_on(parts)
+                    parts = []
             if parts:
-                grams, n = counted(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((grams >> np.uint64(8)).astype(np.int64)),
-                     pa.array((grams & np.uint64(255)).astype(np.int32)), pa.array(n)], ["code", "symbol", "n"])
+                yield handed_on(parts)
     return docs.mapInArrow(run, "code long, symbol int, n long").groupBy("code", "symbol").agg(F.sum("n").alias("n"))
 
 
@@ -104,12 +119,8 @@ class SuffixTree:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """log10 probability of each text: the longest retained suffix of the symbols before predicts each one."""
         s, bounds = symbols(texts)
-        out = np.empty(len(s))
-        for at in range(0, len(s), 1 << 20):       # bounds the working arrays
-            low = max(0, at - DEPTH)
-            own = s[low:at + (1 << 20)]
-            inside = np.clip(bounds, low, low + len(own)) - low
-            code = _contexts(own, np.unique(np.concatenate(([0], inside, [len(own)]))))[at - low:]
+        out, at = np.empty(len(s)), 0
+        for code, own in _parts(s, bounds):
             state = np.zeros(len(code), np.int32)
             live = np.arange(len(code))
             for k in range(DEPTH):
@@ -117,7 +128,8 @@ class SuffixTree:
                 step = self.child[state[live], self.column[older]]
                 live = live[step > 0]
                 state[live] = step[step > 0]
-            out[at:at + len(code)] = self.log_p[state, self.column[own[at - low:]]]
+            out[at:at + len(code)] = self.log_p[state, self.column[own]]
+            at += len(code)
         total = np.concatenate(([0.0], np.cumsum(out)))
         return total[bounds[1:]] - total[bounds[:-1]]
 
@@ -170,7 +182,7 @@ def word_blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, BLOCK_ROWS):
+            for part in byte_slices(batch, 1, BLOCK_BYTES, BLOCK_ROWS):
                 ids = part.column(0).to_pylist()
                 h, bounds = hashed_words(part.column(1))
                 words, place = np.unique(h, return_inverse=True)
@@ -182,7 +194,7 @@ def word_blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "words": [words.astype("<u8").tobytes()], "n_words": [len(words)], "train": [counts.tobytes()],
                     "ids": pa.array([ids], pa.list_(pa.int64())),
-                    "scores": [np.concatenate([tree.scores(x.column(1)) for x in _slices(part)]).astype("<f8").tobytes()],
+                    "scores": [np.concatenate([tree.scores(x.column(1)) for x in byte_slices(part, 1, SLICE, ROWS)]).astype("<f8").tobytes()],
                     "ends": [np.searchsorted(row, np.arange(len(ids)), "right").astype("<i8").tobytes()],
                     "places": [place.astype("<i4").tobytes()], "times": [times.astype("<i4").tobytes()],
                     "train_ends": [int(train.sum())]})
@@ -196,7 +208,7 @@ def scored(docs: DataFrame) -> DataFrame:
     Documents whose crc32 of the id mod 7 is 2 are held out of all counts; a null id counts as an empty text.
     Tokens are the words and one end per document, so null and empty texts have one token. ``base_score`` adds
     log10((c + 1) / (N + V + 1)) over the tokens, ``score`` is the tree's log10 probability of the text. Repeated
-    rows count and are scored each. Without training documents every count is 0 and the tree is uniform. An empty
+    rows count and are scored each, texts of any length whole. Without training documents every count is 0 and the tree is uniform. An empty
     table gives an empty result.
 
     The count of a word is summed over blocks on the map side and joined back to the blocks that hold it, so a

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,17 @@ def packed(df: DataFrame, columns: list[str], carry: list[str] | None = None) ->
     return df.select(F.struct(*[df[f"`{c}`"] for c in carry or df.columns]).alias("_row"), *[df[f"`{c}`"] for c in columns])
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows at most, whose texts have about ``size`` bytes at most (a longer text is alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 # --- words of a whole Arrow column at once -----------------------------------
 
 _CHUNK = 1 << 21      # bytes that are hashed together, which bounds the working arrays
