@@ -33,6 +33,7 @@ KNOWN_HALVES = 150_000
 KNOWN_PAIRS = 150_000
 SHARED = 6                  # bytes of a half that is remembered
 SHORT = 48                  # bytes up to which a plain search for the best pair is quick
+NEVER = 1 << 62             # rank of what is no piece
 MATCHES = 100_000           # words of a long text that are handled together
 
 
@@ -211,7 +212,6 @@ class BytePairs:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-NEVER = 1 << 62
 _loaded: dict[str, BytePairs] = {}
 
 

@@ -141,7 +141,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels other than 0 and 1 are ignored, repeated or contradictory ones count each. Only the text enters a
     score. Null and empty texts are scored as texts of no words. If a class has fewer than ``MIN_ROWS`` labelled
     rows, nothing can be told apart and every score is 0.5. Repeated rows are scored each; null ids are never
-    labelled. The score rises with the difference of the log densities and is 0.5 where they are equal.
+    labelled. Texts of any length are read whole, an empty table gives an empty result. The score rises with the difference of the log densities and is 0.5 where they are equal.
     """
     rows = freeze(measured(docs), "statistics")
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS

@@ -131,7 +131,8 @@ def judged(docs: DataFrame, fences=FENCES, min_rows: int = 200, carry: list[str]
 
     ``docs`` has ``text, lang, source`` and any other columns. Null and empty texts have no words and fail the
     base rule. Repeated rows are judged each, ties with a threshold pass. Documents of a group in which all
-    fail the base rule have no threshold and fail anyway. An empty table gives an empty result.
+    fail the base rule have no threshold and fail anyway. Texts of any length count whole. An empty table gives
+    an empty result.
     """
     stats = freeze(measured(docs, carry), "measured")
     limits = thresholds(stats, fences, min_rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})

@@ -114,7 +114,7 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     ``rule`` is the winning place rule, else null; ``pattern`` the winning rule of any kind; ``verdict`` is its
     action, allow without one. A null url, or one without ``://``, has an empty host and path and is allowed.
-    Repeated urls are judged once and get the same verdict. Rules without a literal token are fetched by every url.
+    Repeated urls are judged once and get the same verdict; urls of any length are read whole, other columns play no part. Rules without a literal token are fetched by every url.
     """
     rules = PLACE_RULES + PATTERN_RULES if rules is None else rules
     lower = F.translate(F.col("url"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
