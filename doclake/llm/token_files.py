@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from doclake.sources.scratch import freeze
 
 SHARD_BYTES = 64 << 20     # text that goes to one shard
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 SLICE = 1 << 21
 #: From 65,536 ids on, they take four bytes.
 WIDE = 1 << 16
@@ -39,9 +39,10 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """A byte-level tokenizer that meets each distinct word once.
 
-    Its pre-tokens never hold a blank behind another character, so a text can be cut before each blank, and
-    behind the last letter of a word. Distinct words are encoded together; the first piece of each word starts
-    with the blank. Texts with runs of blanks or special tokens go to the tokenizer as a whole.
+    A blank between two other characters starts a pre-token, and a line end between two characters that are no white
+    space is one. So a text can be cut before each blank and each line end, as long as neither stands beside other
+    white space; texts where one does, and texts with special tokens, go to the tokenizer as a whole. Distinct words
+    are encoded together: the piece that starts with the blank, or the line end, shows where each begins.
     """
 
     def __init__(self, path: str):
@@ -52,57 +53,59 @@ class WordEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.opens = np.zeros(self.size, bool)
+        self.opens = {" ": np.zeros(self.size, bool), "\n": np.zeros(self.size, bool)}
         for piece, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = piece.startswith(blank)
-        self.words: dict[str, bytes] = {}
+            self.opens[" "][i] = piece.startswith(blank)
+        self.opens["\n"][self._ids("\n")] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, bytes | None] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words that follow a blank."""
-        parts: dict[str, tuple[str, str]] = {}
-        cores, tails = set(), set()
-        for w in words:
-            core = w.rstrip("#*$%&|<>.,;:!?\n")
-            if core and core[-1].isalpha():
-                parts[w] = core, w[len(core):]
-                cores.add(core)
-                tails.add(w[len(core):])
-            else:
-                parts[w] = w, ""
-                cores.add(w)
-        plain = [c for c in cores if c and not any(map(str.isspace, c))]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids
+    def _packed(self, text: str) -> bytes:
+        return np.array(self._ids(text) if text else [], self.dtype).tobytes()
+
+    def _learn(self, start: str, words: list[str]) -> None:
+        """Ids of words that follow ``start``; None for one that has white space at an end."""
+        plain = [w for w in words if w.split() == [w]]
+        ids = np.array(self.tokenizer.encode_batch_fast([start + start.join(plain)], add_special_tokens=False)[0].ids
                        if plain else [], self.dtype)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) == len(plain):
+        at = np.flatnonzero(self.opens[start][ids])
+        mark = start.strip(" ")
+        if len(at) == len(plain):
             raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = np.append(starts[1:], len(ids)) * width
-            known = {c: raw[s:e] for c, s, e in zip(plain, (starts * width).tolist(), ends.tolist())}
+            ends = np.append(at[1:], len(ids)) * width
+            self.words.update((mark + w, raw[s:e]) for w, s, e in zip(plain, (at * width).tolist(), ends.tolist()))
         else:       # a word holds a piece that looks like a start
-            known = {}
-        for c in cores - known.keys():
-            known[c] = np.array(self._ids(" " + c), self.dtype).tobytes()
-        tail_ids = {t: np.array(self._ids(t), self.dtype).tobytes() for t in tails}
-        for w, (core, tail) in parts.items():
-            self.words[w] = known[core] + (tail_ids[tail] if tail else b"")
+            self.words.update((mark + w, self._packed(start + w)) for w in plain)
+        for w in words:
+            if mark + w not in self.words:
+                self.words[mark + w] = None if w[:1].isspace() or w[-1:].isspace() else self._packed(start + w)
+
+    def _cut(self, text: str | None) -> list[str] | None:
+        """Words without their blank, but with a line end before them; None for a text that has to stay whole."""
+        if text is None or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] == " " or self.special.search(text):
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        return None if len(words) > 1 and words[0][-1:].isspace() else words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed integers; none for null."""
-        cut = [None if t is None or "  " in t or t[-1:] == " " or self.special.search(t) else t.split(" ") for t in texts]
-        new = {w for c in cut if c for w in c[1:]}
-        new.difference_update(self.words)
-        if new:
-            self._learn(new)
+        cut = [self._cut(t) for t in texts]
+        # the first word has no blank before it
+        first = [c and c[0] for c in cut]
+        for c in filter(None, cut):
+            c[0] = ""
+        new = set().union(*filter(None, cut)).difference(self.words)
+        self._learn(" ", [w for w in new if w[:1] != "\n"])
+        self._learn("\n", [w[1:] for w in new if w[:1] == "\n"])
         out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(np.array(self._ids(t) if t else [], self.dtype).tobytes())
-            else:
-                first = np.array(self._ids(c[0]) if c[0] else [], self.dtype).tobytes()
-                out.append(first + b"".join(map(self.words.__getitem__, c[1:])))
+        for t, c, f in zip(texts, cut, first):
+            parts = [None] if c is None else list(map(self.words.__getitem__, c))
+            out.append(self._packed(t or "") if None in parts else self._packed(f) + b"".join(parts))
         if len(self.words) > CACHED_WORDS:      # full: what came first, with the common words, stays
             for w in new:
                 del self.words[w]
@@ -124,7 +127,7 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
 
     Manifest: ``shard, name, n_docs, n_tokens, base``. Every document ends with ``end_id``; null and empty texts
     have that id alone. Null ids come first; rows of equal id are ordered by the hash of their text, so a
-    repeated id spreads over shards. An empty table has an empty manifest.
+    repeated id spreads over shards. Texts of any length are encoded whole; other columns of ``docs`` play no part. An empty table has an empty manifest.
     """
     path = path or tokenizer_path()
     docs = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
@@ -140,25 +143,28 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         end = np.array([end_id], model.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         name, ids, flags, offsets, shard, out = f"shard-{uuid.uuid4().hex}", [], [], [0], None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out, shard = fs.open_output_stream(f"{root}/{name}.bin"), batch.column(2)[0].as_py()
-            ids += [x or 0 for x in batch.column(0).to_pylist()]
-            flags += [int(not x.is_valid) for x in batch.column(0)]
-            texts, size = [], 0
-            for t in [*batch.column(1), None]:
-                if t is not None:
-                    texts.append(t.as_py())
-                    size += len(texts[-1] or "")
-                if t is None or size >= SLICE:
-                    for raw in model.encode(texts):
-                        out.write(raw)
-                        out.write(end)
-                        offsets.append(offsets[-1] + len(raw) // model.dtype.itemsize + 1)
-                    texts, size = [], 0
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out, shard = fs.open_output_stream(f"{root}/{name}.bin"), batch.column(2)[0].as_py()
+                ids += [x or 0 for x in batch.column(0).to_pylist()]
+                flags += [int(not x.is_valid) for x in batch.column(0)]
+                texts, size = [], 0
+                for t in [*batch.column(1), None]:
+                    if t is not None:
+                        texts.append(t.as_py())
+                        size += len(texts[-1] or "")
+                    if t is None or size >= SLICE:
+                        for raw in model.encode(texts):
+                            out.write(raw)
+                            out.write(end)
+                            offsets.append(offsets[-1] + len(raw) // model.dtype.itemsize + 1)
+                        texts, size = [], 0
+        finally:
+            model.forget()     # the worker lives on
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{root}/{name}.idx") as index:

@@ -35,6 +35,9 @@ def test_words_encode_as_the_library_does(library):
     bits = [" ", "  ", "     ", "\n", " \n", "a", "the", "é", "日本", "😀", "'s", ".", ",", "ing", "Th", "\t", "2024", "ﬁ", " " * 70,
             "<|endoftext|>", " ", "　", "!!", "***", "\r\n", "don't", "Ġ", " x", " word", " x.", " y,\n", "\x85", "\x00"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(2000)] + [None, "", " ", "x" * 5000]
+    spaces = ["\xa0", " \xa0", "\xa0 ", " ", "\u2009", "\u3000", "\x85", "\x1c", "\n", "\n ", " \n", "\t", "a", "b", "9", ".", "'s", "é "]
+    texts += ["".join(rng.choice(spaces) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    texts += ["a \xa0 \xa0 b", "a\xa0 b", "one.\nTwo three\n", "\nx", "x\n\ny", "x\n\xa0y z"]
     model = T.WordEncoder(T.tokenizer_path())
     for text, raw in zip(texts, model.encode(texts)):
         assert np.frombuffer(raw, model.dtype).tolist() + [2] == _ids(library, text), text
