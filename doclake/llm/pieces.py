@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 SLICE = 1 << 21            # characters of text that are encoded together, which bounds the memory of a task
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 200_000     # words and pairs that a task remembers
+CACHED_PAIRS = 200_000
 LOWEST = float("-inf")
 
 
@@ -61,6 +61,10 @@ class Pieces:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("a piece runs across the start of a word")
         self.longest = max(map(len, self.ids), default=1)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered; called where a task ends, as its worker lives on."""
         self.stable: dict[tuple[str, str], bool] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.words: dict[str, bytes] = {}
@@ -221,9 +225,11 @@ def load(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts of about ``SLICE`` characters at a time; the others stay as they lie in the column."""
     part, size = [], 0
-    for t in texts:
+    for x in texts:
+        t = x.as_py()
         part.append(t)
         size += len(t or "")
         if size >= SLICE:
@@ -242,16 +248,19 @@ def encoded(docs: DataFrame, path: str | None = None, carry: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
-            at = 0
-            for part in _slices(batch.column(batch.num_columns - 1).to_pylist()):
-                ids = [np.frombuffer(x, np.int32) for x in model.encode(part)]
-                ends = np.cumsum([0] + [len(x) for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                 pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                rows = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*carry, "ids"])
-                at += len(part)
+        try:
+            for batch in batches:
+                at = 0
+                for part in _slices(batch.column(batch.num_columns - 1)):
+                    ids = [np.frombuffer(x, np.int32) for x in model.encode(part)]
+                    ends = np.cumsum([0] + [len(x) for x in ids])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                     pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                    rows = batch.slice(at, len(part))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*carry, "ids"])
+                    at += len(part)
+        finally:
+            model.forget()
     frame = docs.select(*[docs[f"`{c}`"] for c in carry], docs["text"].alias("_text"))
     return frame.mapInArrow(run, frame.select(*carry).schema.add("ids", ArrayType(IntegerType())))
 
