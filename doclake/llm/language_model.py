@@ -27,7 +27,7 @@ MIN_SHARE = 1e-5          # a context holds this share of all symbols: DEPTH / M
 MIN_GAIN = 5e-7           # share x divergence from the parent (nats) that retains a context
 SMOOTH = 4.0              # weight of the parent's distribution, in counts
 BLOCK_ROWS = 4_000        # documents of a block, and bytes of their texts
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 SLICE, ROWS = 1 << 20, 500     # bytes and documents that are handled together, which bounds the working arrays
 PART = 1 << 20            # symbols of a long text
 GRAMS = 1 << 20           # counts that a task holds
