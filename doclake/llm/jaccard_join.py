@@ -4,8 +4,8 @@ Rare-first prefix filtering: if two sets are similar enough, their first common
 in a short prefix of both. With rare shingles first, prefixes meet seldom by chance. Candidates pass length,
 positional and suffix filters and are verified once per pair on the whole sets.
 
-Large groups of near copies never expand to all pairs. First every document is linked to one pivot per prefix
-shingle. What these links join needs no further look; then all remaining candidate pairs *between* components
+Large groups of near copies never expand to all pairs. First every document meets one pivot, then up to some
+pivots of what is not joined yet. What these links join needs no further look; then all remaining candidate pairs *between* components
 are verified, so the components are those of the full link graph.
 
 Shingles are 64-bit hashes, distinct sets are told apart by 128 bits.
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from doclake.llm.components import components
 from doclake.llm.texts import hashed_words, mixed
-from doclake.sources.scratch import freeze
+from doclake.sources.scratch import freeze, passing, scratch_path
 
 WIDTH = 5
 COUNT_BITS = 18      # size of the table of shingle frequencies: 2^18 counters, 1 MB for every task
 SEEN_BITS = 23       # size of the bitmap of documents that have candidates: 1 MB for every task
 RANGE_BITS = 6       # the suffix filter splits a set into 2^6 ranges of hash values
 RANGES = 1 << RANGE_BITS
+LARGEST = (1 << 15) - 1     # count of a range; a set with more in one has no profile and passes the filter
 STAR_ORDERS = 16     # pivots of the second star
 
 
@@ -105,15 +106,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, tenths: int) -> DataFrame:
             ends.append(ends[-1] + p)
             n.append(len(g))
             sig.append(xxhash.xxh3_128_digest(g.tobytes()))
-            profile.append(np.bincount((g >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES))
+            counts_ = np.bincount((g >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES)
+            profile.append(counts_.astype(np.int16).tolist() if counts_.max() <= LARGEST else None)
         values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-        ranges = np.concatenate(profile).astype(np.int32) if profile else np.empty(0, np.int32)
-        ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(ranges))
+        ranges = pa.array(profile, pa.list_(pa.int16()))
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, ranges],
                                          ["doc_id", "n", "sig", "prefix", "profile"])
 
-    return _in_arrow(docs, make, "doc_id long, n int, sig binary, prefix array<long>, profile array<int>")
+    return _in_arrow(docs, make, "doc_id long, n int, sig binary, prefix array<long>, profile array<short>")
 
 
 def whole_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -155,7 +156,7 @@ def _plausible(pairs: DataFrame, shape: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) that pass the length filter and the suffix filter, with their set sizes.
 
     Similar sets share at least t / (1 + t) (n_a + n_b) elements, and no range of hash values adds more to
-    the overlap than the smaller of its two counts.
+    the overlap than the smaller of its two counts. A set without profile passes the second one.
     """
     def side(name):
         return shape.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"),
@@ -163,7 +164,7 @@ def _plausible(pairs: DataFrame, shape: DataFrame, tenths: int) -> DataFrame:
     most = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return (pairs.join(side("b"), "b").join(side("a"), "a")
             .filter(10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
-            .filter((10 + tenths) * most >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+            .filter(F.coalesce((10 + tenths) * most >= tenths * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b", "n_a", "n_b"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
@@ -181,6 +182,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int)
     return with_a.filter((10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _can_meet(place_a: Column, place_b: Column, tenths: int) -> Column:
+    """Length and positional filter of two sets by the places of a shingle in both.
+
+    Before it they share as many as the earlier place at most, behind it as many as the shorter rest.
+    """
+    n_a, n_b = (p.bitwiseAND(0xFFFFFFFF) for p in (place_a, place_b))
+    pos_a, pos_b = (F.shiftright(p, 32) for p in (place_a, place_b))
+    most = F.least(pos_a, pos_b) + F.least(n_a - pos_a, n_b - pos_b)
+    return (10 * F.least(n_a, n_b) >= tenths * F.greatest(n_a, n_b)) & ((10 + tenths) * most >= tenths * (n_a + n_b))
+
+
 def _open_places(meets: DataFrame, comps: DataFrame) -> DataFrame:
     """``token, node, place, comp`` of the shingles whose documents are not all in one component."""
     placed = meets.join(comps, "node", "left").select("token", "node", "place", F.coalesce("comp", "node").alias("comp"))
@@ -193,9 +205,16 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
 
     ``tenths`` is the threshold times ten. Texts without words (null, empty, blank) have 0 shingles and are
     linked with nothing. Repeated rows and equal sets are in one class. Rows without ``doc_id`` take part, but a
-    class is named by the smallest id it has, null if it has none. An empty table gives an empty result.
+    class is named by the smallest id it has, null if it has none. Texts of any length have all their shingles. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "classes")
+    with passing(spark):
+        classes = _classes(docs.select("doc_id", "text"), tenths)
+        classes.write.parquet(path)
+    return spark.read.schema(classes.schema).parquet(path)
+
+
+def _classes(docs: DataFrame, tenths: int) -> DataFrame:
     rows = freeze(prefixes(docs, frequencies(docs), tenths).withColumn("row_no", F.monotonically_increasing_id()),
                   "prefixes")
     nodes = (rows.filter("n > 0").groupBy("sig").agg(F.min("row_no").alias("row_no"), F.min("doc_id").alias("least")))
@@ -206,10 +225,13 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     # place packs position and set size, which keeps the shuffled rows short
     places = numbered.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"))
-    shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("_many"), F.min("node").alias("pivot"))
+    shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("node", "place")).alias("pivot"))
     meets = freeze(places.join(shared.filter("_many > 1").drop("_many"), "token"), "meets")
 
-    stars = meets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # First every document meets one pivot, the smallest of its shingles' pivots that it can be similar to: this joins
+    # large groups of near copies at once.
+    stars = (meets.filter(F.col("node") != F.col("pivot.node")).filter(_can_meet(F.col("place"), F.col("pivot.place"), tenths))
+             .groupBy(F.col("node").alias("b")).agg(F.min("pivot.node").alias("a")).select("a", "b"))
     likely = freeze(_plausible(stars, shape, tenths), "star_pairs")
     links = freeze(_verified(docs, likely, nodes, tenths), "star_links")
     tried = likely.select("a", "b")
@@ -217,17 +239,17 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     # A second star with other pivots, by one of some orders for each shingle, joins what is not similar to the first
     # pivot: each document meets up to STAR_ORDERS of them.
     order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "node")
-    open_ = _open_places(meets, components(links))
-    pivots = open_.groupBy("token").agg(F.min_by("node", order).alias("pivot"),
-                                        F.min_by("comp", order).alias("pivot_comp"))
-    again = (open_.join(pivots, "token").filter("comp != pivot_comp")
-             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    open_ = _open_places(meets.drop("pivot"), components(links))
+    pivots = open_.groupBy("token").agg(F.min_by(F.struct("node", "comp", "place"), order).alias("pivot"))
+    again = (open_.join(pivots, "token").filter(F.col("comp") != F.col("pivot.comp"))
+             .filter(_can_meet(F.col("place"), F.col("pivot.place"), tenths))
+             .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
     likely = freeze(_plausible(again.join(tried, ["a", "b"], "left_anti"), shape, tenths), "star_pairs")
     links = freeze(links.union(_verified(docs, likely, nodes, tenths)), "star_links")
     tried = tried.union(likely.select("a", "b"))
 
     # All candidate pairs between different components: one side is always outside the token's largest component.
-    open_ = _open_places(meets, components(links))
+    open_ = _open_places(meets.drop("pivot"), components(links))
     major = (open_.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("major")))
     sided = open_.join(major, "token").select(
         "token", "node", "comp", "major", F.shiftright("place", 32).cast("int").alias("pos"),
