@@ -30,7 +30,7 @@ from doclake.sources.scratch import freeze, passing, remove
 from doclake.streaming.run import start
 
 RANGE_SEC = 60
-SPAN_SEC = 3600           # a whole number of ranges; the log is partitioned by it
+SPAN_SEC = 86400          # a whole number of ranges; the log is partitioned by it
 FOLD_EVERY = 16           # ticks after which the log is folded
 NO_SPAN = -1              # jobs whose creation has not been seen yet
 
@@ -45,7 +45,9 @@ class State:
         return f"{self.path}/{part}/tick={tick}"
 
     def store(self, df: DataFrame, part: str, tick: int, by: tuple[str, ...] = ()) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(self.place(part, tick))
+        # ranges along the folders: else each task would write a file into each folder. Stored before, as ranges are sampled
+        rows = freeze(df, part).repartitionByRange(*by, "id") if by else df
+        rows.write.mode("overwrite").partitionBy(*by).parquet(self.place(part, tick))
 
     def _log(self, part: str, tick: int, schema: str) -> DataFrame:
         """The base before ``tick`` and the ticks since, up to ``tick``, with the column ``tick``."""

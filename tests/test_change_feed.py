@@ -151,3 +151,13 @@ def test_a_repeated_tick_gives_the_same_rows(spark, tmp_path, small_state):
             change_feed.start = original
         handle["tick"](stored, n)
     assert {n: sorted(map(str, spark.read.parquet(f"{out}/batch={n}").collect())) for n in range(4)} == before
+
+
+def test_a_tick_writes_few_files(spark, tmp_path, small_state):
+    """Their number is that of spans and tasks together, not spans times tasks."""
+    ticks = [[create(f"j{i}", i, float(i)) for i in range(1200)], [claim(f"j{i}", 2000 + i, 3000.0) for i in range(0, 1200, 3)]]
+    out, state = run(spark, ticks, tmp_path)
+    compare(spark, ticks, out, state)
+    for n in range(2):
+        files = list((tmp_path / "state" / "rows" / f"tick={n}").glob("span=*/*.parquet"))
+        assert len({f.parent for f in files}) == 10 and len(files) < 10 + 8
