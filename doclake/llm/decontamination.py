@@ -24,7 +24,6 @@ STRIDE = 16             # windows have two strides, so each word lies in two
 PASSAGE = 48            # words of an item that are searched together; longer items are cut evenly, so half at least
 BLOCK_ITEMS = 160       # passages of items that share a latent space
 RANK, EXTRA = 192, 16   # dimensions kept at most, and more for the random range
-FIT_DOCS = 2_000        # bound of the document sample that the space is fitted on, beside all items
 MAX_SHARE = 0.05        # words of more documents than this share are common; they weigh less, but never 0
 MIN_COSINE = 0.3
 MIN_PART = 0.4          # or this part of an item's own length lies in the window, however much else does
@@ -165,43 +164,65 @@ class Windows:
         return out
 
 
-def latent_space(items: list[Item] | list[Passage], windows: Windows, sample: DataFrame) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the items and the sampled windows, by randomised SVD.
+def shared_windows(docs: DataFrame, windows: Windows) -> tuple[int, np.ndarray]:
+    """Number of windows of all ``docs``, and C'C for their word counts C (windows x vocabulary).
 
-    Two passes over the sample: A'A on a random range, orthonormalised on the driver, then the small matrix of
-    A on that range. A few tasks send sums of a size that the item block bounds. Items count with unit length,
-    so that short ones are not lost, and the sample with a tenth of their weight.
+    Two words share the windows of their stride, or the one that covers the strides of both. Pairs are counted per
+    task and summed by Spark; the driver gets at most half of the vocabulary squared, which the item block bounds.
+    """
+    size = len(windows.vocabulary)
+
+    def run(batches):
+        counts, n, words = np.zeros(size * (size + 1), np.int32), 0, 0     # the last ``size`` cells: words with themselves
+
+        def summed() -> pa.RecordBatch:
+            used = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], used)), pa.int64()),
+                                               pa.array(np.concatenate(([n], counts[used])), pa.int64())], ["cell", "n"])
+        for batch in batches:
+            for part in _slices(batch.column(0)):
+                h, texts = hashed_words(part, alnum=True)
+                strides = -(-np.diff(texts) // STRIDE)
+                n += int(np.where(strides > 0, np.maximum(1, strides - 1), 0).sum())
+                if words and words + len(h) > 1 << 24:      # a word adds 62 to a cell at most
+                    yield summed()
+                    counts[:], n, words = 0, 0, 0
+                words += len(h)
+                number = windows.numbers(h)
+                own = np.flatnonzero(number >= 0)
+                number, row = number[own], np.searchsorted(texts, own, "right") - 1
+                stride = (own - texts[row]) // STRIDE
+                shared = ((stride >= 1).astype(np.int32) + (stride <= np.maximum(1, strides[row] - 1) - 1))
+                stride += (np.cumsum(strides + 2) - strides)[row]      # apart between texts
+                np.add.at(counts, size * size + number, shared)
+                for d in range(1, 2 * STRIDE):
+                    apart = stride[d:] - stride[:-d]
+                    k = np.flatnonzero(apart <= 1)
+                    if not len(k):
+                        break
+                    low, high = np.minimum(number[k], number[k + d]), np.maximum(number[k], number[k + d])
+                    np.add.at(counts, low * size + high, np.where(apart[k] == 0, shared[k], np.int32(1)))
+        yield summed()
+    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(size * (size + 1))
+    out[cell[cell >= 0]] = n[cell >= 0]
+    pairs = out[:size * size].reshape(size, size)
+    return int(n[cell < 0].sum()), pairs + pairs.T + np.diag(out[size * size:])
+
+
+def latent_space(items: list[Item] | list[Passage], windows: Windows, docs: DataFrame) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the items and all windows of ``docs``, by randomised SVD.
+
+    One pass over the documents gives A'A, from which the driver takes a random range and the small matrix of A on it.
+    Items count with unit length, so that short ones are not lost, and the windows together with a tenth of their weight.
     """
     size = len(windows.vocabulary)
     rank = min(RANK + EXTRA, size, len(items) * 5 // 4 + EXTRA)
-    sample = sample.select("text").coalesce(8)
-
-    def outer(base: np.ndarray, number, start, end) -> np.ndarray:
-        """A'A base for the windows of A."""
-        total = np.zeros(base.shape, np.float32)
-        image = windows.folded(number, start, end, base)
-        for k in range(2):      # each word lies in the windows of its two strides
-            own = np.flatnonzero(number >= 0)
-            at = np.searchsorted(start, own, "right") - 1 - k
-            at = np.where((at >= 0) & (own < end[np.maximum(at, 0)]) & (own >= start[np.maximum(at, 0)]), at, -1)
-            ok = at >= 0
-            words = number[own[ok]]
-            np.add.at(total, words, image[at[ok]] * windows.weight[words, None])
-        return total
+    n, shared = shared_windows(docs, windows) if size else (0, None)
 
     def summed(base: np.ndarray) -> np.ndarray:
-        def run(batches):
-            total, n = np.zeros(base.shape, np.float32), 0
-            for batch in batches:
-                for part in _slices(batch.column(0)):
-                    h, texts = hashed_words(part, alnum=True)
-                    number = windows.numbers(h)
-                    _, start, end = windows.bounds(texts)
-                    total += outer(base, number, start, end)
-                    n += len(start)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
-        parts = sample.mapInArrow(run, "n long, sums binary").collect()
-        total = sum((np.frombuffer(r["sums"], np.float32).reshape(base.shape) for r in parts), np.zeros(base.shape))
+        total = windows.weight[:, None] * (shared @ (windows.weight[:, None] * base))
         words, ends = np.concatenate([x.words for x in items]), np.cumsum([len(x.words) for x in items])
         number, start = windows.numbers(words), np.concatenate(([0], ends[:-1]))
         own = np.zeros(base.shape, np.float32)
@@ -210,7 +231,7 @@ def latent_space(items: list[Item] | list[Passage], windows: Windows, sample: Da
         known = np.flatnonzero(number >= 0)
         words = number[known]
         np.add.at(own, words, image[np.searchsorted(ends, known, "right")] * windows.weight[words, None])
-        weight = len(items) / 10 / max(1, sum(r["n"] for r in parts)) / max(1e-9, float((windows.weight ** 2).mean()))
+        weight = len(items) / 10 / max(1, n) / max(1e-9, float((windows.weight ** 2).mean()))
         return total * weight + own
 
     if not size:
@@ -261,8 +282,6 @@ class Detector:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame):
         n, idf = document_weights(docs)
-        one_in = max(1, n // FIT_DOCS)
-        sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
         # the benchmark is the stated query set; it is read in blocks
         items = read_items((r.asDict() for r in benchmark.toLocalIterator()), idf, common_idf(n))
         self.plain = [x for x in items if len(x.words) < MIN_ITEM]
@@ -271,7 +290,7 @@ class Detector:
         blocks = -(-len(items) // BLOCK_ITEMS)
         for block in (items[i::blocks] for i in range(blocks)):
             windows = Windows(block, idf)
-            space = latent_space(block, windows, sample)
+            space = latent_space(block, windows, docs)
             ends = np.cumsum([len(x.words) for x in block])
             number = windows.numbers(np.concatenate([x.words for x in block]))
             start = np.concatenate(([0], ends[:-1]))

@@ -139,3 +139,29 @@ def test_long_items_are_found_verbatim_and_reworded(spark, documents):
                                       "item_id long, text string, answer string")
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(documents(*texts), benchmark).collect()}
     assert got == want
+
+
+def test_the_space_counts_every_window_of_every_document(spark, documents):
+    """A'A of 6,000 documents against counting each window; no document is left out."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(25)] + ["out"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 70])))
+             for _ in range(6_000)]
+    docs = documents(*texts, None)
+    size, idf = D.document_weights(docs)
+    items = D.read_items([{"item_id": 1, "text": " ".join(vocabulary[:-1])}], idf)
+    windows = D.Windows(items, idf)
+    h, rows = hashed_words(pa.array(texts), alnum=True)
+    number = windows.numbers(h)
+    _, start, end = windows.bounds(rows)
+    counts = np.stack([np.bincount(number[a:b][number[a:b] >= 0], minlength=25) for a, b in zip(start, end)])
+    n, shared = D.shared_windows(docs, windows)
+    assert size == 6_001 and n == len(start) and (shared == counts.T @ counts).all()
+    seen = []
+    original = D.latent_space
+    try:
+        D.latent_space = lambda block, windows, rows: seen.append(rows.count()) or original(block, windows, rows)
+        D.Detector(docs, spark.createDataFrame([(1, " ".join(vocabulary))], "item_id long, text string"))
+    finally:
+        D.latent_space = original
+    assert seen == [6_001]
