@@ -19,8 +19,7 @@ def text_probe(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     Only lengths leave the scan. Sample pages are looked up by document and page, a key that no single
     document dominates.
     """
-    stripped = F.regexp_replace("text", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    sizes = pages.select(key, "page_no", F.length(stripped).alias("chars"))
+    sizes = pages.select(key, "page_no", F.length(F.trim("text", F.lit(C.WHITE_SPACE))).alias("chars"))
     counts = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"))
     step = F.greatest(F.lit(1), F.floor(F.col("n_pages") / C.PROBE_PAGES)).cast("int")
     sampled = counts.select(key, "n_pages", F.explode(
