@@ -28,3 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = freeze(lower.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "old")
                         .select("node", "comp", (F.col("comp") != F.col("old")).alias("changed")), "labels")
     return labels.select("node", "comp")
+
+
+def with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (of ``components``) after further ``links``: only links between components are followed."""
+    known = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"of_{name}"))
+    ends = (links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+            .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a != b").distinct())
+    above = components(ends)
+    new = above.select("node", F.col("node").alias("comp")).join(comps, "node", "left_anti")
+    return (comps.unionByName(new).join(above.select(F.col("node").alias("comp"), F.col("comp").alias("above")), "comp", "left")
+            .select("node", F.coalesce("above", "comp").alias("comp")))

@@ -5,8 +5,9 @@ in a short prefix of both. With rare shingles first, prefixes meet seldom by cha
 positional and suffix filters and are verified once per pair on the whole sets.
 
 Large groups of near copies never expand to all pairs. First every document is linked to one pivot per prefix
-shingle. What these links join needs no further look; then all remaining candidate pairs *between* components
-are verified, so the components are those of the full link graph.
+shingle and class of sizes: the one with the fewest rarer shingles before it, which is the least changed copy. What
+these links join needs no further look; then all remaining candidate pairs *between* components are verified, so the
+components are those of the full link graph.
 
 Shingles are 64-bit hashes, distinct sets are told apart by 128 bits.
 """
@@ -21,15 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.components import components
+from doclake.llm.components import components, with_links
 from doclake.llm.texts import hashed_words, mixed
-from doclake.sources.scratch import freeze
+from doclake.sources.scratch import freeze, stored
 
 WIDTH = 5
 COUNT_BITS = 18      # size of the table of shingle frequencies: 2^18 counters, 1 MB for every task
 SEEN_BITS = 23       # size of the bitmap of documents that have candidates: 1 MB for every task
-RANGE_BITS = 6       # the suffix filter splits a set into 2^6 ranges of hash values
-RANGES = 1 << RANGE_BITS
+RANGE_BITS = (6, 16)  # the suffix filter splits a set into 2^6 to 2^16 ranges of hash values, 4 to 8 shingles in each
 STAR_ORDERS = 16     # pivots of the second star
 
 
@@ -76,9 +76,9 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
-    rows = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -92,12 +92,22 @@ def index_length(n: Column, tenths: int) -> Column:
     return n - F.ceil(2 * tenths * n / F.lit(10 + tenths)) + 1
 
 
+def profile(g: np.ndarray) -> np.ndarray:
+    """Number of shingles in each range of hash values: the longer the set, the finer the ranges.
+
+    With ranges of a fixed number, any two long sets look alike.
+    """
+    bits = min(max(len(g).bit_length() - 3, RANGE_BITS[0]), RANGE_BITS[1])
+    counts = np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, np.iinfo(np.int16).max).astype(np.int16)
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, tenths: int) -> DataFrame:
     """Per row: doc_id, n (set size), sig (128 bits of the set), its prefix in rare-first order, its profile."""
     ranks = np.minimum(counts, (1 << 30) - 1).astype(np.uint64) << np.uint64(34)
 
     def make(ids, texts):
-        n, sig, flat, ends, profile = [], [], [], [0], []
+        n, sig, flat, ends, ranges = [], [], [], [0], []
         for g in shingle_sets(texts):
             keys = ranks[(g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] | (mixed(g) >> np.uint64(30))
             p = probe_length(len(g), tenths) if len(g) else 0
@@ -105,15 +115,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, tenths: int) -> DataFrame:
             ends.append(ends[-1] + p)
             n.append(len(g))
             sig.append(xxhash.xxh3_128_digest(g.tobytes()))
-            profile.append(np.bincount((g >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES))
+            ranges.append(profile(g))
         values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-        ranges = np.concatenate(profile).astype(np.int32) if profile else np.empty(0, np.int32)
-        ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(ranges))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, ranges],
+        cuts = np.cumsum([0, *map(len, ranges)])
+        counts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int16), *ranges])))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sig, pa.binary()), lists, counts],
                                          ["doc_id", "n", "sig", "prefix", "profile"])
 
-    return _in_arrow(docs, make, "doc_id long, n int, sig binary, prefix array<long>, profile array<int>")
+    return _in_arrow(docs, make, "doc_id long, n int, sig binary, prefix array<long>, profile array<short>")
 
 
 def whole_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -145,12 +155,18 @@ def _bits(nodes: DataFrame) -> np.ndarray:
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int32))],
                                          ["at", "bits"])
-    rows = nodes.mapInArrow(mark, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = nodes.mapInArrow(mark, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
     return out
 
 
+def _halved(counts: Column) -> Column:
+    """The profile of ranges twice as wide."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(counts) / 2).cast("int") - 1),
+                       lambda i: (F.get(counts, 2 * i) + F.get(counts, 2 * i + 1)).cast("short"))
+
+
 def _plausible(pairs: DataFrame, shape: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) that pass the length filter and the suffix filter, with their set sizes.
 
@@ -160,25 +176,64 @@ def _plausible(pairs: DataFrame, shape: DataFrame, tenths: int) -> DataFrame:
     def side(name):
         return shape.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"),
                             F.col("profile").alias(f"profile_{name}"))
-    most = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+    def even(name, other):      # halved until it is as short as the other one
+        x, size = F.col(f"profile_{name}"), F.size(f"profile_{other}")
+        halves = F.floor(F.log2(F.size(x) / size)).cast("int")
+        return F.when(halves > 0, F.aggregate(F.sequence(F.lit(1), halves), x, lambda s, _: _halved(s))).otherwise(x)
+    most = F.aggregate(F.zip_with(even("a", "b"), even("b", "a"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return (pairs.join(side("b"), "b").join(side("a"), "a")
             .filter(10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
             .filter((10 + tenths) * most >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
-    """The pairs whose whole sets are similar. The sets are read from the texts of the documents that have a pair."""
+    """The pairs whose whole sets are similar. The sets are read from the texts of the documents that have a pair.
+
+    The set of b travels to a, the hub of a star: sets are shuffled once by what they are and once by the hub.
+    """
     if pairs.limit(1).count() == 0:
         return pairs.select("a", "b")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = freeze(nodes.select("node", "sig").join(ends, "node"), "wanted")
+    sent = (pairs.select("a", F.col("b").alias("node"), "n_a", "n_b")
+            .union(pairs.select("a", F.col("a").alias("node"), "n_a", F.lit(None)).distinct()))
+    wanted = freeze(sent.join(nodes.select("node", "sig"), "node"), "wanted")
     grams = whole_sets(docs, _bits(wanted.select("sig"))).groupBy("sig").agg(F.first("grams").alias("grams"))
-    sets = freeze(grams.join(wanted, "sig").select("node", "grams"), "sets")
-    # the set of the larger node id travels to the smaller one, which is the hub of a star
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-    with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
-    return with_a.filter((10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    sets = wanted.join(grams, "sig")
+    hubs = sets.filter("n_b IS NULL").select("a", F.col("grams").alias("grams_a"))
+    pairs = sets.filter("n_b IS NOT NULL").select("a", F.col("node").alias("b"), "n_a", "n_b", "grams").join(hubs, "a")
+    overlap = F.size(F.array_intersect("grams_a", "grams"))
+    return pairs.filter((10 + tenths) * overlap >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _size_class(n: Column, tenths: int, shift: float) -> Column:
+    """Sizes of a class differ by less than the threshold; a shift of 0.5 moves the borders to the middle."""
+    return F.floor(F.log(n) / F.log(F.lit(10 / tenths)) + shift)
+
+
+def _stars(places: DataFrame, order: Column, shift: float, tenths: int) -> DataFrame:
+    """``a, b``: one pair for each place and the first place, by ``order``, of its token and size class.
+
+    Pairs whose sizes or positions rule out similarity are left out, as are those of one component.
+    """
+    places = places.withColumn("class", _size_class(F.col("n"), tenths, shift))
+    pivot = F.min_by(F.struct("node", "n", "pos", "comp"), order)
+    pivots = (places.groupBy("token", "class").agg(pivot.alias("p"), F.count(F.lit(1)).alias("_many"))
+              .filter("_many > 1").drop("_many"))
+    met = places.join(pivots, ["token", "class"]).filter("comp != p.comp")
+    return (met.filter(_may_reach(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), tenths))
+            .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+
+
+def _may_reach(n_x: Column, pos_x: Column, n_y: Column, pos_y: Column, tenths: int) -> Column:
+    """Length and positional filter of two sets whose first common token is at these positions."""
+    rest = 1 + F.least(n_x - pos_x - 1, n_y - pos_y - 1)
+    return ((10 * F.least(n_x, n_y) >= tenths * F.greatest(n_x, n_y))
+            & ((10 + tenths) * rest >= tenths * (n_x + n_y)))
+
+
+def _unpacked(places: DataFrame) -> DataFrame:
+    return places.withColumns({"pos": F.shiftright("place", 32).cast("int"),
+                               "n": F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")}).drop("place")
 
 
 def _open_places(meets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -193,9 +248,13 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
 
     ``tenths`` is the threshold times ten. Texts without words (null, empty, blank) have 0 shingles and are
     linked with nothing. Repeated rows and equal sets are in one class. Rows without ``doc_id`` take part, but a
-    class is named by the smallest id it has, null if it has none. An empty table gives an empty result.
+    class is named by the smallest id it has, null if it has none. An empty table gives an empty result. What is
+    stored on the way is removed at the end.
     """
-    docs = docs.select("doc_id", "text")
+    return stored(docs.sparkSession, "classes", lambda: _classes(docs.select("doc_id", "text"), tenths))
+
+
+def _classes(docs: DataFrame, tenths: int) -> DataFrame:
     rows = freeze(prefixes(docs, frequencies(docs), tenths).withColumn("row_no", F.monotonically_increasing_id()),
                   "prefixes")
     nodes = (rows.filter("n > 0").groupBy("sig").agg(F.min("row_no").alias("row_no"), F.min("doc_id").alias("least")))
@@ -206,45 +265,37 @@ def similarity_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
     # place packs position and set size, which keeps the shuffled rows short
     places = numbered.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"))
-    shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("_many"), F.min("node").alias("pivot"))
-    meets = freeze(places.join(shared.filter("_many > 1").drop("_many"), "token"), "meets")
+    shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
+    meets = freeze(places.join(shared, "token", "left_semi"), "meets")
 
-    stars = meets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    likely = freeze(_plausible(stars, shape, tenths), "star_pairs")
-    links = freeze(_verified(docs, likely, nodes, tenths), "star_links")
+    # the first pivots have the fewest rarer shingles, so the fewest changes
+    alone = _unpacked(meets).withColumn("comp", F.col("node"))
+    likely = freeze(_plausible(_stars(alone, F.struct("pos", "node"), 0.0, tenths), shape, tenths), "star_pairs")
+    comps = components(freeze(_verified(docs, likely, nodes, tenths), "star_links"))
     tried = likely.select("a", "b")
 
-    # A second star with other pivots, by one of some orders for each shingle, joins what is not similar to the first
-    # pivot: each document meets up to STAR_ORDERS of them.
+    # A second star with other classes and other pivots, by one of some orders for each shingle, joins what is not
+    # similar to the first pivot: each document meets up to STAR_ORDERS of them.
     order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "node")
-    open_ = _open_places(meets, components(links))
-    pivots = open_.groupBy("token").agg(F.min_by("node", order).alias("pivot"),
-                                        F.min_by("comp", order).alias("pivot_comp"))
-    again = (open_.join(pivots, "token").filter("comp != pivot_comp")
-             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    again = _stars(_unpacked(_open_places(meets, comps)), order, 0.5, tenths)
     likely = freeze(_plausible(again.join(tried, ["a", "b"], "left_anti"), shape, tenths), "star_pairs")
-    links = freeze(links.union(_verified(docs, likely, nodes, tenths)), "star_links")
+    comps = with_links(comps, freeze(_verified(docs, likely, nodes, tenths), "star_links"))
     tried = tried.union(likely.select("a", "b"))
 
     # All candidate pairs between different components: one side is always outside the token's largest component.
-    open_ = _open_places(meets, components(links))
+    open_ = _open_places(meets, comps)
     major = (open_.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("major")))
-    sided = open_.join(major, "token").select(
-        "token", "node", "comp", "major", F.shiftright("place", 32).cast("int").alias("pos"),
-        F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"))
+    sided = _unpacked(open_.join(major, "token"))
     x, y = sided.filter("comp != major").alias("x"), sided.alias("y")
     n_x, n_y, pos_x, pos_y = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     x_larger = (n_x > n_y) | ((n_x == n_y) & (F.col("x.node") > F.col("y.node")))
     indexed = F.when(x_larger, pos_y < index_length(n_y, tenths)).otherwise(pos_x < index_length(n_x, tenths))
-    rest = 1 + F.least(n_x - pos_x - 1, n_y - pos_y - 1)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
-                   & (10 * F.least(n_x, n_y) >= tenths * F.greatest(n_x, n_y))
-                   & ((10 + tenths) * rest >= tenths * (n_x + n_y)) & indexed)
+                   & _may_reach(n_x, pos_x, n_y, pos_y, tenths) & indexed)
     pairs = (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
-    open_pairs = freeze(_plausible(pairs, shape, tenths), "cross_pairs")
-    more = freeze(_verified(docs, open_pairs, nodes, tenths), "cross_links")
-    whole = components(links.union(more))
+    likely = freeze(_plausible(pairs, shape, tenths), "cross_pairs")
+    whole = with_links(comps, freeze(_verified(docs, likely, nodes, tenths), "cross_links"))
 
     named = nodes.join(whole, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))

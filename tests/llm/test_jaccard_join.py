@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from doclake.llm import jaccard_join as J
-from doclake.llm.components import components
+from doclake.llm.components import components, with_links
 from doclake.llm.queries import QUERIES
 from llm.brute import similarity_classes
 
@@ -62,3 +62,65 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["comp"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(101)}, **{500 + i: 500 for i in range(300)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_unrelated_long_texts_are_told_apart_by_their_ranges(spark, documents):
+    rng = random.Random(3)
+    docs = documents(*(" ".join(str(rng.random()) for _ in range(n)) for n in (6_000, 6_000, 6_600)))
+    rows = J.prefixes(docs, J.frequencies(docs), 8)
+    shape = J.freeze(rows.withColumn("node", F.col("doc_id")), "shape").select("node", "n", "profile")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert J._plausible(pairs, shape, 8).count() == 0
+    same = spark.createDataFrame([(0, 0)], "a long, b long")
+    assert J._plausible(same, shape, 8).count() == 1
+
+
+def test_ranges_of_sizes_beside_a_power_of_two_are_compared(spark, documents):
+    words = [f"w{i}" for i in range(1_130)]
+    texts = [" ".join(words[:n]) for n in (900, 1_020, 1_035, 1_130)]
+    got = _classes(documents(*texts))
+    assert got == similarity_classes(list(enumerate(texts)))
+    assert {c for _, c in got.values()} == {0}
+
+
+def test_pairs_of_a_group_of_changed_copies_grow_with_its_size(spark, documents, monkeypatch):
+    """Copies with a few changes each, of which many are similar to the first text only."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(2, 5)):
+            copy[rng.randrange(150)] = f"own{k}x{rng.random()}"
+        texts.append(" ".join(copy))
+    texts.insert(250, " ".join(base))
+    tried, freeze = [], J.freeze
+
+    def counted(df, name):
+        out = freeze(df, name)
+        if name.endswith("_pairs"):
+            tried.append(out.count())
+        return out
+    monkeypatch.setattr(J, "freeze", counted)
+    assert _classes(documents(*texts)) == similarity_classes(list(enumerate(texts)))
+    assert sum(tried) <= 2 * len(texts)
+
+
+def test_only_the_result_stays_stored(spark, documents):
+    root = spark.conf.get("spark.checkpoint.dir")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stored = lambda: {str(x.getPath()) for x in fs.listStatus(path)} if fs.exists(path) else set()
+    before = stored()
+    rows = J.similarity_classes(documents("a b c d e f g", "A b c d e f g", "x"))
+    assert rows.count() == 3
+    assert len(stored() - before) == 1
+
+
+def test_links_between_components_join_them(spark):
+    schema = "a long, b long"
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (20, 22)]
+    more = [(3, 11), (30, 22), (40, 41), (1, 3)]
+    comps = with_links(components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema))
+    whole = components(spark.createDataFrame(first + more, schema))
+    assert sorted(map(tuple, comps.collect())) == sorted(map(tuple, whole.collect()))
