@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 SLICE = 1 << 21            # characters of text that are encoded together, which bounds the memory of a task
-CACHED_WORDS = 200_000     # words and pairs that a task remembers
+CACHED_WORDS = 400_000     # words and pairs that a worker remembers from task to task
 CACHED_PAIRS = 200_000
 LOWEST = float("-inf")
 
@@ -60,11 +60,14 @@ class Pieces:
                 self.raw.append(piece.replace(MARK, " ").encode())
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("a piece runs across the start of a word")
-        self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}      # the longest piece that ends in these one or two characters
+        for piece in self.ids:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
+        self.packed = {piece: array("i", [i]).tobytes() for piece, i in self.ids.items()}
         self.forget()
 
     def forget(self) -> None:
-        """Drop what was remembered; called where a task ends, as its worker lives on."""
+        """Drop what was remembered."""
         self.stable: dict[tuple[str, str], bool] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.words: dict[str, bytes] = {}
@@ -122,20 +125,24 @@ class Pieces:
                 return True
         return True
 
-    def segment_all(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each of the sorted distinct ``words``, which hold the mark at their start only."""
-        ids, stable, longest = self.ids, self.stable, self.longest
+    def _states(self, words: list[str]) -> Iterator[tuple[str, list[str], list[int], list[bytes]]]:
+        """The sorted distinct ``words``, which hold the mark at their start only, with the states of their prefixes.
+
+        Of each prefix: the piece that ends it, where that piece starts, and the ids up to its end.
+        """
+        ids, stable, reach, packed = self.ids, self.stable, self.reach, self.packed
         if len(stable) >= CACHED_PAIRS:
             stable.clear()
-        last, start = [""], [0]        # forward state of the prefixes of the word at hand
+        last, start, done = [""], [0], [b""]
         before = ""
         for word in words:
             common, most = 0, min(len(word), len(before))
             while common < most and word[common] == before[common]:
                 common += 1
-            del last[common + 1:], start[common + 1:]
+            del last[common + 1:], start[common + 1:], done[common + 1:]
             for end in range(common + 1, len(word) + 1):
-                for at in range(max(0, end - longest), end):
+                far = reach.get(word[end - 2:end], 1) if end > 1 else 1
+                for at in range(end - far if far < end else 0, end):
                     piece = word[at:end]
                     if piece in ids or at == end - 1:
                         key = (last[at], piece)
@@ -145,13 +152,19 @@ class Pieces:
                         if fits:
                             last.append(piece)
                             start.append(at)
+                            done.append(done[at] + (packed.get(piece) or self.numbers([piece])))
                             break
+            yield word, last, start, done
+            before = word
+
+    def segment_all(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """The pieces of each of the sorted distinct ``words``, which hold the mark at their start only."""
+        for word, last, start, _ in self._states(words):
             pieces, end = [], len(word)
             while end:
                 pieces.append(last[end])
                 end = start[end]
             yield word, pieces[::-1]
-            before = word
 
     def numbers(self, pieces: list[str]) -> bytes:
         """Ids as 32-bit integers; a character outside the vocabulary becomes its bytes."""
@@ -169,8 +182,8 @@ class Pieces:
         cut = [self._marked(t) for t in texts]
         new = {w for ws in cut for w in ws if w not in self.words}
         runs = {w for w in new if MARK in w[1:]}       # runs of blanks tie in score, so they are merged one by one
-        for word, pieces in self.segment_all(sorted(new - runs)):
-            self.words[word] = self.numbers(pieces)
+        for word, _, _, done in self._states(sorted(new - runs)):
+            self.words[word] = done[-1]
         for word in runs:
             blanks = len(word) - len(word.lstrip(MARK))
             self.words[word] = self.numbers(self._after_blanks(word, blanks))
@@ -248,19 +261,16 @@ def encoded(docs: DataFrame, path: str | None = None, carry: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        try:
-            for batch in batches:
-                at = 0
-                for part in _slices(batch.column(batch.num_columns - 1)):
-                    ids = [np.frombuffer(x, np.int32) for x in model.encode(part)]
-                    ends = np.cumsum([0] + [len(x) for x in ids])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                     pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                    rows = batch.slice(at, len(part))
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*carry, "ids"])
-                    at += len(part)
-        finally:
-            model.forget()
+        for batch in batches:
+            at = 0
+            for part in _slices(batch.column(batch.num_columns - 1)):
+                ids = [np.frombuffer(x, np.int32) for x in model.encode(part)]
+                ends = np.cumsum([0] + [len(x) for x in ids])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                 pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                rows = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*carry, "ids"])
+                at += len(part)
     frame = docs.select(*[docs[f"`{c}`"] for c in carry], docs["text"].alias("_text"))
     return frame.mapInArrow(run, frame.select(*carry).schema.add("ids", ArrayType(IntegerType())))
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -60,3 +61,13 @@ def test_nulls_long_texts_repeats_clashes_and_empty(spark, documents, library):
     assert P.encoded(docs.limit(0)).count() == 0
     null_ids = rows.limit(1).withColumn("ids", F.lit(None).cast("array<int>"))
     assert [r["text"] for r in P.decoded(null_ids).collect()] == [""]
+
+
+def test_the_next_task_of_a_worker_knows_the_words_of_the_last(documents, monkeypatch):
+    docs = documents("tasks share words", "words share tasks").select("doc_id", "text")
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: tasks.append(run) or df)
+    P.encoded(docs)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "_text": ["tasks share words", "words share tasks"]})
+    list(tasks[0](iter([batch])))
+    assert {"▁tasks", "▁share", "▁words"} <= set(P.load(P.model_path()).words)
