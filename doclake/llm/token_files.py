@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from doclake.sources.scratch import freeze
 
 SHARD_BYTES = 64 << 20     # text that goes to one shard
-CACHED_WORDS = 400_000
+CACHED_WORDS = 400_000     # that a worker remembers from task to task
 SLICE = 1 << 21
 #: From 65,536 ids on, they take four bytes.
 WIDE = 1 << 16
@@ -143,28 +143,25 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = 2, path: str | None
         end = np.array([end_id], model.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         name, ids, flags, offsets, shard, out = f"shard-{uuid.uuid4().hex}", [], [], [0], None, None
-        try:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out, shard = fs.open_output_stream(f"{root}/{name}.bin"), batch.column(2)[0].as_py()
-                ids += [x or 0 for x in batch.column(0).to_pylist()]
-                flags += [int(not x.is_valid) for x in batch.column(0)]
-                texts, size = [], 0
-                for t in [*batch.column(1), None]:
-                    if t is not None:
-                        texts.append(t.as_py())
-                        size += len(texts[-1] or "")
-                    if t is None or size >= SLICE:
-                        for raw in model.encode(texts):
-                            out.write(raw)
-                            out.write(end)
-                            offsets.append(offsets[-1] + len(raw) // model.dtype.itemsize + 1)
-                        texts, size = [], 0
-        finally:
-            model.forget()     # the worker lives on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(root, recursive=True)
+                out, shard = fs.open_output_stream(f"{root}/{name}.bin"), batch.column(2)[0].as_py()
+            ids += [x or 0 for x in batch.column(0).to_pylist()]
+            flags += [int(not x.is_valid) for x in batch.column(0)]
+            texts, size = [], 0
+            for t in [*batch.column(1), None]:
+                if t is not None:
+                    texts.append(t.as_py())
+                    size += len(texts[-1] or "")
+                if t is None or size >= SLICE:
+                    for raw in model.encode(texts):
+                        out.write(raw)
+                        out.write(end)
+                        offsets.append(offsets[-1] + len(raw) // model.dtype.itemsize + 1)
+                    texts, size = [], 0
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{root}/{name}.idx") as index:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,3 +74,22 @@ def test_null_and_repeated_ids_clashes_and_empty(spark, documents, library, tmp_
     assert {r["ids_crc32"] for r in rows[1:3]} == crc
     empty = f"file://{tmp_path}/none"
     assert T.read_documents(T.write_shards(docs.limit(0), empty), empty).count() == 0
+
+
+def test_the_next_task_of_a_worker_knows_the_words_of_the_last(documents, monkeypatch, tmp_path):
+    docs = documents("tasks share words", "words share tasks")
+    tasks = []
+
+    def caught(df, run, schema):
+        tasks.append(run)
+        raise InterruptedError
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    with pytest.raises(InterruptedError):
+        T.write_shards(docs, f"file://{tmp_path}", shards=1)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": ["tasks share words", "words share tasks"],
+                                        "shard": pa.array([0, 0], pa.int32())})
+    list(tasks[0](iter([batch])))
+    model, learnt = T.load(T.tokenizer_path()), []
+    monkeypatch.setattr(model, "_learn", lambda start, words: learnt.extend(words))
+    list(tasks[0](iter([batch])))
+    assert learnt == []
