@@ -194,11 +194,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int)
     """
     if pairs.limit(1).count() == 0:
         return pairs.select("a", "b")
+    return stored(docs.sparkSession, "links", lambda: _similar(docs, pairs, nodes, tenths))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
     sent = (pairs.select("a", F.col("b").alias("node"), "n_a", "n_b")
             .union(pairs.select("a", F.col("a").alias("node"), "n_a", F.lit(None)).distinct()))
     wanted = freeze(sent.join(nodes.select("node", "sig"), "node"), "wanted")
     grams = whole_sets(docs, _bits(wanted.select("sig"))).groupBy("sig").agg(F.first("grams").alias("grams"))
-    sets = wanted.join(grams, "sig")
+    sets = freeze(wanted.join(grams, "sig").drop("sig"), "sets")
     hubs = sets.filter("n_b IS NULL").select("a", F.col("grams").alias("grams_a"))
     pairs = sets.filter("n_b IS NOT NULL").select("a", F.col("node").alias("b"), "n_a", "n_b", "grams").join(hubs, "a")
     overlap = F.size(F.array_intersect("grams_a", "grams"))
@@ -271,7 +275,7 @@ def _classes(docs: DataFrame, tenths: int) -> DataFrame:
     # the first pivots have the fewest rarer shingles, so the fewest changes
     alone = _unpacked(meets).withColumn("comp", F.col("node"))
     likely = freeze(_plausible(_stars(alone, F.struct("pos", "node"), 0.0, tenths), shape, tenths), "star_pairs")
-    comps = components(freeze(_verified(docs, likely, nodes, tenths), "star_links"))
+    comps = components(_verified(docs, likely, nodes, tenths))
     tried = likely.select("a", "b")
 
     # A second star with other classes and other pivots, by one of some orders for each shingle, joins what is not
@@ -279,7 +283,7 @@ def _classes(docs: DataFrame, tenths: int) -> DataFrame:
     order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "node")
     again = _stars(_unpacked(_open_places(meets, comps)), order, 0.5, tenths)
     likely = freeze(_plausible(again.join(tried, ["a", "b"], "left_anti"), shape, tenths), "star_pairs")
-    comps = with_links(comps, freeze(_verified(docs, likely, nodes, tenths), "star_links"))
+    comps = with_links(comps, _verified(docs, likely, nodes, tenths))
     tried = tried.union(likely.select("a", "b"))
 
     # All candidate pairs between different components: one side is always outside the token's largest component.
@@ -295,7 +299,7 @@ def _classes(docs: DataFrame, tenths: int) -> DataFrame:
     pairs = (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
     likely = freeze(_plausible(pairs, shape, tenths), "cross_pairs")
-    whole = with_links(comps, freeze(_verified(docs, likely, nodes, tenths), "cross_links"))
+    whole = with_links(comps, _verified(docs, likely, nodes, tenths))
 
     named = nodes.join(whole, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
