@@ -2,8 +2,8 @@
 
 Texts are searched by windows of words, weighted by TF-IDF with document frequencies of the whole corpus. Items are
 cut into passages of about a window's length. A randomised SVD gives a latent space for each block of passages. Every
-window of every document is folded into it and compared with the passages by cosine; candidates are settled on the
-whole item by the longest common subsequence of words and a check of the answer.
+window of every document whose words can add up to a candidate is folded into it and compared with the passages by
+cosine; candidates are settled on the whole item by the longest common subsequence of words and a check of the answer.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ MIN_PART = 0.4          # or this part of an item's own length lies in the windo
 VERBATIM, REWORDED, ANSWER = 0.8, 0.5, 0.6      # shares of an item's words
 MIN_ITEM = 8            # items with fewer words must stand as they are
 SLICE_ROWS = 1_000      # texts that a task works on together
+SLACK = 1e-3            # part by which rounding may lift a folded window over the sum of its words
 
 
 def _slices(column: pa.Array) -> Iterator[pa.Array]:
@@ -61,8 +62,8 @@ def document_weights(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()),
                                           pa.array([n, *total[used].tolist()], pa.int64())], ["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    rows = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
     df = np.zeros(1 << BITS, np.int64)
     df[cell[cell >= 0]] = n[cell >= 0]
     size = int(n[cell < 0].sum())
@@ -163,6 +164,11 @@ class Windows:
                 out[at + full] = np.add.reduceat(base[words] * self.weight[words, None], begin, axis=0)
         return out
 
+    def summed(self, number: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sum of ``value`` (one of each word of the vocabulary) over each window."""
+        total = np.concatenate(([0.0], np.cumsum(np.append(value, 0.0)[number])))      # -1, no word of it, takes the 0
+        return total[end] - total[start]
+
 
 def shared_windows(docs: DataFrame, windows: Windows) -> tuple[int, np.ndarray]:
     """Number of windows of all ``docs``, and C'C for their word counts C (windows x vocabulary).
@@ -205,10 +211,12 @@ def shared_windows(docs: DataFrame, windows: Windows) -> tuple[int, np.ndarray]:
         yield summed()
     rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
-    out = np.zeros(size * (size + 1))
-    out[cell[cell >= 0]] = n[cell >= 0]
-    pairs = out[:size * size].reshape(size, size)
-    return int(n[cell < 0].sum()), pairs + pairs.T + np.diag(out[size * size:])
+    pairs, own, alone = np.zeros((size, size)), cell >= size * size, cell < 0
+    low, high = np.divmod(cell[~own & ~alone], size)
+    pairs[low, high] = n[~own & ~alone]
+    pairs[high, low] += n[~own & ~alone]        # each cell comes once; two of one word count both ways
+    pairs[cell[own] - size * size, cell[own] - size * size] += n[own]
+    return int(n[alone].sum()), pairs
 
 
 def latent_space(items: list[Item] | list[Passage], windows: Windows, docs: DataFrame) -> np.ndarray:
@@ -297,7 +305,11 @@ class Detector:
             vectors = windows.folded(number, start, ends, space)
             length, _ = windows.lengths(np.concatenate([x.words for x in block]), number, start, ends)
             size = np.sqrt(length).astype(np.float32)
-            self.blocks.append((block, windows, space, vectors / size[:, None], size))
+            vectors = vectors / size[:, None]
+            # what a word of a window adds to the product with a passage, and to its part of the passage, at most
+            adds = (space * windows.weight[:, None]).astype(np.float64) @ vectors.T
+            most = adds.max(axis=1), (adds / size).max(axis=1)
+            self.blocks.append((block, windows, space, vectors, size, most))
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, object, float, float, float]]:
         """Row, item_id, shares and cosine of each leak in ``texts``."""
@@ -305,14 +317,17 @@ class Detector:
         for part in _slices(texts):
             h, rows = hashed_words(part, alnum=True)
             best: dict[tuple[int, object], tuple[float, float, float]] = {}
-            for block, windows, space, vectors, size in self.blocks:
+            for block, windows, space, vectors, size, most in self.blocks:
                 number = windows.numbers(h)
                 row, start, end = windows.bounds(rows)
                 length, own = windows.lengths(h, number, start, end)
                 # no cosine exceeds the share of the vocabulary in the length of the window
                 # and no part of an item exceeds that share in the item's length
                 least = np.minimum(MIN_COSINE ** 2 * length, MIN_PART ** 2 * size.min() ** 2)
-                k = np.flatnonzero((own >= least) & (own > 0))
+                # and neither exceeds the sum of what the window's words add to the passage they add most to
+                dot, part_of = (windows.summed(number, start, end, x) for x in most)
+                reach = (dot >= (1 - SLACK) * MIN_COSINE * np.sqrt(length)) | (part_of >= (1 - SLACK) * MIN_PART)
+                k = np.flatnonzero((own >= least) & (own > 0) & reach)
                 row, start, end, length = row[k], start[k], end[k], length[k]
                 dot = windows.folded(number, start, end, space) @ vectors.T
                 cosine = dot / np.sqrt(length)[:, None]

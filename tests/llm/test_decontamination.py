@@ -165,3 +165,28 @@ def test_the_space_counts_every_window_of_every_document(spark, documents):
     finally:
         D.latent_space = original
     assert seen == [6_001]
+
+
+def test_windows_that_cannot_reach_a_passage_are_not_folded(spark, documents, monkeypatch):
+    """Most windows hold words of some passage, few hold enough of one; the others cost no folding, and no leak is lost."""
+    rng = random.Random(9)
+    texts, items = _corpus(rng, 200, 400), _corpus(rng, 40, 40)
+    for k in range(0, 40, 4):
+        texts[k] += " " + items[k]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    detector = D.Detector(documents(*texts), benchmark)
+    folded, plain = [], D.Windows.folded
+
+    def counted(self, number, start, end, base):
+        folded.append(len(start))
+        return plain(self, number, start, end, base)
+    monkeypatch.setattr(D.Windows, "folded", counted)
+    column = pa.array(texts)
+    got = sorted(detector.find(column))
+    few = sum(folded)
+    assert {r[:2] for r in got} >= {(k, k) for k in range(0, 40, 4)}
+    monkeypatch.setattr(D.Windows, "summed", lambda self, number, start, end, value: np.full(len(start), np.inf))
+    folded.clear()
+    everything = sorted(detector.find(column))
+    assert [r[:4] for r in got] == [r[:4] for r in everything]
+    assert 3 * few < sum(folded), (few, sum(folded))
