@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from doclake.sources.scratch import freeze
 
 SHARD_BYTES = 64 << 20     # text that goes to one shard
-CACHED_WORDS = 400_000     # that a worker remembers from task to task
-SLICE = 1 << 21
+CACHED_WORDS = 800_000     # that a worker remembers from task to task
+SLICE = 1 << 22            # characters that are encoded together
 #: From 65,536 ids on, they take four bytes.
 WIDE = 1 << 16
 
@@ -68,8 +68,9 @@ class WordEncoder:
     def _packed(self, text: str) -> bytes:
         return np.array(self._ids(text) if text else [], self.dtype).tobytes()
 
-    def _learn(self, start: str, words: list[str]) -> None:
+    def _learn(self, start: str, words: list[str]) -> dict[str, bytes | None]:
         """Ids of words that follow ``start``; None for one that has white space at an end."""
+        out: dict[str, bytes | None] = {}
         plain = [w for w in words if w.split() == [w]]
         ids = np.array(self.tokenizer.encode_batch_fast([start + start.join(plain)], add_special_tokens=False)[0].ids
                        if plain else [], self.dtype)
@@ -78,12 +79,14 @@ class WordEncoder:
         if len(at) == len(plain):
             raw, width = ids.tobytes(), self.dtype.itemsize
             ends = np.append(at[1:], len(ids)) * width
-            self.words.update((mark + w, raw[s:e]) for w, s, e in zip(plain, (at * width).tolist(), ends.tolist()))
+            out.update((mark + w, raw[s:e]) for w, s, e in zip(plain, (at * width).tolist(), ends.tolist()))
         else:       # a word holds a piece that looks like a start
-            self.words.update((mark + w, self._packed(start + w)) for w in plain)
-        for w in words:
-            if mark + w not in self.words:
-                self.words[mark + w] = None if w[:1].isspace() or w[-1:].isspace() else self._packed(start + w)
+            out.update((mark + w, self._packed(start + w)) for w in plain)
+        if len(plain) < len(words):
+            for w in words:
+                if mark + w not in out:
+                    out[mark + w] = None if w[:1].isspace() or w[-1:].isspace() else self._packed(start + w)
+        return out
 
     def _cut(self, text: str | None) -> list[str] | None:
         """Words without their blank, but with a line end before them; None for a text that has to stay whole."""
@@ -99,16 +102,20 @@ class WordEncoder:
         first = [c and c[0] for c in cut]
         for c in filter(None, cut):
             c[0] = ""
-        new = set().union(*filter(None, cut)).difference(self.words)
-        self._learn(" ", [w for w in new if w[:1] != "\n"])
-        self._learn("\n", [w[1:] for w in new if w[:1] == "\n"])
+        met = set().union(*filter(None, cut))
+        new = met.difference(self.words)
+        learned = {}
+        if new:
+            learned = self._learn(" ", [w for w in new if w[:1] != "\n"]) | self._learn("\n", [w[1:] for w in new if w[:1] == "\n"])
+        # each text looks its words up in the few of this slice: the table of the worker is large, and slow to walk
+        met -= new
+        here = dict(zip(met, map(self.words.__getitem__, met))) | learned
         out = []
         for t, c, f in zip(texts, cut, first):
-            parts = [None] if c is None else list(map(self.words.__getitem__, c))
+            parts = [None] if c is None else list(map(here.__getitem__, c))
             out.append(self._packed(t or "") if None in parts else self._packed(f) + b"".join(parts))
-        if len(self.words) > CACHED_WORDS:      # full: what came first, with the common words, stays
-            for w in new:
-                del self.words[w]
+        if len(self.words) + len(learned) <= CACHED_WORDS:      # else full: what came first, with the common words, stays
+            self.words.update(learned)
         return out
 
 

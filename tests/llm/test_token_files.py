@@ -93,3 +93,18 @@ def test_the_next_task_of_a_worker_knows_the_words_of_the_last(documents, monkey
     monkeypatch.setattr(model, "_learn", lambda start, words: learnt.extend(words))
     list(tasks[0](iter([batch])))
     assert learnt == []
+
+
+def test_a_word_of_a_slice_is_looked_up_once_in_the_table_of_the_worker():
+    class Table(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Table.asked += 1
+            return super().__getitem__(word)
+    model = T.WordEncoder(T.tokenizer_path())
+    texts = ["here again and again and again", "again and here"] * 20
+    first = model.encode(texts)
+    model.words = Table(model.words)
+    assert model.encode(texts) == first == [model._packed(t) for t in texts]
+    assert Table.asked <= 4         # "", again, and, here
