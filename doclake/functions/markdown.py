@@ -342,10 +342,13 @@ RULES = (
 )
 
 
+def clean_lines(t: Column) -> Column:
+    """All rules in order, on newline-terminated text."""
+    for _, rule in RULES:
+        t = let(t, rule)
+    return t
+
+
 def clean_markdown(text: Column) -> Column:
     """All rules in order."""
-    def chain(t: Column) -> Column:
-        for _, rule in RULES:
-            t = let(t, rule)
-        return t
-    return _by_lines(text, chain)
+    return _by_lines(text, clean_lines)

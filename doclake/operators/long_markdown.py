@@ -9,7 +9,8 @@ lines, each of which is cleaned as a text of its own; what crosses a border is h
   by a parallel scan: every block says what it does to any state, these effects are composed along the document
   (``scans.states_before``), and each block is cleaned from the state it starts in.
 
-A run of lines without a possible border (notes below notes, items that all end in a comma) stays one block.
+A run of lines without a possible border (notes below notes, items that all end in a comma) stays one block. A document
+of no more lines than a block has nothing above or below it: it is one block, and all rules follow each other in one pass.
 """
 
 from __future__ import annotations
@@ -38,16 +39,25 @@ CUT = rf"(?Umd){_ABOVE}{_BELOW}"
 
 
 def _joined(order: list[str], text: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(*order, text)))
+    rows = F.sort_array(F.collect_list(F.struct(*order, text)))
     return F.array_join(F.transform(rows, lambda r: r[text]), "")
 
 
-def to_blocks(lines: DataFrame, key: str, lines_per_block: int) -> DataFrame:
-    """Blocks ``key, part, text`` of ``lines`` (``key, n, x``) that begin at lines where ``CUT`` allows it."""
+def to_parts(lines: DataFrame, key: str, lines_per_block: int) -> DataFrame:
+    """Parts ``key, part, head, tail`` of ``lines`` (``key, n, x``), the tail from the first line on where ``CUT`` allows a border.
+
+    A first part that is not full is the whole document as a rule, and is left whole.
+    """
+    alone = (F.col("part") == 0) & (F.col("n_lines") < lines_per_block)
+    cut = F.when(alone, F.array("text")).otherwise(F.split(M._strip_private_glyphs(F.col("text")), CUT, 2))
     parts = (lines.select(key, "n", F.concat("x", F.lit("\n")).alias("x"))
-             .groupBy(key, F.floor(F.col("n") / lines_per_block).alias("part")).agg(_joined(["n"], "x").alias("text"))
-             .withColumn("cut", F.split(M._strip_private_glyphs(F.col("text")), CUT, 2)))
-    parts = freeze(parts.select(key, "part", F.col("cut")[0].alias("head"), F.get("cut", F.lit(1)).alias("tail")), "parts")
+             .groupBy(key, F.floor(F.col("n") / lines_per_block).alias("part"))
+             .agg(_joined(["n"], "x").alias("text"), F.count(F.lit(1)).alias("n_lines")).withColumn("cut", cut))
+    return freeze(parts.select(key, "part", F.col("cut")[0].alias("head"), F.get("cut", F.lit(1)).alias("tail")), "parts")
+
+
+def to_blocks(parts: DataFrame, key: str) -> DataFrame:
+    """Blocks ``key, part, text`` that begin at the tails of ``parts``."""
     begins = parts.select(key, "part", F.when(F.col("tail").isNotNull(), F.col("part")).alias("begins"))
     # the lines before the first border of a part belong to the block that was begun last
     before = states_before(begins, key, "part", "begins", F.lit(-1), "bigint", lambda a, b: F.coalesce(b, a),
@@ -104,13 +114,26 @@ def _heading_effect(levels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(_STATES - 1)), lambda code: _encoded(behind(code)))
 
 
+def _short_and_long(lines: DataFrame, key: str, lines_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """Cleaned blocks ``key, part, text`` of the documents that have one part, a row each, and of the others."""
+    parts = to_parts(lines.filter(F.col(key).isNotNull()), key, lines_per_block)
+    several = freeze(parts.filter("part > 0").select(key).distinct(), "several")
+    text = F.concat("head", F.coalesce("tail", F.lit("")))
+    short = parts.join(several, key, "left_anti").select(key, "part", M.clean_lines(text).alias("text"))
+    return short, _long_blocks(parts.join(several, key, "left_semi"), key)
+
+
 def clean_blocks(lines: DataFrame, key: str = "doc_id", lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
     """Cleaned documents as blocks ``key, part, text`` in order of ``part``; every line ends with a newline.
 
     ``lines`` holds ``key, n, x``, with ``n`` counting from 0; null keys are left out.
     """
-    blocks = freeze(to_blocks(lines.filter(F.col(key).isNotNull()), key, lines_per_block)
-                    .withColumn("effect", M.open_bullet(F.col("text"))), "blocks")
+    short, long = _short_and_long(lines, key, lines_per_block)
+    return short.unionByName(long)
+
+
+def _long_blocks(parts: DataFrame, key: str) -> DataFrame:
+    blocks = freeze(to_blocks(parts, key).withColumn("effect", M.open_bullet(F.col("text"))), "blocks")
     above = states_before(blocks, key, "part", "effect", F.lit(""), "string", lambda a, b: F.coalesce(b, a),
                           lambda effect, state: F.coalesce(effect, state), "above")
 
@@ -135,8 +158,8 @@ def _releveled(text: DataFrame, key: str) -> DataFrame:
     """Heading levels of the documents that have one marker throughout and a signal anywhere; the others stay."""
     headings = text.filter(F.col("text").rlike(rf"(?Umd)^{M.HEADING}")).select(
         key, "part", F.filter(M.heading_pieces(F.col("text")), lambda p: p["marker"] != "").alias("h"))
-    headings = headings.select(key, "part", F.transform("h", lambda p: p["marker"]).alias("markers"),
-                               F.transform("h", lambda p: p["signal"]["level"]).alias("levels"))
+    headings = freeze(headings.select(key, "part", F.transform("h", lambda p: p["marker"]).alias("markers"),
+                                      F.transform("h", lambda p: p["signal"]["level"]).alias("levels")), "headings")
     chosen = (headings.groupBy(key).agg(F.min(F.array_min("markers")).alias("low"), F.max(F.array_max("markers")).alias("high"),
                                         F.max(F.array_max("levels")).alias("signal"))
               .filter((F.col("low") == F.col("high")) & F.col("signal").isNotNull()).select(key))
@@ -150,5 +173,6 @@ def _releveled(text: DataFrame, key: str) -> DataFrame:
 
 def clean_docs(lines: DataFrame, key: str = "doc_id", lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
     """``key, text`` of documents that fit a row once they are clean."""
-    whole = clean_blocks(lines, key, lines_per_block).groupBy(key).agg(_joined(["part"], "text").alias("text"))
+    short, long = _short_and_long(lines, key, lines_per_block)
+    whole = short.select(key, "text").unionByName(long.groupBy(key).agg(_joined(["part"], "text").alias("text")))
     return whole.select(key, F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))

@@ -51,3 +51,18 @@ def test_a_long_document_is_spread(spark):
 def test_no_lines(spark):
     lines = spark.createDataFrame([], "doc_id long, n long, x string")
     assert long_markdown.clean_docs(lines).collect() == []
+
+
+def test_documents_of_one_part_take_no_scan(spark, monkeypatch):
+    stored = {}
+
+    def noted(df, name, freeze=long_markdown.freeze):
+        stored[name] = freeze(df, name)
+        return stored[name]
+    monkeypatch.setattr(long_markdown, "freeze", noted)
+    rows = [(i, "\n".join(LINES[i:i + 1 + i % 8])) for i in range(30)] + [(77, "\n".join(LINES)), (78, "\n".join(LINES[:8]))]
+    docs = spark.createDataFrame([*rows, (None, "- ㅇ x")], "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.text for r in docs.filter("doc_id IS NOT NULL").select("doc_id", clean_markdown(F.col("text")).alias("text")).collect()}
+    assert {r.doc_id: r.text for r in long_markdown.clean_docs(to_lines(docs), lines_per_block=8).collect()} == want
+    for name in ("blocks", "items", "texts"):
+        assert {r.doc_id for r in stored[name].select("doc_id").collect()} == {77}
