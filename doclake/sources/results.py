@@ -11,6 +11,7 @@ from doclake.operators.jobs import list_jobs
 from doclake.operators.skew import running_total
 from doclake.sources import keyed
 from doclake.sources.scratch import freeze
+from doclake.sources.uploads import many_tasks
 
 BYTE_ORDER_MARK = "\ufeff"
 PACK_BYTES = 64 << 20
@@ -67,12 +68,13 @@ def read_packed_csv(spark: SparkSession, path: str, wanted: Column | None = None
 def write_table_csv(docs: DataFrame, path: str, key: str = "doc_id", col: str = "text") -> None:
     """Write each table of each document as ``<key>/table=table-NN/*.csv`` in UTF-8 with a byte order mark.
 
-    A table is one row until it is written, so no shuffle is needed and each table becomes one file.
+    A table is one row until it is written, so each table becomes one file. Making a file takes longer than making
+    what is in it, so tables are spread over tasks by their document, however the documents were split.
     """
     (csv_tables(docs, key, col)
      .select(key, F.format_string("table-%02d", "table_no").alias("table"),
              F.concat(F.lit(BYTE_ORDER_MARK), "csv").alias("value"))
-     .write.option("lineSep", "\n").partitionBy(key, "table").text(path))
+     .repartition(many_tasks(docs.sparkSession), key).write.option("lineSep", "\n").partitionBy(key, "table").text(path))
 
 
 def base_name(filename: Column) -> Column:

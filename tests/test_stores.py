@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from doclake import constants as C
 from doclake.operators import cache, convert
 from doclake.operators.extract import csv_tables
-from doclake.sources import keyed, results
+from doclake.sources import keyed, results, uploads
 
 TABLE = "| a | b |\n| --- | --- |\n| 1 | x, y |\n| \"q\" | 2 |\n"
 
@@ -84,3 +84,23 @@ def test_options_decide_images_and_tables(spark, job_rows, hashes):
     assert after["plain"] == ("done", None, 0, f"plain-{hashes[True, True]}") and after["old"] == ("done", None, 9, "r")
     assert after["gone"][:2] == ("failed", convert.NO_TEXT) and after["stale"][:2] == ("failed", C.STALE_OPTIONS_MESSAGE)
     assert after["poison"][:2] == ("failed", C.POISON_MESSAGE)
+
+
+def test_table_files_are_made_by_many_tasks_and_listed_by_few(spark, tmp_path):
+    docs = spark.createDataFrame([(i, TABLE + "\n" + TABLE.replace("x", str(i)) if i % 5 == 0 else TABLE) for i in range(200)] + [(None, TABLE)],
+                                 "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "tables")
+    results.write_table_csv(docs, path)
+    files = glob.glob(f"{path}/doc_id=*/table=table-*/part-*.txt")
+    assert len(files) == len({os.path.dirname(f) for f in files}) == 241
+    assert len({os.path.basename(f).split("-")[1] for f in files}) > 8
+    before = spark.conf.get(uploads.LISTING_TASKS)
+    spark.sparkContext.setJobGroup("listing", "")
+    rows = uploads.scan_uploads(spark, path, columns=["doc_id", "table"])
+    spark.sparkContext.setJobGroup("rest", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= uploads.many_tasks(spark) < 201
+    assert spark.conf.get(uploads.LISTING_TASKS) == before
+    got = {(r.doc_id, int(r.table[-2:])): bytes(r.content).decode() for r in rows.collect()}
+    assert got == {(r.doc_id, r.table_no): results.BYTE_ORDER_MARK + r.csv + "\n" for r in csv_tables(docs).collect()}
