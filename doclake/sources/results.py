@@ -11,7 +11,7 @@ from doclake.operators.jobs import list_jobs
 from doclake.operators.skew import running_total
 from doclake.sources import keyed
 from doclake.sources.scratch import freeze
-from doclake.sources.uploads import many_tasks
+from doclake.sources.uploads import many_tasks, scan_uploads
 
 BYTE_ORDER_MARK = "\ufeff"
 PACK_BYTES = 64 << 20
@@ -77,6 +77,12 @@ def write_table_csv(docs: DataFrame, path: str, key: str = "doc_id", col: str =
      .repartition(many_tasks(docs.sparkSession), key).write.option("lineSep", "\n").partitionBy(key, "table").text(path))
 
 
+def read_table_csv(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """``key, table, csv`` of all files that ``write_table_csv`` made; a task opens many of them, as they are small."""
+    files = scan_uploads(spark, path, columns=[key, "table"]).coalesce(many_tasks(spark))
+    return files.select(key, "table", F.decode("content", "utf-8").alias("csv"))
+
+
 def base_name(filename: Column) -> Column:
     """File name without folders and extension, safe as a folder name."""
     name = F.regexp_replace(filename, r"(?:/\.?)++\z", "")

@@ -104,3 +104,20 @@ def test_table_files_are_made_by_many_tasks_and_listed_by_few(spark, tmp_path):
     assert spark.conf.get(uploads.LISTING_TASKS) == before
     got = {(r.doc_id, int(r.table[-2:])): bytes(r.content).decode() for r in rows.collect()}
     assert got == {(r.doc_id, r.table_no): results.BYTE_ORDER_MARK + r.csv + "\n" for r in csv_tables(docs).collect()}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, TABLE.replace("x", str(i))) for i in range(150)], "doc_id long, text string")
+    path = str(tmp_path / "tables")
+    results.write_table_csv(docs, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")      # what opening one file counts for
+    try:
+        rows = results.read_table_csv(spark, path)
+        assert uploads.scan_uploads(spark, path).rdd.getNumPartitions() == 150
+        assert rows.rdd.getNumPartitions() <= uploads.many_tasks(spark) < 150
+        got = {(r.doc_id, r.table): r.csv for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {(r.doc_id, "table-01"): results.BYTE_ORDER_MARK + r.csv + "\n" for r in csv_tables(docs).collect()}
+    assert got == want and len(want) == 150
